@@ -17,7 +17,8 @@ FIELD_STEP = 1 << 32
 
 def tokenised(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id, and one array of (position, token) structs over all fields."""
-    per_field = [F.transform(index_tokens(F.coalesce(F.col(f), F.lit(""))), lambda t, i, k=k: F.struct((F.lit(k * FIELD_STEP) + i).alias("position"), t.alias("token"))) for k, f in enumerate(fields)]
+    placed = lambda k: lambda t, i: F.struct((F.lit(k * FIELD_STEP) + i).alias("position"), t.alias("token"))
+    per_field = [F.transform(index_tokens(F.coalesce(F.col(f), F.lit(""))), placed(k)) for k, f in enumerate(fields)]
     return entities.select("id", F.concat(*per_field).alias("tokens"))
 
 
@@ -48,10 +49,8 @@ def doc_stats(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFram
 
 def write_index(entities: DataFrame, path: str) -> None:
     """Entities and postings as Parquet by project; other projects' partitions stay."""
-    spark = entities.sparkSession
     for name, df in (("entities", entities), ("postings", postings(entities).join(entities.select("id", "project_root"), "id"))):
         df.repartition("project_root", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions(*(["token"] if name == "postings" else ["id"])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_root").parquet(f"{path}/{name}")
-    del spark
 
 
 def read_index(spark: SparkSession, path: str, name: str, project: str | None = None) -> DataFrame:

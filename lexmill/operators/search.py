@@ -111,7 +111,8 @@ class _Plan:
         rows = tokenised(entities, fields)
         pick = lambda k: F.transform(F.filter("tokens", lambda x: self.wanted(x["token"], k)), lambda x: x["position"])
         rows = rows.select("id", F.size("tokens").cast("long").alias("dl"), *[pick(k).alias(n) for k, n in self.keys.items()])
-        return rows.select("id", "dl", *[self.instances(p).alias(f"p{i}") for i, p in enumerate(self.leaves)])
+        rows = rows.select("id", "dl", *[self.instances(p).alias(f"p{i}") for i, p in enumerate(self.leaves)])
+        return rows.select("*", *[self.full_ends(q, at).alias(f"near{at}") for q, at in self.nears()])
 
     def instances(self, p: Phrase) -> Column:
         """First positions of the phrase's instances under its own filters."""
@@ -119,19 +120,29 @@ class _Plan:
         names = [self.keys[(t, p.is_prefix and i == last)] for i, t in enumerate(p.tokens)]
         out = F.col(names[0])
         for i, name in enumerate(names[1:], 1):
-            out = F.filter(out, lambda x, i=i, name=name: F.array_contains(F.col(name), x + F.lit(i)))
+            out = F.array_intersect(out, F.transform(name, _plus(-i)))
         if p.fields != FIELDS:
             numbers = [FIELDS.index(f) for f in p.fields]
             out = F.filter(out, lambda x: F.floor(x / FIELD_STEP).isin(*numbers)) if numbers else F.filter(out, lambda x: F.lit(False))
         return F.filter(out, lambda x: x % FIELD_STEP == 0) if p.is_initial else out
 
+    def nears(self, q: Query | None = None, at: int = 0) -> list[tuple[Near, int]]:
+        """NEAR groups and the number of their first leaf."""
+        q = q or self.q
+        if isinstance(q, Near):
+            return [(q, at)]
+        return [] if isinstance(q, Phrase) else self.nears(q.left, at) + self.nears(q.right, at + len(_phrases(q.left)))
+
+    def full_ends(self, q: Near, at: int) -> Column:
+        """Ends of instances from which on all phrases of the group occur within `distance` tokens."""
+        found = [(F.col(f"p{at + i}"), len(p.tokens)) for i, p in enumerate(q.phrases)]
+        ends = F.flatten(F.array(*[F.transform(c, _plus(n)) for c, n in found]))
+        return F.filter(ends, lambda e: _all([F.exists(c, _in_reach(n, e, q.distance)) for c, n in found]))
+
     def near(self, q: Near, at: int) -> list[Column]:
-        """Instances of each phrase that stand in a group: all phrases between one's end and `distance` tokens on."""
-        sizes = [len(p.tokens) for p in q.phrases]
-        ends = F.flatten(F.array(*[F.transform(F.col(f"p{at + i}"), lambda x, n=n: x + F.lit(n)) for i, n in enumerate(sizes)]))
-        inside = lambda x, n, e: (x + F.lit(n) >= e) & (x <= e + F.lit(q.distance))
-        full = F.filter(ends, lambda e: _all([F.exists(F.col(f"p{at + i}"), lambda x, n=n: inside(x, n, e)) for i, n in enumerate(sizes)]))
-        return [F.filter(F.col(f"p{at + i}"), lambda x, n=n: F.exists(full, lambda e: inside(x, n, e))) for i, n in enumerate(sizes)]
+        """Instances of each phrase that stand in a group."""
+        grouped = lambda n: lambda x: F.exists(f"near{at}", lambda e: _in_reach(n, e, q.distance)(x))
+        return [F.filter(F.col(f"p{at + i}"), grouped(len(p.tokens))) for i, p in enumerate(q.phrases)]
 
     def evaluate(self, q: Query | None = None, at: int = 0) -> tuple[Column, dict[int, Column], int]:
         """Whether the entity matches, the instance count of each phrase that scores, and the next leaf's number."""
@@ -152,6 +163,14 @@ class _Plan:
         return left & right, left_counts | right_counts, at
 
 
+def _plus(n: int):
+    return lambda x: x + F.lit(n)
+
+
+def _in_reach(size: int, end: Column, distance: int):
+    return lambda x: (x + F.lit(size) >= end) & (x <= end + F.lit(distance))
+
+
 def _all(parts: list[Column]) -> Column:
     out = F.lit(True)
     for p in parts:

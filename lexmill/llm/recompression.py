@@ -13,7 +13,7 @@ symbols than windows have to meet:
 
 1. symbols: (symbol, doc_id), each once a text; a symbol of one document alone hides no repeat;
 2. reveal: shared symbols go back to their documents, and only the windows filed under them are hashed, in
-   one row a symbol occurrence;
+   one row for all equal occurrences in a document;
 3. verify: equal windows meet (128 bits: symbol and window hash); all but those in the smallest doc_id count;
 4. remove: the covered words leave the texts.
 
@@ -27,7 +27,6 @@ repeated rows each get their own row; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,7 +131,7 @@ def shared_symbols(found: DataFrame) -> DataFrame:
 
 
 def _filed_windows(docs: DataFrame) -> DataFrame:
-    """Rows with their shared symbols -> one row a symbol occurrence: its windows' hashes and the first one's place."""
+    """Rows with their shared symbols -> one row for equal symbol occurrences in a text: their windows' hashes and places."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
@@ -154,26 +153,35 @@ def _filed_windows(docs: DataFrame) -> DataFrame:
             new = np.ones(len(at), bool)
             new[1:] = (at[1:] != at[:-1] + 1) | (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
-            # At most WINDOW windows hold one occurrence; equal names in a row are cut so that a mask has room.
+            # Runs of at most WINDOW windows: the first and the last one then span all their words, so runs of one
+            # document with equal ends are equal, and go out once with all their places.
             run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            first = np.flatnonzero(run % 16 == 0)
+            first = np.flatnonzero(run % WINDOW == 0)
+            length = np.diff(np.append(first, len(at)))
+            keys = (value[first + length - 1], value[first], length, symbol[first], doc[first])
+            order = np.lexsort(keys)
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            group = np.flatnonzero(fresh)
+            one, sizes = first[order[group]], length[order[group]]
+            inner = np.repeat(one - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             yield {
-                "symbol": symbol[first].view(np.int64),
-                "doc_id": batch.column("doc_id").slice(a, b - a).to_numpy()[doc[first]],
-                "version": batch.column("version").slice(a, b - a).to_numpy()[doc[first]],
-                "start": (at - words.first[doc])[first].astype(np.int32),
-                "hashes": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(value.view(np.int64))),
+                "symbol": symbol[one].view(np.int64),
+                "doc_id": batch.column("doc_id").slice(a, b - a).to_numpy()[doc[one]],
+                "version": batch.column("version").slice(a, b - a).to_numpy()[doc[one]],
+                "starts": pa.ListArray.from_arrays(pa.array(np.append(group, len(order)), pa.int32()), pa.array((at - words.first[doc])[first[order]].astype(np.int32))),
+                "hashes": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(value[inner].view(np.int64))),
             }
 
-    return per_batch(docs, make, "symbol long, doc_id long, version long, start int, hashes array<long>")
+    return per_batch(docs, make, "symbol long, doc_id long, version long, starts array<int>, hashes array<long>")
 
 
 def repeated_windows(occurrences: DataFrame) -> DataFrame:
-    """(doc_id, version, start, mask): windows that also start in a document of a smaller doc_id."""
-    each = occurrences.repartition("symbol").select("symbol", "doc_id", "version", "start", F.posexplode("hashes").alias("place", "hash"))
+    """(doc_id, version, starts, mask): windows that also start in a document of a smaller doc_id."""
+    each = occurrences.repartition("symbol").select("symbol", "doc_id", "version", "starts", F.posexplode("hashes").alias("place", "hash"))
     least = F.first("doc_id").over(Window.partitionBy("symbol", "hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("least", least).where("least < doc_id")
-    return each.groupBy("symbol", "doc_id", "version", "start").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")).select("doc_id", "version", "start", "mask")
+    return each.groupBy("symbol", "doc_id", "version", "starts").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")).select("doc_id", "version", "starts", "mask")
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
@@ -186,14 +194,16 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
                 words = (text or "").encode().split()
                 marks = np.zeros(len(words), bool)
                 if own.is_valid and len(words) >= window:
-                    fields = own.values.field("version").to_numpy(), own.values.field("start").to_numpy(), own.values.field("mask").to_numpy()
-                    mine = fields[0] == version
-                    start, mask = fields[1][mine], fields[2][mine]
-                    if (start < 0).any():
+                    cut = own.values
+                    lists, mine = cut.field("starts"), cut.field("version").to_numpy() == version
+                    sizes = lists.value_lengths().to_numpy()
+                    start, mask = lists.flatten().to_numpy(), np.repeat(cut.field("mask").to_numpy(), sizes)
+                    mine = np.repeat(mine, sizes)
+                    if (start[mine] < 0).any():
                         marks[:] = True
                     else:
-                        row, bit = np.nonzero((mask[:, None] >> np.arange(16)) & 1)
-                        marks = w.covered(start[row] + bit, window, len(words))
+                        row, bit = np.nonzero((mask[mine, None] >> np.arange(WINDOW)) & 1)
+                        marks = w.covered(start[mine][row] + bit, window, len(words))
                 total.append(len(words))
                 removed.append(int(marks.sum()))
                 kept.append(b" ".join(words if not marks.any() else [x for x, m in zip(words, marks, strict=True) if not m]).decode())
@@ -205,7 +215,7 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     docs = typed(docs, doc_id="bigint", text="string")
-    cut = "array<struct<version:bigint,start:int,mask:int>>"
+    cut = "array<struct<version:bigint,starts:array<int>,mask:int>>"
     unnamed = docs.where("doc_id IS NULL").withColumns({"version": F.lit(0).cast("long"), "cuts": F.lit(None).cast(cut)})
     named = docs.where("doc_id IS NOT NULL")
 
@@ -217,7 +227,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     shared = shared_symbols(symbols(named)).join(only_copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols"))
     dealt = named.withColumn("version", F.xxhash64("text"))
     occurrences = _filed_windows(dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "version", "symbols"))
-    cuts = repeated_windows(occurrences).unionByName(copies.select("doc_id", "version", F.lit(-1).alias("start"), F.lit(0).alias("mask")))
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "mask")).alias("cuts"))
+    cuts = repeated_windows(occurrences).unionByName(copies.select("doc_id", "version", F.array(F.lit(-1)).alias("starts"), F.lit(0).alias("mask")))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("version", "starts", "mask")).alias("cuts"))
     joined = dealt.join(cuts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "version", "cuts")
     return _without(joined.unionByName(unnamed), WINDOW)

@@ -107,25 +107,15 @@ class _Plan:
         return token.startswith(key[0]) if key[1] else token == key[0]
 
     def grouped(self, entities: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-        """id, dl and the position array of each query token; entities without one have empty arrays."""
-        rows = tokenised(entities, fields)
-        pick = lambda k: F.transform(F.filter("tokens", lambda x: self.wanted(x["token"], k)), lambda x: x["position"])
-        rows = rows.select("id", F.size("tokens").cast("long").alias("dl"), *[pick(k).alias(n) for k, n in self.keys.items()])
+        """id, dl and the instances of each phrase, for entities with a query token. Only rows of query tokens are
+        dealt out by entity."""
+        asked = lambda x: _any([self.wanted(x["token"], k) for k in self.keys])
+        rows = tokenised(entities, fields).select("id", F.size("tokens").cast("long").alias("dl"), F.inline(F.filter("tokens", asked)))
+        # The rows of one entity for one query: their number is bounded by the entity's length.
+        rows = rows.groupBy("id").agg(F.first("dl").alias("dl"), *[F.collect_list(F.when(self.wanted(F.col("token"), k), F.col("position"))).alias(n) for k, n in self.keys.items()])
         rows = rows.select("id", "dl", *[self.instances(p).alias(f"p{i}") for i, p in enumerate(self.leaves)])
         return rows.select("*", *[self.full_ends(q, at).alias(f"near{at}") for q, at in self.nears()])
 
-    def instances(self, p: Phrase) -> Column:
-        """First positions of the phrase's instances under its own filters."""
-        last = len(p.tokens) - 1
-        names = [self.keys[(t, p.is_prefix and i == last)] for i, t in enumerate(p.tokens)]
-        out = F.col(names[0])
-        for i, name in enumerate(names[1:], 1):
-            out = F.array_intersect(out, F.transform(name, _plus(-i)))
-        if p.fields != FIELDS:
-            numbers = [FIELDS.index(f) for f in p.fields]
-            out = F.filter(out, lambda x: F.floor(x / FIELD_STEP).isin(*numbers)) if numbers else F.filter(out, lambda x: F.lit(False))
-        return F.filter(out, lambda x: x % FIELD_STEP == 0) if p.is_initial else out
-
     def nears(self, q: Query | None = None, at: int = 0) -> list[tuple[Near, int]]:
         """NEAR groups and the number of their first leaf."""
         q = q or self.q
@@ -171,6 +161,13 @@ def _in_reach(size: int, end: Column, distance: int):
     return lambda x: (x + F.lit(size) >= end) & (x <= end + F.lit(distance))
 
 
+def _any(parts: list[Column]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
+
+
 def _all(parts: list[Column]) -> Column:
     out = F.lit(True)
     for p in parts:
@@ -179,20 +176,21 @@ def _all(parts: list[Column]) -> Column:
 
 
 def matches(entities: DataFrame, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id of the entities that match. No shuffle: a filter over token arrays."""
+    """id of the entities that match."""
     plan = _Plan(q)
     return plan.grouped(entities, fields).where(plan.evaluate()[0]).select("id")
 
 
 def rank_bm25(entities: DataFrame, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, score (smaller is better) of the matches. One aggregate row of corpus statistics goes to the driver."""
+    """id, score (smaller is better) of the matches."""
     plan = _Plan(q)
     rows = plan.grouped(entities, fields)
     match, counts, _ = plan.evaluate()
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(plan.leaves))])
+    corpus = tokenised(entities, fields).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    found = rows.agg(*[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(plan.leaves))])
     hits = rows.where(match)
-    # One row of scalars; a broadcast of fixed size.
-    scored = hits.join(F.broadcast(stats))
+    # Two rows of scalars; broadcasts of fixed size.
+    scored = hits.join(F.broadcast(corpus)).join(F.broadcast(found))
     score = F.lit(0.0)
     for i, n in counts.items():
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))

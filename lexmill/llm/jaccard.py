@@ -2,14 +2,14 @@
 
 A document's set holds its distinct word shingles. Equal sets are one class from the start. The join then:
 
-1. partitions similar sets: a set is cut by token hash into so many blocks that two sets of the wanted
-   similarity must agree in a whole block (their difference is smaller than the number of blocks). Sets with an
-   equal block are neighbours; connected neighbours are a partition. No similar pair is ever split, and a frequent
-   shingle alone never makes neighbours;
-2. gives each partition to one task, in tiles of bounded size where it is large (each pair of tiles meets once);
-3. in a task, groups GROUP sets next in size order, stores each group's token union in a sorted token-group
-   matrix, bounds a query set's overlap with each group by its overlap with the union, and opens only the groups
-   that reach the overlap that the similarity needs; in these it counts exact overlaps;
+1. partitions similar sets into groups: by the hash of their smallest token, so that similar sets mostly meet;
+   a larger group is split until it has about GROUP_SETS sets;
+2. cuts each set by token hash into blocks, more of them than tokens in which similar sets can differ; so similar
+   sets agree in many whole blocks. The matrix of block signatures and groups says how many of a query's blocks
+   occur in the union of a group; that bounds its similarity with every member;
+3. opens only the groups that reach the count a similar set must give (of a pair, one side asks the other's group):
+   in the task of the group, exact overlaps are counted with a sorted token matrix of runs of GROUP sets, again
+   behind a bound by the union of each run's tokens;
 4. keeps a link only where it joins two components so far (copies are never expanded into all pairs), and joins
    the links of all tasks to components.
 
@@ -34,10 +34,9 @@ from lexmill.llm.tables import checkpointed, per_batch, typed
 SHINGLE = 5
 PERCENT = 80
 GROUP = 16
-#: Bounds of a tile: sets and tokens.
-TILE_SETS = 512
-TILE_TOKENS = 1 << 18
-#: Blocks beyond those that the pigeonhole needs, so that so many may be empty.
+#: Sets that a group has about.
+GROUP_SETS = 256
+#: Blocks beyond those that the pigeonhole needs, so that so many may be empty: 2 and an eighth of these.
 SPARE = 2
 
 _U = np.uint64
@@ -84,8 +83,9 @@ def bands(largest: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the blocks of each set: (set number, signature).
+def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the blocks of each set: (set number, signature), and by set and band parity how many of them
+    a similar set must share. The lowest bit of a signature is the parity of its band.
 
     Sets of sizes a and b with similarity p/100 differ in at most (a + b)(100 - p)/(100 + p) tokens. Both are in
     one band, or the smaller one also signs for the next band if a similar set may lie there.
@@ -93,14 +93,17 @@ def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tu
     n = np.diff(offsets)
     lower = bands(int(n.max(initial=1)))
     band = np.searchsorted(lower, n, side="right") - 1
-    out = []
+    out, needs = [], np.ones((len(n), 2), np.int32)
+    parity = lambda signature, band: (signature & ~_U(1)) | band.astype(_U) & _U(1)
     for step in (0, 1):
         chosen = n > 0 if step == 0 else (n > 0) & (100 * n // percent >= lower[np.minimum(band + 1, len(lower) - 1)])
         sets = np.flatnonzero(chosen)
         if not len(sets):
             continue
         own = band[sets] + step
-        blocks = 2 * (lower[own + 1] - 1) * (100 - percent) // (100 + percent) + 1 + SPARE
+        needed = 2 * (lower[own + 1] - 1) * (100 - percent) // (100 + percent) + 1
+        spare = SPARE + needed // 8
+        blocks = needed + spare
         lengths = n[sets]
         ends = np.cumsum(lengths)
         index = np.repeat(offsets[sets], lengths) + np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
@@ -112,20 +115,23 @@ def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tu
             first = np.flatnonzero(new)
             total = _sums(w.mix(tokens ^ _U(0x6A09E667F3BCC909)), np.append(first, len(tokens)))
             place = w.mix(own[which[first]].astype(_U) * _U(1 << 40) + block[first])
-            out.append((sets[which[first]], w.mix(total + place)))
-            # A set with more than SPARE empty blocks signs these too.
+            out.append((sets[which[first]], parity(w.mix(total + place), own[which[first]])))
+            # A set with more empty blocks than the spare ones signs these too.
             filled = np.bincount(which[first], minlength=len(sets))
-            for s in np.flatnonzero(blocks - filled > SPARE):
+            partner = np.minimum(lower[own + 1] - 1, 100 * lengths // percent)
+            needs[sets, own & 1] = np.maximum(1, filled - (lengths + partner) * (100 - percent) // (100 + percent))
+            for s in np.flatnonzero(blocks - filled > spare):
                 mine = block[first[which[first] == s]].astype(np.int64)
                 empty = np.setdiff1d(np.arange(blocks[s]), mine)
-                out.append((np.full(len(empty), sets[s]), w.mix(w.mix(_U(int(own[s]) << 40) + empty.astype(_U)) ^ _U(0xBB67AE8584CAA73B))))
+                out.append((np.full(len(empty), sets[s]), parity(w.mix(w.mix(_U(int(own[s]) << 40) + empty.astype(_U)) ^ _U(0xBB67AE8584CAA73B)), np.full(len(empty), own[s]))))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, _U), needs
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), needs)
 
 
 def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key, check (of the set) and block signatures (once for equal sets of a batch)."""
+    """doc_id, n_shingles, key, check (of the set), mark (hash of its smallest token), the shared blocks that a similar
+    set needs (by band parity) and block signatures (once for equal sets of a batch)."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         seen: set[tuple[int, int]] = set()
@@ -137,13 +143,16 @@ def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if pair not in seen:
                     seen.add(pair)
                     fresh[i] = True
-            owner, signature = block_signatures(value, offsets, percent)
+            owner, signature, needs = block_signatures(value, offsets, percent)
+            mark = np.zeros(b - a, _U)
+            some = offsets[1:] > offsets[:-1]
+            mark[some] = w.mix(value[offsets[:-1][some]] ^ _U(0x3C6EF372FE94F82B))
             keep = fresh[owner]
             order = np.argsort(owner[keep], kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[keep][order], np.arange(b - a + 1)), pa.int32()), pa.array(signature[keep][order].view(np.int64)))
-            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": np.diff(offsets), "key": key.view(np.int64), "check": check.view(np.int64), "signatures": lists}
+            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": np.diff(offsets), "key": key.view(np.int64), "check": check.view(np.int64), "mark": (mark >> _U(24)).astype(np.int64), "need0": needs[:, 0], "need1": needs[:, 1], "signatures": lists}
 
-    return per_batch(docs, make, "doc_id long, n_shingles long, key long, check long, signatures array<long>")
+    return per_batch(docs, make, "doc_id long, n_shingles long, key long, check long, mark long, need0 int, need1 int, signatures array<long>")
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -201,39 +210,60 @@ class _Joined:
         return x != y
 
 
-def links_between(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between the two tiles (or inside the only one) that join components of these sets."""
-    out, joined = [], _Joined(len(sets))
-    target = np.flatnonzero(tile == tile.max())
-    query = np.flatnonzero(tile == tile.min())
-    matrix = TokenGroups([sets[i] for i in target])
-    for q in query:
-        for s in target[matrix.similar(sets[q], percent)]:
-            if s != q and joined.join(int(q), int(s)):
-                out.append((int(q), int(s)))
+def links_between(sets: list[np.ndarray], is_member: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of all sets with the members among them, as far as they join components of these sets."""
+    out, joined, members = [], _Joined(len(sets)), np.flatnonzero(is_member)
+    matrix = TokenGroups([sets[i] for i in members])
+    for q, query in enumerate(sets):
+        for s in members[matrix.similar(query, percent)]:
+            if s != q and joined.join(q, int(s)):
+                out.append((q, int(s)))
     return out
 
 
-def _find_links(members: DataFrame, percent: int) -> DataFrame:
-    """members: part, i, j, root, tile, doc_id, tokens -> links (a, b)."""
+def _find_links(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: group, member, doc_id, tokens -> links (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
-        root, tile, ids = (table.column(c).to_numpy() for c in ("root", "tile", "doc_id"))
+        ids, member = table.column("doc_id").to_numpy(), table.column("member").to_numpy()
         lists = table.column("tokens").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = pa.concat_arrays(lists.chunks)
         flat, offsets = lists.flatten().to_numpy().view(_U), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        order = np.argsort(root, kind="stable")
-        cuts = np.flatnonzero(np.diff(root[order])) + 1
-        found = []
-        for own in np.split(order, cuts):
-            if len(own) > 1:
-                pairs = links_between([flat[offsets[i] : offsets[i + 1]] for i in own], tile[own], percent)
-                found += [(ids[own[x]], ids[own[y]]) for x, y in pairs]
-        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        pairs = links_between([flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))], member, percent) if member.any() else []
+        a, b = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return members.groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
+    return sets.groupBy("group").applyInArrow(run, "a long, b long")
+
+
+def grouped(classes: DataFrame, group_sets: int = GROUP_SETS) -> DataFrame:
+    """Adds `group` to the classes: a range of marks, split by key where it holds many sets."""
+    ranges = max(1, classes.count() // group_sets)
+    placed = classes.withColumn("range", F.shiftright(F.shiftright("mark", 8) * F.lit(ranges), 32))
+    sizes = placed.groupBy("range").agg(F.ceil(F.count("*") / F.lit(group_sets)).alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    return placed.join(sizes, "range").withColumn("group", F.col("range") * F.lit(1 << 24) + part).drop("range", "parts")
+
+
+def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of sets with as many shared blocks, whoever shares them, as a similar set must share."""
+    odd = F.col("signature").bitwiseAND(F.lit(1)).alias("odd")
+    counts = shared.groupBy("key", odd).agg(F.count("*").alias("n")).join(classes.select("key", "need0", "need1"), "key")
+    enough = counts.where("n >= IF(odd = 0, need0, need1)").select("key", "odd").distinct()
+    return shared.withColumn("odd", odd).join(enough, ["key", "odd"], "left_semi").select("signature", "key")
+
+
+def opened_groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, group): groups whose union has as many of the set's blocks as a similar set must have.
+
+    shared: (signature, key) of signatures of several sets. In its own group a set counts the blocks of others only.
+    """
+    tagged = shared.join(classes.select("key", "group", "need0", "need1"), "key")
+    unions = tagged.groupBy("signature", F.col("group").alias("asked")).agg(F.count("*").alias("sets"))
+    count = tagged.join(unions, "signature").where("asked <> group OR sets > 1").groupBy("key", "asked", F.col("signature").bitwiseAND(F.lit(1)).alias("odd"))
+    enough = count.agg(F.count("*").alias("n"), F.first("need0").alias("need0"), F.first("need1").alias("need1")).where("n >= IF(odd = 0, need0, need1)")
+    return enough.select("key", F.col("asked").alias("group")).distinct()
 
 
 def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -241,36 +271,34 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     docs = typed(docs, doc_id="bigint", text="string")
     signed = checkpointed(signed_sets(docs, shingle, percent))
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-
-    alike = known.select(F.explode("signatures").alias("signature"), "key")
-    leader = F.first("key").over(Window.partitionBy("signature").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    neighbours = alike.select("key", leader.alias("leader")).where("leader < key").distinct()
-    parts = components(neighbours.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-
-    members = checkpointed(classes.join(parts, classes["key"] == parts["node"]).select("doc_id", "key", "check", "n", "root"))
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    sizes = sizes.select("root", "tokens", F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int").alias("tiles"))
-    bins = max(1, (sizes.agg(F.sum("tokens")).first()[0] or 0) // TILE_TOKENS)
-    placed = members.join(sizes, "root").withColumn("tile", F.when(F.col("tiles") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("tiles"))).cast("int"))
-    meets = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "tile").alias("i"), F.greatest(x, "tile").alias("j")))
-    )
-    placed = placed.select("doc_id", "key", "check", "root", "tile", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("part"), meets.alias("meets"))
+    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("mark", "need0", "need1")}
+    classes = checkpointed(grouped(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()])))
+
+    near = Window.partitionBy("signature").orderBy("key")
+    alike = known.select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
+    shared = supported(checkpointed(alike.where("before < key OR after > key").select("signature", "key").distinct()), classes)
+    asking = checkpointed(opened_groups(shared, classes))
+    own = classes.select("key", "check", "doc_id", F.col("group").alias("home"))
+    asking = asking.join(own, "key")
+    # A similar pair opens each other's groups: members are the sets that open any, and of two groups the one with
+    # the larger number sends its sets to the other.
+    homes = asking.select("key", "check", "doc_id", F.col("home").alias("group")).distinct().withColumn("member", F.lit(True))
+    guests = asking.where("group < home").select("key", "check", "doc_id", "group").withColumn("member", F.lit(False))
+    meets = homes.unionByName(guests).groupBy("doc_id", "key", "check").agg(F.collect_list(F.struct("group", "member")).alias("meets"))
 
     def tokens(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             value, offsets = shingle_sets(batch.column("text").slice(a, b - a), shingle)
             key, check = set_keys(value, offsets)
-            rows = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "root", "tile", "part", "meets", "key", "check")}
+            rows = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "meets", "key", "check")}
             same = pa.array((rows.pop("key").to_numpy() == key.view(np.int64)) & (rows.pop("check").to_numpy() == check.view(np.int64)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
             yield {c: x.filter(same) for c, x in rows.items()} | {"tokens": lists.filter(same)}
 
-    texts = docs.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "check", "root", "tile", "part", "meets")
-    sets = per_batch(texts, tokens, "doc_id long, root long, tile int, part long, meets array<struct<i:int,j:int>>, tokens array<long>")
-    tiles = sets.select("doc_id", "root", "tile", "part", F.explode("meets").alias("meet"), "tokens").select("doc_id", "root", "tile", "part", "meet.i", "meet.j", "tokens")
-    links = components(_find_links(tiles, percent))
+    texts = docs.join(meets.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "check", "meets")
+    sets = per_batch(texts, tokens, "doc_id long, meets array<struct<group:bigint,member:boolean>>, tokens array<long>")
+    sets = sets.select("doc_id", F.explode("meets").alias("meet"), "tokens").select("doc_id", "meet.group", "meet.member", "tokens")
+    links = components(_find_links(sets, percent))
 
     named = classes.select("key", "check", F.col("doc_id").alias("first"))
     rows = signed.select("doc_id", "n_shingles", "key", "check").join(named, ["key", "check"], "left").join(links.select(F.col("node").alias("first"), "root"), "first", "left")

@@ -108,5 +108,5 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_P
     runs = runs.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("words")))
     pieces = runs.select("*", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(to - 1) div {block_words}"))).alias("rank"))
     piece = F.least(F.col("to"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("at"), F.col("rank") * block_words)
-    taken = pieces.join(schedule(goals, block_words).select("key", "rank"), ["key", "rank"]).groupBy("key", "bucket", "nth").agg(F.sum(piece).alias("taken"))
+    taken = pieces.join(schedule(goals, block_words).select("key", "rank").hint("merge"), ["key", "rank"]).groupBy("key", "bucket", "nth").agg(F.sum(piece).alias("taken"))
     return tape.join(taken, ["key", "bucket", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

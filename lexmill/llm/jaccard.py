@@ -269,13 +269,15 @@ def opened_groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = typed(docs, doc_id="bigint", text="string")
-    signed = checkpointed(signed_sets(docs, shingle, percent))
+    # The signatures are made again where they are dealt out: kept, they would take as much disk as the texts.
+    full = signed_sets(docs, shingle, percent)
+    signed = checkpointed(full.drop("signatures"))
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("mark", "need0", "need1")}
     classes = checkpointed(grouped(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()])))
 
     near = Window.partitionBy("signature").orderBy("key")
-    alike = known.select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
+    alike = full.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
     shared = supported(checkpointed(alike.where("before < key OR after > key").select("signature", "key").distinct()), classes)
     asking = checkpointed(opened_groups(shared, classes))
     own = classes.select("key", "check", "doc_id", F.col("group").alias("home"))

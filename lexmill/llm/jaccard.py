@@ -7,10 +7,12 @@ A document's set holds its distinct word shingles. Equal sets are one class from
 2. cuts each set by token hash into blocks, more of them than tokens in which similar sets can differ; so similar
    sets agree in many whole blocks. The matrix of block signatures and groups says how many of a query's blocks
    occur in the union of a group; that bounds its similarity with every member;
-3. opens only the groups that reach the count a similar set must give (of a pair, one side asks the other's group):
-   in the task of the group, exact overlaps are counted with a sorted token matrix of runs of GROUP sets, again
-   behind a bound by the union of each run's tokens;
-4. keeps a link only where it joins two components so far (copies are never expanded into all pairs), and joins
+3. lets sets that look alike meet in small groups around hubs and verifies links there, which joins most components
+   and is linear in the sets, however large a group of near copies is;
+4. opens, for what is still in two components, only the groups that reach the count a similar set must give (of a
+   pair, the smaller component asks): exact overlaps are counted with a sorted token matrix of runs of GROUP sets,
+   again behind a bound by the union of each run's tokens;
+5. keeps a link only where it joins two components so far (copies are never expanded into all pairs), and joins
    the links of all tasks to components.
 
 Defined cases: without words or with a null text a set is empty and links with nothing; a text of fewer words
@@ -38,6 +40,12 @@ GROUP = 16
 GROUP_SETS = 256
 #: Blocks beyond those that the pigeonhole needs, so that so many may be empty: 2 and an eighth of these.
 SPARE = 2
+#: Orders in which signatures name hubs.
+HUBS = 2
+#: Guests that one part of an asked group has about.
+GUESTS = 1024
+#: Visits (a few numbers each) that are sent to every task; more are joined by a shuffle.
+MAX_SHARED = 50_000
 
 _U = np.uint64
 
@@ -254,39 +262,62 @@ def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.withColumn("odd", odd).join(enough, ["key", "odd"], "left_semi").select("signature", "key")
 
 
-def opened_groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def meetings(shared: DataFrame) -> DataFrame:
+    """(key, group): small groups in which sets that look alike meet at first; no promise that all similar sets do.
+
+    Each signature names a hub in each of HUBS orders, and a set meets the hub that most of its signatures name. A hub
+    with many guests meets them in groups of about GROUP_SETS.
+    """
+    hubs = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in range(HUBS)])
+    named = shared.join(hubs, "signature").select("key", F.posexplode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("order", "hub")).where("key <> hub")
+    votes = named.groupBy("key", "order", "hub").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select("key", "hub").distinct()
+    sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP_SETS)).cast("long").alias("parts"))
+    group = F.xxhash64("hub", "part").alias("group")
+    guests = chosen.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("hub", "key"), F.col("parts"))).select("key", group)
+    hosts = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.col("hub").alias("key"), group)
+    return guests.unionByName(hosts).distinct()
+
+
+def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The (signature, key, group, need0, need1, rank) rows of signatures that several components of `links` share.
+
+    A rank orders components: larger ones are higher.
+    """
+    found = components(links)
+    rooted = classes.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    ranked = rooted.join(sizes, "root").select("key", "group", "need0", "need1", F.struct("n", "root").alias("rank"))
+    tagged = shared.join(ranked, "key")
+    spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
+    return tagged.join(spread, "signature", "left_semi")
+
+
+def opened_groups(live: DataFrame) -> DataFrame:
     """(key, group): groups whose union has as many of the set's blocks as a similar set must have.
 
-    shared: (signature, key) of signatures of several sets. In its own group a set counts the blocks of others only.
+    live: rows of undecided(). A set counts the blocks that sets of a higher component have in the group: of a similar
+    pair in two components, the lower one thus asks the group of the other.
     """
-    tagged = shared.join(classes.select("key", "group", "need0", "need1"), "key")
-    unions = tagged.groupBy("signature", F.col("group").alias("asked")).agg(F.count("*").alias("sets"))
-    count = tagged.join(unions, "signature").where("asked <> group OR sets > 1").groupBy("key", "asked", F.col("signature").bitwiseAND(F.lit(1)).alias("odd"))
+    unions = live.groupBy("signature", F.col("group").alias("asked")).agg(F.max("rank").alias("top"))
+    count = live.join(unions, "signature").where("top > rank").groupBy("key", "asked", F.col("signature").bitwiseAND(F.lit(1)).alias("odd"))
     enough = count.agg(F.count("*").alias("n"), F.first("need0").alias("need0"), F.first("need1").alias("need1")).where("n >= IF(odd = 0, need0, need1)")
     return enough.select("key", F.col("asked").alias("group")).distinct()
 
 
-def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = typed(docs, doc_id="bigint", text="string")
-    # The signatures are made again where they are dealt out: kept, they would take as much disk as the texts.
-    full = signed_sets(docs, shingle, percent)
-    signed = checkpointed(full.drop("signatures"))
-    known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("mark", "need0", "need1")}
-    classes = checkpointed(grouped(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()])))
+def visits(asking: DataFrame, live: DataFrame) -> DataFrame:
+    """(key, group, member): the members of the groups that are asked, and their guests in parts of about GUESTS."""
+    homes = live.select("key", F.col("group").alias("home")).distinct()
+    asking = asking.join(homes, "key")
+    sizes = asking.groupBy("group").agg(F.ceil(F.count("*") / F.lit(GUESTS)).cast("long").alias("parts"))
+    group = F.xxhash64("group", "part").alias("group")
+    members = homes.join(sizes, F.col("home") == F.col("group")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", group, F.lit(True).alias("member"))
+    guests = asking.where("group <> home").join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("key", group, F.lit(False).alias("member"))
+    return members.unionByName(guests)
 
-    near = Window.partitionBy("signature").orderBy("key")
-    alike = full.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
-    shared = supported(checkpointed(alike.where("before < key OR after > key").select("signature", "key").distinct()), classes)
-    asking = checkpointed(opened_groups(shared, classes))
-    own = classes.select("key", "check", "doc_id", F.col("group").alias("home"))
-    asking = asking.join(own, "key")
-    # A similar pair opens each other's groups: members are the sets that open any, and of two groups the one with
-    # the larger number sends its sets to the other.
-    homes = asking.select("key", "check", "doc_id", F.col("home").alias("group")).distinct().withColumn("member", F.lit(True))
-    guests = asking.where("group < home").select("key", "check", "doc_id", "group").withColumn("member", F.lit(False))
-    meets = homes.unionByName(guests).groupBy("doc_id", "key", "check").agg(F.collect_list(F.struct("group", "member")).alias("meets"))
+
+def _token_sets(docs: DataFrame, meets: DataFrame, shingle: int, small: bool) -> DataFrame:
+    """group, member, doc_id, tokens: the sets of `meets` (doc_id, key, check, meets) in each of their groups."""
 
     def tokens(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
@@ -297,10 +328,39 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
             yield {c: x.filter(same) for c, x in rows.items()} | {"tokens": lists.filter(same)}
 
-    texts = docs.join(meets.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "check", "meets")
+    texts = docs.join(meets.hint("broadcast" if small else "shuffle_hash"), "doc_id").select("doc_id", "text", "key", "check", "meets")
     sets = per_batch(texts, tokens, "doc_id long, meets array<struct<group:bigint,member:boolean>>, tokens array<long>")
-    sets = sets.select("doc_id", F.explode("meets").alias("meet"), "tokens").select("doc_id", "meet.group", "meet.member", "tokens")
-    links = components(_find_links(sets, percent))
+    return sets.select("doc_id", F.explode("meets").alias("meet"), "tokens").select("doc_id", "meet.group", "meet.member", "tokens")
+
+
+def _meet(docs: DataFrame, classes: DataFrame, places: DataFrame, shingle: int, percent: int, small: bool = False) -> DataFrame:
+    """Links (a, b) found where the sets meet. places: key, group, member."""
+    named = places.join(classes.select("key", "check", "doc_id"), "key")
+    meets = named.groupBy("doc_id", "key", "check").agg(F.collect_list(F.struct("group", "member")).alias("meets"))
+    return _find_links(_token_sets(docs, meets, shingle, small), percent)
+
+
+def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    docs = typed(docs, doc_id="bigint", text="string")
+    # The signatures are made again where they are dealt out: kept, they would take as much disk as the texts.
+    full = signed_sets(docs, shingle, percent)
+    signed = checkpointed(full.drop("signatures"))
+    known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("mark", "need0", "need1")}
+    classes = checkpointed(grouped(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()])))
+
+    near = Window.partitionBy("signature").orderBy("key")
+    alike = full.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
+    shared = checkpointed(supported(checkpointed(alike.where("before < key OR after > key").select("signature", "key").distinct()), classes))
+
+    links = checkpointed(_meet(docs, classes, meetings(shared).withColumn("member", F.lit(True)), shingle, percent))
+    live = checkpointed(undecided(shared, classes, links))
+    places = checkpointed(visits(checkpointed(opened_groups(live)), live))
+    n = places.count()
+    if n:
+        links = links.unionByName(_meet(docs, classes, places, shingle, percent, n <= MAX_SHARED))
+    links = components(links)
 
     named = classes.select("key", "check", F.col("doc_id").alias("first"))
     rows = signed.select("doc_id", "n_shingles", "key", "check").join(named, ["key", "check"], "left").join(links.select(F.col("node").alias("first"), "root"), "first", "left")

@@ -2,16 +2,16 @@
 
 A document's set holds its distinct word shingles. Equal sets are one class from the start. The join then:
 
-1. partitions similar sets into groups: by the hash of their smallest token, so that similar sets mostly meet;
-   a larger group is split until it has about GROUP_SETS sets;
-2. cuts each set by token hash into blocks, more of them than tokens in which similar sets can differ; so similar
-   sets agree in many whole blocks. The matrix of block signatures and groups says how many of a query's blocks
-   occur in the union of a group; that bounds its similarity with every member;
-3. lets sets that look alike meet in small groups around hubs and verifies links there, which joins most components
+1. cuts each set by token hash into blocks, more of them than tokens in which similar sets can differ; so similar
+   sets agree in many whole blocks;
+2. lets sets that look alike meet in small groups around hubs and verifies links there, which joins most components
    and is linear in the sets, however large a group of near copies is;
-4. opens, for what is still in two components, only the groups that reach the count a similar set must give (of a
-   pair, the smaller component asks): exact overlaps are counted with a sorted token matrix of runs of GROUP sets,
-   again behind a bound by the union of each run's tokens;
+3. partitions the sets of what is still in two components into groups around hubs. The matrix of block signatures
+   and groups says how many of a query's blocks occur in the union of a group; that bounds its similarity with
+   every member;
+4. opens only the groups that reach the count a similar set must give (of a pair, the smaller component asks):
+   exact overlaps are counted with a sorted token matrix of runs of GROUP sets, again behind a bound by the union of
+   each run's tokens;
 5. keeps a link only where it joins two components so far (copies are never expanded into all pairs), and joins
    the links of all tasks to components.
 
@@ -37,13 +37,13 @@ SHINGLE = 5
 PERCENT = 80
 GROUP = 16
 #: Sets that a group has about.
-GROUP_SETS = 256
+GROUP_SETS = 512
 #: Blocks beyond those that the pigeonhole needs, so that so many may be empty: 2 and an eighth of these.
 SPARE = 2
 #: Orders in which signatures name hubs.
 HUBS = 2
 #: Guests that one part of an asked group has about.
-GUESTS = 1024
+GUESTS = 512
 #: Visits (a few numbers each) that are sent to every task; more are joined by a shuffle.
 MAX_SHARED = 50_000
 
@@ -138,8 +138,8 @@ def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tu
 
 
 def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key, check (of the set), mark (hash of its smallest token), the shared blocks that a similar
-    set needs (by band parity) and block signatures (once for equal sets of a batch)."""
+    """doc_id, n_shingles, key, check (of the set), the shared blocks that a similar set needs (by band parity) and block
+    signatures (once for equal sets of a batch)."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         seen: set[tuple[int, int]] = set()
@@ -152,15 +152,12 @@ def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     seen.add(pair)
                     fresh[i] = True
             owner, signature, needs = block_signatures(value, offsets, percent)
-            mark = np.zeros(b - a, _U)
-            some = offsets[1:] > offsets[:-1]
-            mark[some] = w.mix(value[offsets[:-1][some]] ^ _U(0x3C6EF372FE94F82B))
             keep = fresh[owner]
             order = np.argsort(owner[keep], kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[keep][order], np.arange(b - a + 1)), pa.int32()), pa.array(signature[keep][order].view(np.int64)))
-            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": np.diff(offsets), "key": key.view(np.int64), "check": check.view(np.int64), "mark": (mark >> _U(24)).astype(np.int64), "need0": needs[:, 0], "need1": needs[:, 1], "signatures": lists}
+            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": np.diff(offsets), "key": key.view(np.int64), "check": check.view(np.int64), "need0": needs[:, 0], "need1": needs[:, 1], "signatures": lists}
 
-    return per_batch(docs, make, "doc_id long, n_shingles long, key long, check long, mark long, need0 int, need1 int, signatures array<long>")
+    return per_batch(docs, make, "doc_id long, n_shingles long, key long, check long, need0 int, need1 int, signatures array<long>")
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -245,15 +242,6 @@ def _find_links(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("group").applyInArrow(run, "a long, b long")
 
 
-def grouped(classes: DataFrame, group_sets: int = GROUP_SETS) -> DataFrame:
-    """Adds `group` to the classes: a range of marks, split by key where it holds many sets."""
-    ranges = max(1, classes.count() // group_sets)
-    placed = classes.withColumn("range", F.shiftright(F.shiftright("mark", 8) * F.lit(ranges), 32))
-    sizes = placed.groupBy("range").agg(F.ceil(F.count("*") / F.lit(group_sets)).alias("parts"))
-    part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    return placed.join(sizes, "range").withColumn("group", F.col("range") * F.lit(1 << 24) + part).drop("range", "parts")
-
-
 def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of sets with as many shared blocks, whoever shares them, as a similar set must share."""
     odd = F.col("signature").bitwiseAND(F.lit(1)).alias("odd")
@@ -262,16 +250,20 @@ def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.withColumn("odd", odd).join(enough, ["key", "odd"], "left_semi").select("signature", "key")
 
 
+def hubs(shared: DataFrame, orders: range) -> DataFrame:
+    """(key, order, hub): each signature names the set that is first in an order; most of a set's signatures name its hub."""
+    first = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in orders])
+    named = shared.join(first, "signature").select("key", F.posexplode(F.array(*[f"hub{i}" for i in orders])).alias("order", "hub"))
+    votes = named.groupBy("key", "order", "hub").agg(F.count("*").alias("n"))
+    return votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+
+
 def meetings(shared: DataFrame) -> DataFrame:
     """(key, group): small groups in which sets that look alike meet at first; no promise that all similar sets do.
 
-    Each signature names a hub in each of HUBS orders, and a set meets the hub that most of its signatures name. A hub
-    with many guests meets them in groups of about GROUP_SETS.
+    A set meets its hub of each of HUBS orders. A hub with many guests meets them in groups of about GROUP_SETS.
     """
-    hubs = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in range(HUBS)])
-    named = shared.join(hubs, "signature").select("key", F.posexplode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("order", "hub")).where("key <> hub")
-    votes = named.groupBy("key", "order", "hub").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select("key", "hub").distinct()
+    chosen = hubs(shared, range(HUBS)).where("key <> hub").select("key", "hub").distinct()
     sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP_SETS)).cast("long").alias("parts"))
     group = F.xxhash64("hub", "part").alias("group")
     guests = chosen.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("hub", "key"), F.col("parts"))).select("key", group)
@@ -279,15 +271,22 @@ def meetings(shared: DataFrame) -> DataFrame:
     return guests.unionByName(hosts).distinct()
 
 
+def grouped(live: DataFrame) -> DataFrame:
+    """(key, group): sets with one hub are a group, split by key where it holds over GROUP_SETS sets."""
+    chosen = hubs(live, range(HUBS, HUBS + 1)).select("key", "hub")
+    sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP_SETS)).alias("parts"))
+    return chosen.join(sizes, "hub").select("key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"))
+
+
 def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The (signature, key, group, need0, need1, rank) rows of signatures that several components of `links` share.
+    """The (signature, key, need0, need1, rank) rows of signatures that several components of `links` share.
 
     A rank orders components: larger ones are higher.
     """
     found = components(links)
     rooted = classes.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = rooted.join(sizes, "root").select("key", "group", "need0", "need1", F.struct("n", "root").alias("rank"))
+    ranked = rooted.join(sizes, "root").select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
     tagged = shared.join(ranked, "key")
     spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
     return tagged.join(spread, "signature", "left_semi")
@@ -296,7 +295,7 @@ def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
 def opened_groups(live: DataFrame) -> DataFrame:
     """(key, group): groups whose union has as many of the set's blocks as a similar set must have.
 
-    live: rows of undecided(). A set counts the blocks that sets of a higher component have in the group: of a similar
+    live: rows of undecided() with groups. A set counts the blocks that sets of a higher component have in the group: of a similar
     pair in two components, the lower one thus asks the group of the other.
     """
     unions = live.groupBy("signature", F.col("group").alias("asked")).agg(F.max("rank").alias("top"))
@@ -347,8 +346,8 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     full = signed_sets(docs, shingle, percent)
     signed = checkpointed(full.drop("signatures"))
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("mark", "need0", "need1")}
-    classes = checkpointed(grouped(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()])))
+    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("need0", "need1")}
+    classes = checkpointed(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()]))
 
     near = Window.partitionBy("signature").orderBy("key")
     alike = full.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
@@ -356,6 +355,7 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     links = checkpointed(_meet(docs, classes, meetings(shared).withColumn("member", F.lit(True)), shingle, percent))
     live = checkpointed(undecided(shared, classes, links))
+    live = checkpointed(live.join(grouped(live), "key"))
     places = checkpointed(visits(checkpointed(opened_groups(live)), live))
     n = places.count()
     if n:

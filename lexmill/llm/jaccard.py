@@ -209,27 +209,26 @@ class _Joined:
             x = self.up[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.find(x), self.find(y)
         self.up[max(x, y)] = min(x, y)
-        return x != y
 
 
 def links_between(sets: list[np.ndarray], is_member: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of all sets with the members among them, as far as they join components of these sets."""
-    out, joined, members = [], _Joined(len(sets)), np.flatnonzero(is_member)
+    """Links of all sets with the members among them, as far as they join components: (set, first set of its component)."""
+    joined, members = _Joined(len(sets)), np.flatnonzero(is_member)
     matrix = TokenGroups([sets[i] for i in members])
     for q, query in enumerate(sets):
         for s in members[matrix.similar(query, percent)]:
-            if s != q and joined.join(q, int(s)):
-                out.append((q, int(s)))
-    return out
+            joined.join(q, int(s))
+    return [(i, joined.find(i)) for i in range(len(sets)) if joined.find(i) != i]
 
 
 def _find_links(sets: DataFrame, percent: int) -> DataFrame:
     """sets: group, member, doc_id, tokens -> links (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
         ids, member = table.column("doc_id").to_numpy(), table.column("member").to_numpy()
         lists = table.column("tokens").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):

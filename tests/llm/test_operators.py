@@ -71,6 +71,29 @@ def test_jaccard(docs, shingle, percent):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_jaccard_in_many_small_groups(spark, monkeypatch, bound):
+    for name, value in (("GROUP_SETS", 3), ("GUESTS", 2), ("HUBS", 1), ("MAX_SHARED", bound)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(7)
+    text = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        t = list(text)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(60)] = f"v{rng.randrange(9)}"
+        rows.append((i, " ".join(t)))
+    sets = [{tuple(x.split()[j : j + 3]) for j in range(58)} for _, x in rows]
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 3
+
+
 def test_contamination_by_both_ways(spark, docs):
     some = [" ".join(split(t)[3].decode() for _ in range(1)) for t in texts()[20:22]] + [b" ".join(split(t)[2:20]).decode() for t in texts()[10:30]] + [None, ""]
     bench = spark.createDataFrame(list(enumerate(some)), "item_id long, text string")

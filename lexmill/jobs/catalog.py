@@ -497,6 +497,58 @@ def psr4_map(spark, sf_dir):
     return R.module_names(files, roots)
 
 
+@query(
+    f"SELECT filename, CASE WHEN a < 60 THEN concat(a, 's') WHEN a < 3600 THEN concat(a // 60, 'm') WHEN a < 86400 THEN concat(a // 3600, 'h') WHEN a < 604800 THEN concat(a // 86400, 'd') "
+    f"WHEN a < 2592000 THEN concat(a // 604800, 'w') ELSE concat(a // 2592000, 'mo') END AS age FROM (SELECT filename, {NOW} - filetime AS a FROM fx_files)"
+)
+def humanise_age(spark, sf_dir):
+    return view(spark, sf_dir, "fx_files").select("filename", X.humanise_age(F.lit(NOW) - F.col("filetime")).alias("age"))
+
+
+@query("SELECT id, CASE WHEN length(s) > 50 THEN concat(left(s, 47), '...') ELSE s END AS preview FROM (SELECT id, trim(regexp_replace(signature, '\\s+', ' ', 'g')) AS s FROM fx_entities)")
+def signature_preview(spark, sf_dir):
+    return view(spark, sf_dir, "fx_entities").select("id", X.preview(X.collapse_space(F.col("signature"))).alias("preview"))
+
+
+_MEMBER = "concat(repeat('_', CAST(id % 4 AS INT)), 'm', id, CASE WHEN id % 2 = 0 THEN '__' ELSE '' END)"
+
+
+@query(f"SELECT name, CASE WHEN starts_with(name, '__') AND NOT ends_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility FROM (SELECT {_MEMBER} AS name FROM fx_symbols)")
+def member_visibility(spark, sf_dir):
+    return view(spark, sf_dir, "fx_symbols").select(F.expr(_MEMBER).alias("name")).select("name", X.visibility(F.col("name")).alias("visibility"))
+
+
+@query("SELECT filename, CAST(length(b) - length(replace(b, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT filename, substr(content, 1, strpos(content, 'return') - 1) AS b FROM fx_code_files)")
+def line_of_return(spark, sf_dir):
+    return view(spark, sf_dir, "fx_code_files").select("filename", X.line_of(F.col("content"), F.locate("return", F.col("content")) - 1).cast("long").alias("line"))
+
+
+_SIGNS = ", ".join(f"'{t}'" for t in T.OPERATOR_WORDS if len(t) == 1)
+
+
+@query(
+    "SELECT filename, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT filename, "
+    f"list_filter({_raw('content')}, lambda y: trim(y) <> '' AND y NOT IN (';', ',', '.', ':', '=') AND NOT (length(y) = 1 AND NOT regexp_matches(y, '^[A-Za-z0-9]$') AND y NOT IN ({_SIGNS}))) AS t FROM fx_code_files)"
+)
+def significant_tokens(spark, sf_dir):
+    kept = view(spark, sf_dir, "fx_code_files").select("filename", F.filter(T.raw_tokens(F.col("content")), T.significant).alias("t"))
+    return kept.select("filename", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+_CHARS = " + ".join(f"length({c})" for c in I.FIELDS)
+
+
+@query(f"SELECT namespace, count(*) AS n_entities, CAST(sum({_CHARS}) AS BIGINT) AS n_chars, round(CAST(sum({_CHARS}) AS DOUBLE) / count(*), 1) AS per_entity FROM fx_entities GROUP BY namespace")
+def index_size(spark, sf_dir):
+    chars = F.sum(F.expr(_CHARS))
+    return view(spark, sf_dir, "fx_entities").groupBy("namespace").agg(F.count("*").alias("n_entities"), chars.alias("n_chars"), F.round(chars.cast("double") / F.count("*"), 1).alias("per_entity"))
+
+
+@query(f"SELECT filename, verified_time FROM fx_files WHERE verified_time >= {NOW} - 86400")
+def recently_verified(spark, sf_dir):
+    return view(spark, sf_dir, "fx_files").where(F.col("verified_time") >= NOW - X.DAY).select("filename", "verified_time")
+
+
 def _change_stream(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -167,6 +167,63 @@ def test_licenses_and_warc(spark):
     assert sorted((r.page_id, r.status) for r in bad) == [(7, "missing"), (300, "altered")]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software."""
+BSD = """Copyright (c) 2020, Foo
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+{} Redistributions of source code must retain the above copyright notice, this list of conditions and the
+   following disclaimer.
+{} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+   following disclaimer in the documentation and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+APACHE = """Copyright 2020 Foo
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_licences(spark):
+    bsd = "all_rights bsd_grant bsd_source bsd_binary"
+    want = [
+        (MIT, "mit_grant mit_notice", "MIT"),
+        *[(BSD.format(*marks), bsd, "BSD-2-Clause,Proprietary") for marks in (("1.", "2."), ("*", "*"), ("(1)", "(2)"), ("a)", "b)"))],
+        (GPL, "gpl3_grant gpl_no_warranty", "GPL-3.0-or-later"),
+        (APACHE, "apache2_ref apache2_compliance apache2_url", "Apache-2.0"),
+        (MPL, "mpl2_ref", "MPL-2.0"),
+        ("A line\nReleased under the MIT License\nand more", "mit_ref", "MIT"),
+        ("All rights.\nReserved", "", ""),
+        ("All rights\n\nreserved", "", ""),
+    ]
+    lead = lambda mark: lambda t: "\n".join(mark + x for x in t.split("\n"))
+    forms = [str, lead("# "), lead("// "), lambda t: "/*\n" + lead(" * ")(t) + "\n */", lambda t: t.replace("\n", "\r\n"), lead("dnl ")]
+    rows = [(i, form(text), *rest) for i, (form, (text, *rest)) in enumerate((f, x) for f in forms for x in want)]
+    one_line = ((MIT, *want[0][1:]), (GPL, *want[5][1:]), (MPL, *want[7][1:]), (APACHE[20:].replace("2.0\n\nUnless", "2.0. Unless"), *want[6][1:]))
+    rows += [(900 + i, " ".join(text.split()), *rest) for i, (text, *rest) in enumerate(one_line)]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.licenses(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert got == {i: (ids, names) for i, _, ids, names in rows}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for make in (recompression.dedup_substrings, jaccard.jaccard, quality.quality, secrets.secrets, licenses.licenses, mixing.mix, language.identify):

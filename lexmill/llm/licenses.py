@@ -44,7 +44,9 @@ SENTENCES = {
     "all rights reserved": "all_rights",
 }
 
-#: Each sentence above has one of these; a text without them is not cut at all.
+#: A word of each sentence above has one of these; a text without them is not cut at all.
+HINTS = ("licen", "reserved", "permission", "permitted", "redistribut", "warranty", "domain")
+#: The gate of the DuckDB twin, which misses `All Rights-Reserved`.
 KEYWORDS = ("licen", "rights reserved", "permission", "permitted", "redistribut", "warranty", "public domain")
 
 #: Licences and the identifier runs that name them, longest evidence first.
@@ -95,7 +97,7 @@ def sentence_ids(text: Column) -> Column:
         marked = F.regexp_replace(marked, F.lit(pattern), F.lit(mark))
     ids = F.transform(F.regexp_extract_all(marked, F.lit(_KNOWN), F.lit(1)), lambda s: F.try_element_at(known, F.regexp_replace(s, F.lit("[ S]+"), F.lit(" "))))
     hint = F.lit(False)
-    for word in KEYWORDS:
+    for word in HINTS:
         hint = hint | F.contains(low, F.lit(word))
     return F.when(F.coalesce(hint, F.lit(False)), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 

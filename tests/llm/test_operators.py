@@ -224,6 +224,13 @@ def test_wrapped_licences(spark):
     assert got == {i: (ids, names) for i, _, ids, names in rows}
 
 
+def test_licence_gate_is_lossless(spark):
+    texts = ["All rights reserved", "All Rights-Reserved", "All rights\treserved", "All rights\u00a0reserved.", "Foo.\nAll  rights\n# reserved", "This work is dedicated to the public-domain."]
+    got = [r.licences for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["Proprietary"] * 5 + ["Public-Domain"]
+    assert all(any(h in word for h in licenses.HINTS for word in s.split()) for s in licenses.SENTENCES)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for make in (recompression.dedup_substrings, jaccard.jaccard, quality.quality, secrets.secrets, licenses.licenses, mixing.mix, language.identify):

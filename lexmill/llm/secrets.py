@@ -6,7 +6,8 @@ intersected where the texts are and only the candidates are verified by the expr
 mandatory trigram scan every text.
 
 Defined cases: a null or empty text has no spans; matches are leftmost and non-overlapping per kind; equal starts
-are ordered by the kinds' order; rows with equal or null doc_id each get their own row; other columns are ignored.
+are ordered by the kinds' order; a private key without an END line runs to the end of the text; rows with
+equal or null doc_id each get their own row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +41,14 @@ RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,255}"),
+    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("login_url", r"://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)"),
+    Rule("login_url", r"://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 
 

@@ -134,6 +134,19 @@ def test_secrets_and_queries(spark):
     assert got == {1: "assign:2:18,access:20:40", 2: "", 3: "", 4: "", 5: "assign:0:39,hex:9:39"}
 
 
+def test_secret_spans_reach_the_end(spark):
+    key = "\n".join(["MIIEvQIBADANBgkq/+" * 3] * 9)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    url = lambda user, password: f"go https://{user}:{password}@host/x"
+    long = "Aa0" * 120
+    texts = [f"a\n{begin}\n{key}\n{end}\nb", f"a {begin}\n{key}", f"{begin}\n{key}\n{end} c {begin}\n{key}\n{end}", url("me", "p" * 93), url("u" * 70, long), f"x ghp_{long} y", "no key: -----END RSA PRIVATE KEY-----"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["a\n[SECRET]\nb", "a [SECRET]", "[SECRET] c [SECRET]", "go https[SECRET]host/x", "go https[SECRET]host/x", "x [SECRET] y", texts[6]]
+    queries = {r.kind: trigrams.query_of(r.pattern) for r in secrets.RULES}
+    assert queries["pem"] is not None and queries["github"] is not None
+
+
 def test_extraction(spark):
     html = "<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One   two<br>three four five six.<script>var t='</p>'</script><p>More of the text is here.</article><footer>&copy; x</footer>"
     got = [tuple(r) for r in extraction.extract(spark.createDataFrame([(1, "u", html), (2, None, None), (3, "", "")], "page_id long, url string, html string")).collect()]

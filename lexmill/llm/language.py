@@ -5,8 +5,10 @@ MIN_SHARE) and sets that language's bit in the Bloom slots of the n-gram. The fi
 holds a bit for every language, so the AND of an n-gram's slots names all languages that contain it. A text is
 scored by the popcount of each language over its n-grams, corrected for that language's false-positive rate.
 
-The filter is fitted on at most MAX_TRAIN_ROWS labelled rows, chosen by a hash of doc_id; a rule fixes its size
-(SLOTS slots a plane of 64 languages), so it may be sent to every task. Prediction reads the text alone.
+The filter is fitted on about MAX_TRAIN_ROWS labelled rows at most. The bound is dealt out by language: those with
+fewer rows than an equal share give all, the others fill the rest, chosen by a hash of doc_id; each gives one row at
+least, so every language with rows to train on is learned at every size. A rule fixes the filter's size (SLOTS slots
+a plane of 64 languages), so it may be sent to every task. Prediction reads the text alone.
 
 Defined cases: a null text or one without letters is `und` with score 0; a text none of whose n-grams is known
 gets the commonest training language with score 0; ties go to the smaller language name; a null doc_id is never
@@ -103,11 +105,25 @@ class LanguageFilter:
         return out, score
 
 
+def shares(counts: dict[str, int], max_rows: int) -> dict[str, float]:
+    """Of each language the share of rows to train on: all of those below an equal part of what the smaller ones leave."""
+    out, left = {}, max_rows
+    for i, x in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        part = min(float(counts[x]), left / (len(counts) - i))
+        out[x] = part / counts[x]
+        left -= part
+    return out
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, min_share: float = MIN_SHARE) -> LanguageFilter:
-    """Fit on rows with a non-null lang that are not held out; at most about `max_rows` of them, by a hash of doc_id."""
+    """Fit on rows with a non-null lang that are not held out; about `max_rows` of them at most, dealt out by language."""
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    share = min(1.0, max_rows / max(1, usable.count()))
-    usable = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    place_of = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40))
+    found = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(place_of).alias("low")).collect()}
+    counts = {x: r["n"] for x, r in found.items()}
+    if sum(counts.values()) > max_rows:
+        limits = [(x, max(int(share * (1 << 40)), found[x]["low"] + 1)) for x, share in shares(counts, max_rows).items()]
+        usable = usable.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long")), "lang").where(place_of < F.col("below")).select("doc_id", "text", "lang")
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         langs, number = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
@@ -133,7 +149,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, min_share: float = MIN_
 
     for r in per_batch(grams, place, "slot long, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most SLOTS rows a plane
         planes[r["plane"], r["slot"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    return LanguageFilter(languages, planes, min(languages, key=lambda x: (-sizes[x], x)))
+    return LanguageFilter(languages, planes, min(languages, key=lambda x: (-counts[x], x)))
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:

@@ -161,6 +161,17 @@ def test_language(spark):
     assert all(r.lang_pred == ("und" if r.doc_id >= 900 else "en" if r.doc_id % 2 else "de") for r in got)
 
 
+def test_every_language_is_learned(spark):
+    assert language.shares({"a": 1000, "b": 10, "c": 1000}, 110) == {"a": 0.05, "b": 1.0, "c": 0.05}
+    said = {"en": "the cat and the dog are in the house", "de": "der hund und die katze sind im haus", "xx": "zyqqu wovvu jikku pyzzu"}
+    rows = [(i, said[x], x) for i in range(4000) for x in ["xx" if i in (3000, 3001, 3002, 3003, 3004, 3005, 3006) else "en" if i % 10 else "de"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (2, 60, 100_000):
+        model = language.fit(docs, max_rows=bound)
+        assert model.languages == ["de", "en", "xx"] and model.commonest == "en"
+        assert {(r.lang_pred, r.lang) for r in language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").select("lang_pred", "lang").distinct().collect()} == {(x, x) for x in said}
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)

@@ -1,8 +1,8 @@
 """A training-data pipeline over `documents`: each stage keeps, cuts or draws rows and hands them on.
 
-Stages take and return the columns of `documents` (others ride along); the last one returns the mix. Rows with a
-null doc_id cannot be grouped or joined by it: they stay in every stage that decides by doc_id. Rows that share a
-doc_id share its fate where a stage decides by doc_id.
+Stages take and return the columns of `documents` (others ride along); the last one returns the mix. Every row is
+judged by itself, whether its doc_id is null, repeated or neither: doc_id only says which row of a group of similar
+ones stays (the smallest, null last, then a hash of the row).
 """
 
 from __future__ import annotations
@@ -18,22 +18,28 @@ from lexmill.llm.tables import read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    rejected = quality.quality(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rejected rows go."""
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays, once."""
-    others = jaccard.jaccard(docs).where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each group of similar rows the one with the smallest doc_id stays, once; rows without words are in no group.
+
+    Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one.
+    """
+    keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate(("_row", "_check"))})
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = keyed.where(has_words)
+    found = jaccard.jaccard(some.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row", "_check")
+    first = some.select("doc_id", "_row", "_check").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row", "first._check")
+    kept = some.join(first, ["_row", "_check"], "left_semi").dropDuplicates(["_row", "_check"])
+    return kept.unionByName(keyed.where(~has_words)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    dirty = contamination.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold benchmark passages go."""
+    return contamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ get their own row; empty tables give empty or clean results; other columns are i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,24 +158,40 @@ SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_shared: int = MAX_SHARED) -> DataFrame:
     """Per document: words, words inside occurrences of item windows, the items, and whether a twentieth is hit."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _judged(docs, benchmark, window, gram, max_shared, lambda part, *found: _result(part.column("doc_id"), *found), SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_shared: int = MAX_SHARED) -> DataFrame:
+    """The rows that are not contaminated, with all columns; each is judged by its own text."""
+
+    def keep(part: pa.RecordBatch, *found) -> dict:
+        part = part.filter(pa.array(~_result(part.column("doc_id"), *found)["contaminated"]))
+        return dict(zip(part.schema.names, part.columns, strict=True))
+
+    return _judged(docs, benchmark, window, gram, max_shared, keep, docs.schema)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_shared: int, out: Callable[..., dict], schema) -> DataFrame:
+    """`out` of each chunk of rows, its words and the hits in them."""
     rows = item_windows(benchmark, window, gram)
     shared = rows.limit(max_shared + 1).collect()
     if len(shared) > max_shared:
-        return _by_shuffle(docs, rows, window, gram)
+        return _by_shuffle(docs, rows, window, gram, out, schema)
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(shared, window, gram))
 
     def scan(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             words = _words(batch.column("text").slice(a, b - a))
-            yield _result(batch.column("doc_id").slice(a, b - a), words, *matcher.value.hits(words), matcher.value.items)
+            yield out(batch.slice(a, b - a), words, *matcher.value.hits(words), matcher.value.items)
 
-    return per_batch(docs, scan, SCHEMA)
+    return per_batch(docs, scan, schema)
 
 
-def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int, out: Callable[..., dict], schema) -> DataFrame:
     """The same result for a benchmark of any size: both sides' fingerprints meet in a shuffle join."""
     sizes = sorted(r["size"] for r in rows.select("size").distinct().collect())  # at most `window` values
-    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
+    columns = docs.columns
+    keyed = docs.withColumn("_row_id", F.xxhash64("doc_id", "text"))
 
     def prints(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
@@ -185,15 +201,15 @@ def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> Dat
                 doc = words.doc[at]
                 yield {"row_id": ids[doc], "size": np.full(len(at), size, np.int32), "key": value.view(np.int64), "at": at - words.first[doc]}
 
-    found = per_batch(keyed.select("row_id", "text"), prints, "row_id long, size int, key long, at long").join(rows, ["size", "key"])
+    found = per_batch(keyed.select(F.col("_row_id").alias("row_id"), "text"), prints, "row_id long, size int, key long, at long").join(rows, ["size", "key"])
     found = found.groupBy("row_id").agg(F.collect_set(F.struct((F.col("at") - F.col("place")).alias("start"), "size", "one", "two", "item_id")).alias("found"))
-    joined = keyed.join(found, "row_id", "left").select("doc_id", "text", "found")
+    joined = keyed.join(found.select(F.col("row_id").alias("_row_id"), F.col("found").alias("_found")), "_row_id", "left").select(*columns, "_found")
 
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             words = _words(batch.column("text").slice(a, b - a))
             start, size, items, index = [], [], [], {}
-            for d, own in enumerate(batch.column("found").slice(a, b - a).to_pylist()):
+            for d, own in enumerate(batch.column("_found").slice(a, b - a).to_pylist()):
                 for x in own or ():
                     if x["start"] < 0 or x["start"] + x["size"] > words.counts[d]:
                         continue
@@ -202,6 +218,6 @@ def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> Dat
                         start.append(at[0])
                         size.append(x["size"])
                         items.append(index.setdefault(x["item_id"], len(index)))
-            yield _result(batch.column("doc_id").slice(a, b - a), words, np.array(start, np.int64), np.array(size, np.int64), np.array(items, np.int64), list(index))
+            yield out(batch.select(columns).slice(a, b - a), words, np.array(start, np.int64), np.array(size, np.int64), np.array(items, np.int64), list(index))
 
-    return per_batch(joined, verify, SCHEMA)
+    return per_batch(joined, verify, schema)

@@ -158,3 +158,16 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             }
 
     return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows that quality() keeps, with all columns; each is judged by its own text."""
+    order = plan_cascade(docs)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[dict]:
+        for a, b in w.chunks(batch.column("text")):
+            part = batch.slice(a, b - a)
+            part = part.filter(pa.array(cascade(Texts(part.column("text")), order)))
+            yield dict(zip(part.schema.names, part.columns, strict=True))
+
+    return per_batch(docs, keep, docs.schema)

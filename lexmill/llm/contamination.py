@@ -10,8 +10,8 @@ The fingerprint side comes from the benchmark. It is sent to the tasks as one so
 MAX_SHARED entries (a checked bound, 16 bytes each); a larger benchmark is joined by a shuffle on the fingerprint.
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; an item without words
-matches nothing; several items may hold the same window and all are named; rows with equal or null doc_id each
-get their own row; empty tables give empty or clean results; other columns are ignored.
+matches nothing; the words of an item with a null item_id count as hit, but no item is named for them; several
+items may hold the same window and all are named; rows with equal or null doc_id each get their own row; empty tables give empty or clean results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +139,8 @@ def _result(ids: pa.Array, words: w.Words, start: np.ndarray, size: np.ndarray,
     n_hit, n = w.per_text(marks, words.first), words.counts
     named: list[list[str]] = [[] for _ in n]
     for d, i in np.unique(np.stack([words.doc[start], item], 1), axis=0) if len(start) else ():
-        named[d].append(items[i])
+        if items[i] is not None:
+            named[d].append(items[i])
     named = [sorted(x) for x in named]
     return {
         "doc_id": ids,

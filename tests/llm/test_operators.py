@@ -117,6 +117,16 @@ def test_contamination_by_both_ways(spark, docs):
         assert {tuple(r)[:6] for r in contamination.contamination(docs, bench, max_shared=bound).collect()} == want
 
 
+def test_contamination_by_items_without_id(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "x " + passage[: passage.index(" w15")]), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), ("q", passage[: passage.index(" w15")])], "item_id string, text string")
+    for some, names in ((bench, ["q"]), (bench.where("item_id IS NULL"), [])):
+        for bound in (10**6, 1):
+            got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in contamination.contamination(docs, some, max_shared=bound).collect()}
+            assert got == {1: (20, len(names), names, True), 2: (15, len(names), names, True), 3: (0, 0, [], False)}
+
+
 def test_quality(docs):
     for r in quality.quality(docs).join(docs, "doc_id").collect():
         ws = split(r.text)

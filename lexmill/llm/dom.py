@@ -45,7 +45,7 @@ class Paths:
         if "=" in attributes:
             if attributes not in self.names:
                 found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-                self.names[attributes] = tuple(dict.fromkeys(_LETTERS.findall(_CAMEL.sub(" ", found).lower())))[:12]
+                self.names[attributes] = tuple(dict.fromkeys(_LETTERS.findall(_CAMEL.sub(" ", found).lower())))
             parts = self.names[attributes]
         key = (path, tag, parts)
         if key not in self.number:

@@ -6,7 +6,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, extraction, jaccard, language, licenses, mixing, quality, recompression, secrets, trigrams, warc
+from lexmill.llm import contamination, dom, extraction, jaccard, language, licenses, mixing, quality, recompression, secrets, trigrams, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rule0 string"
 
@@ -165,6 +165,13 @@ def test_extraction(spark):
     assert unescape("&amp;") == "&"
 
 
+def test_all_names_of_an_element_count():
+    names = " ".join(f"utility{chr(97 + i)}" for i in range(14))
+    paths = dom.Paths()
+    node = paths.nodes[paths.below(0, "div", f'class="{names}" id="pageSidebar"')]
+    assert node[2][-2:] == ("page", "sidebar") and len(node[2]) == 16
+
+
 def test_language(spark):
     rows = [(i, t, x, "lang") for i in range(80) for t, x in [("the cat and the dog are in the house" if i % 2 else "der hund und die katze sind im haus", "en" if i % 2 else "de")]]
     got = language.identify(spark.createDataFrame([*rows, (900, None, "en", ""), (901, "12 !!", "en", "")], "doc_id long, text string, lang string, slot string")).collect()

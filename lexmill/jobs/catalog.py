@@ -278,7 +278,7 @@ def markdown_sections(spark, sf_dir):
 )
 def css_rules(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    css = pages.select(F.col("page_id").alias("filename"), F.explode(F.regexp_extract_all("html", F.lit("<style>(.*?)</style>"), F.lit(1))).alias("content"))
+    css = pages.select(F.col("page_id").alias("filename"), F.explode(F.regexp_extract_all("html", F.lit("(?is)<style(?:\\s[^>]*)?>(.*?)</style\\s*>"), F.lit(1))).alias("content"))
     return E.css_rules(css).select(F.col("filename").alias("page_id"), "selector", "body", "type")
 
 

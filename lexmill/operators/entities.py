@@ -43,7 +43,7 @@ def css_rules(files: DataFrame) -> DataFrame:
     selectors = F.regexp_extract_all("content", F.lit(r"([^{}]+)\{[^{}]*\}"), F.lit(1))
     bodies = F.regexp_extract_all("content", F.lit(r"[^{}]+\{([^{}]*)\}"), F.lit(1))
     rows = files.select("filename", F.inline(F.arrays_zip(selectors.alias("selector"), bodies.alias("body"))))
-    rows = rows.withColumn("selector", F.trim("selector"))
+    rows = rows.withColumn("selector", F.regexp_replace("selector", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""))
     kind = F.when(F.col("selector").startswith("@media"), "css-media-query").when(F.col("selector").startswith("@keyframes"), "css-keyframes").when(F.col("selector").startswith("@"), "css-at-rule").otherwise("css-rule")
     return rows.select("filename", "selector", "body", kind.alias("type"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.functions import tokens as T
+from lexmill.jobs import catalog
 from lexmill.operators import entities as E
 from lexmill.operators import index as I
 from lexmill.operators import search as S
@@ -53,3 +54,9 @@ def test_search_equals_fts5(spark, sql, make):
     want = {i: round(x, 5) for i, x in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (sql,))}
     entities = spark.createDataFrame([(i, "", a, b, "", "", "") for i, a, b in ROWS], "id long, " + ", ".join(f"{f} string" for f in I.FIELDS))
     assert {r.id: round(r.score, 5) for r in S.rank_bm25(entities, make(spark)).collect()} == want
+
+
+def test_css_rules_of_all_style_elements(spark, tmp_path):
+    html = '<style>a {x}</style><STYLE type="text/css">\nb\n{y}\n</STYLE><style media=print>c {z}</style ><styled>d {w}</styled>'
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.selector, r.body) for r in catalog.QUERIES["css_rules"](spark, str(tmp_path)).collect()) == [("a", "x"), ("b", "y"), ("c", "z")]

@@ -2,12 +2,13 @@
 
 Of each run of consecutive words both sides keep the smallest hash of `GRAM`-word grams in every sliding window
 of `WINDOW - GRAM + 1` grams. Any shared span of at least WINDOW words then shares a kept fingerprint. A joined
-fingerprint is a hit that is extended to a whole item window and compared word by word hash by word hash
-(two independent 64-bit hashes). Items shorter than WINDOW words are one window; those of their own length are
+fingerprint is a hit that is extended to a whole item window and compared by two hashes, made of the two independent
+halves of the words' hashes (words.py). Items shorter than WINDOW words are one window; those of their own length are
 looked up directly, since winnowing guarantees only spans of WINDOW words.
 
-The fingerprint side comes from the benchmark. It is sent to the tasks as one sorted array while it has at most
-MAX_SHARED entries (a checked bound, 16 bytes each); a larger benchmark is joined by a shuffle on the fingerprint.
+The fingerprint side comes from the benchmark. It is counted first and sent to the tasks as sorted arrays while it
+has at most MAX_SHARED rows (40 bytes each and the item names); a larger benchmark is joined by a shuffle on the
+fingerprint.
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; an item without words
 matches nothing; the words of an item with a null item_id count as hit, but no item is named for them; several
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
-from lexmill.llm.tables import per_batch
+from lexmill.llm.tables import checkpointed, free_name, per_batch
 
 WINDOW = 13
 GRAM = 5
@@ -62,7 +63,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -
             for size in sorted({min(int(n), window) for n in words.counts if n}):
                 chosen = np.minimum(words.counts, window) == size
                 at, one = w.windows(words, size)
-                _, two = w.windows(words, size, seed=1)
+                _, two = w.windows(words, size, second=True)
                 own = chosen[words.doc[at]]
                 at, one, two = at[own], one[own], two[own]
                 if size == window:
@@ -85,15 +86,6 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     return per_batch(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")), make, "item_id string, size int, key long, place int, one long, two long").distinct()
 
 
-def _hashes_at(words: w.Words, at: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Hashes of the runs of `size` words that begin at `at`."""
-    total = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            total += words.hash[at + k] * np.uint64(pow(w._ROOT + 2 * seed, 2 * k + 3, 1 << 64) | 1)
-        return w.mix(total + np.uint64(size * 0x5851F42D4C957F2D % (1 << 64)))
-
-
 def _candidates(words: w.Words, sizes: list[int], window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for size in sizes:
         yield (size, *(winnow(words, gram, window) if size == window else w.windows(words, size)))
@@ -102,16 +94,19 @@ def _candidates(words: w.Words, sizes: list[int], window: int, gram: int) -> Ite
 class Matcher:
     """Item windows in sorted arrays, for use inside tasks."""
 
-    def __init__(self, rows: list, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, rows: pa.Table, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
-        self.items = sorted({r["item_id"] for r in rows}, key=str)
-        number = {x: i for i, x in enumerate(self.items)}
+        ids = rows.column("item_id").combine_chunks().dictionary_encode()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        self.items = [*ids.dictionary.to_pylist(), None]
+        item = ids.indices.fill_null(len(self.items) - 1).to_numpy().astype(np.int64)
+        columns = {c: rows.column(c).to_numpy().astype(np.int64) for c in ("size", "key", "place", "one", "two")}
         self.by_size = {}
-        for size in sorted({r["size"] for r in rows}):
-            own = [r for r in rows if r["size"] == size]
-            key = np.array([r["key"] for r in own], np.int64).view(np.uint64)
-            order = np.argsort(key, kind="stable")
-            self.by_size[size] = (key[order], *(np.array([r[c] for r in own], np.int64)[order] for c in ("place", "one", "two")), np.array([number[r["item_id"]] for r in own], np.int64)[order])
+        for size in np.unique(columns["size"]).tolist():
+            own = np.flatnonzero(columns["size"] == size)
+            key = columns["key"][own].view(np.uint64)
+            own = own[np.argsort(key, kind="stable")]
+            self.by_size[size] = (columns["key"][own].view(np.uint64), *(columns[c][own] for c in ("place", "one", "two")), item[own])
 
     def hits(self, words: w.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First words, sizes and item numbers of all occurrences of item windows."""
@@ -129,7 +124,7 @@ class Matcher:
             fits = (start >= 0) & (start + size <= len(doc))
             fits[fits] = (doc[start[fits]] == doc[gram_at[fits]]) & (doc[start[fits] + size - 1] == doc[gram_at[fits]])
             start, row = start[fits], row[fits]
-            same = (_hashes_at(words, start, size, 0).view(np.int64) == one[row]) & (_hashes_at(words, start, size, 1).view(np.int64) == two[row])
+            same = (w.runs_at(words, start, size).view(np.int64) == one[row]) & (w.runs_at(words, start, size, True).view(np.int64) == two[row])
             out.append((start[same], np.full(same.sum(), size), item[row[same]]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -175,10 +170,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_shared: int, out: Callable[..., dict], schema) -> DataFrame:
     """`out` of each chunk of rows, its words and the hits in them."""
     rows = item_windows(benchmark, window, gram)
-    shared = rows.limit(max_shared + 1).collect()
-    if len(shared) > max_shared:
+    rows = checkpointed(rows)
+    if rows.count() > max_shared:
         return _by_shuffle(docs, rows, window, gram, out, schema)
-    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(shared, window, gram))
+    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(rows.toArrow(), window, gram))
 
     def scan(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
@@ -191,31 +186,31 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_s
 def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int, out: Callable[..., dict], schema) -> DataFrame:
     """The same result for a benchmark of any size: both sides' fingerprints meet in a shuffle join."""
     sizes = sorted(r["size"] for r in rows.select("size").distinct().collect())  # at most `window` values
-    columns = docs.columns
-    keyed = docs.withColumn("_row_id", F.xxhash64("doc_id", "text"))
+    columns, row_id, list_name = docs.columns, free_name(docs, "row_id"), free_name(docs, "found")
+    keyed = docs.withColumn(row_id, F.concat_ws(":", F.xxhash64("text"), F.md5("text")))
 
     def prints(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             words = _words(batch.column("text").slice(a, b - a))
-            ids = batch.column("row_id").slice(a, b - a).to_numpy(zero_copy_only=False)
+            ids = np.array(batch.column("row_id").slice(a, b - a).to_pylist(), dtype=object)
             for size, at, value in _candidates(words, sizes, window, gram):
                 doc = words.doc[at]
-                yield {"row_id": ids[doc], "size": np.full(len(at), size, np.int32), "key": value.view(np.int64), "at": at - words.first[doc]}
+                yield {"row_id": pa.array(ids[doc].tolist(), pa.string()), "size": np.full(len(at), size, np.int32), "key": value.view(np.int64), "at": at - words.first[doc]}
 
-    found = per_batch(keyed.select(F.col("_row_id").alias("row_id"), "text"), prints, "row_id long, size int, key long, at long").join(rows, ["size", "key"])
+    found = per_batch(keyed.select(F.col(row_id).alias("row_id"), "text"), prints, "row_id string, size int, key long, at long").join(rows, ["size", "key"])
     found = found.groupBy("row_id").agg(F.collect_set(F.struct((F.col("at") - F.col("place")).alias("start"), "size", "one", "two", "item_id")).alias("found"))
-    joined = keyed.join(found.select(F.col("row_id").alias("_row_id"), F.col("found").alias("_found")), "_row_id", "left").select(*columns, "_found")
+    joined = keyed.join(found.select(F.col("row_id").alias(row_id), F.col("found").alias(list_name)), row_id, "left").select(*columns, list_name)
 
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             words = _words(batch.column("text").slice(a, b - a))
             start, size, items, index = [], [], [], {}
-            for d, own in enumerate(batch.column("_found").slice(a, b - a).to_pylist()):
+            for d, own in enumerate(batch.column(list_name).slice(a, b - a).to_pylist()):
                 for x in own or ():
                     if x["start"] < 0 or x["start"] + x["size"] > words.counts[d]:
                         continue
                     at = np.array([words.first[d] + x["start"]])
-                    if all(_hashes_at(words, at, x["size"], s).view(np.int64)[0] == x[c] for s, c in ((0, "one"), (1, "two"))):
+                    if all(w.runs_at(words, at, x["size"], second).view(np.int64)[0] == x[c] for second, c in ((False, "one"), (True, "two"))):
                         start.append(at[0])
                         size.append(x["size"])
                         items.append(index.setdefault(x["item_id"], len(index)))

@@ -2,11 +2,15 @@
 
 A small tolerant reader, run inside Spark tasks, one page at a time. Comments, scripts, styles and the like are
 dropped; character references are decoded; white space in a block becomes one space. `<br>` is white space.
+
+The reader goes forward only, so its time follows the page's length whatever the markup. A tag ends at the next `>`
+outside quotes; one that a new tag interrupts is dropped up to there, one that the page's end interrupts is dropped.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 RAW = ("script", "style", "template", "iframe", "svg", "object", "canvas")
@@ -18,10 +22,13 @@ BLOCK = frozenset(
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 _HOLDS_P = frozenset("article aside blockquote body button dd div fieldset figure footer form header li main nav section table td th".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements deeper than this (browsers stop at 512) keep their text but have the features of this depth.
+MAX_DEPTH = 256
+
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_IN_TAG = re.compile("[<>\"']")
+_NEW_TAG = re.compile("[a-zA-Z/!]")
+_RAW_END = {x: re.compile(rf"</{x}\b[^<>]*>", re.I) for x in RAW}
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile("[a-z]+")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
@@ -54,11 +61,64 @@ class Paths:
         return self.number[key]
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("", "", text), ("open" or "close", tag, attributes) of a page, in order."""
+    at, n, no_more = 0, len(html), set()
+
+    def tag_end(place: int) -> tuple[int, int]:
+        """Where the tag's attributes and the tag itself end."""
+        while m := _IN_TAG.search(html, place):
+            place = m.end()
+            sign = m[0]
+            if sign == ">":
+                return m.start(), place
+            if sign == "<":
+                if _NEW_TAG.match(html, place):
+                    return m.start(), m.start()
+            elif sign not in no_more:
+                end = html.find(sign, place)
+                if end < 0:
+                    no_more.add(sign)
+                else:
+                    place = end + 1
+        return n, n
+
+    while at < n:
+        place = html.find("<", at)
+        if place < 0:
+            yield "", "", html[at:]
+            return
+        if place > at:
+            yield "", "", html[at:place]
+        if html.startswith("<!--", place):
+            end = html.find("-->", place + 4)
+            at = n if end < 0 else end + 3
+        elif html[place + 1 : place + 2] in ("!", "?"):
+            end = html.find(">", place)
+            at = n if end < 0 else end + 1
+        elif m := _TAG.match(html, place + 1):
+            tag = m[2].lower()
+            inner, at = tag_end(m.end())
+            if at == inner:
+                continue
+            attributes = html[m.end() : inner]
+            if tag in _RAW_END and not m[1]:
+                if not attributes.endswith("/"):
+                    end = _RAW_END[tag].search(html, at)
+                    at = end.end() if end else n
+            else:
+                yield "close" if m[1] else "open", tag, attributes
+        else:
+            yield "", "", "<"
+            at = place + 1
+
+
 def leaf_blocks(html: str, paths: Paths) -> list[tuple[int, str, float]]:
     """(path, text, share of the text inside links) of each non-empty leaf block, in page order."""
     out: list[tuple[int, str, float]] = []
     pieces: list[str] = []
     opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
     linked, in_link, at = 0, 0, 0
 
     def flush():
@@ -78,28 +138,27 @@ def leaf_blocks(html: str, paths: Paths) -> list[tuple[int, str, float]]:
             linked += len(text)
 
     def close(which, bars=()):
+        if not any(count.get(x) for x in which):
+            return
         for i in range(len(opened) - 1, -1, -1):
             if opened[i][0] in which:
+                for x, _ in opened[i:]:
+                    count[x] -= 1
                 del opened[i:]
                 return
             if opened[i][0] in bars:
                 return
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            in_link = 0 if m[2] else 1
+    for kind, tag, rest in tokens(html):
+        if not kind:
+            add(rest)
+        elif tag == "a":
+            in_link = 1 if kind == "open" else 0
         elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCK:
             flush()
-            if m[2]:
+            if kind == "close":
                 close({tag})
                 if tag in _HOLDS_P:
                     in_link = 0
@@ -107,9 +166,9 @@ def leaf_blocks(html: str, paths: Paths) -> list[tuple[int, str, float]]:
                 close({"p"}, _HOLDS_P)
                 if tag in _ENDS:
                     close(*_ENDS[tag])
-                if not m[4].endswith("/"):
-                    opened.append((tag, paths.below(opened[-1][1] if opened else 0, tag, m[4])))
-    if at < len(html):
-        add(html[at:])
+                if not rest.endswith("/"):
+                    above = opened[-1][1] if opened else 0
+                    opened.append((tag, paths.below(above, tag, rest) if len(opened) < MAX_DEPTH else above))
+                    count[tag] = count.get(tag, 0) + 1
     flush()
     return out

@@ -6,7 +6,7 @@ the label of the block before. It is trained by gradient ascent on labelled page
 and decoded by Viterbi for each page inside the tasks.
 
 Defined cases: a null or empty html has an empty text; a page without main text too; text outside any tag is a block;
-unclosed comments, scripts and tags end with the page; rows with equal or null page_id each get their own row;
+unclosed comments and scripts end with the page; an unclosed tag is dropped up to the next tag or the page's end; rows with equal or null page_id each get their own row;
 very long pages are read whole; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -16,8 +16,12 @@ A document's set holds its distinct word shingles. Equal sets are one class from
    the links of all tasks to components.
 
 Defined cases: without words or with a null text a set is empty and links with nothing; a text of fewer words
-than a shingle is one shingle; rows with a null doc_id have a null component and link nothing; rows with equal
-doc_id are joined through their sets only; a repeated row has the row's result; other columns are ignored.
+than a shingle is one shingle; rows with a null doc_id have a null component and link nothing; rows with words and
+one doc_id are one node: whatever one of them links with, all are joined with (a row without words stays alone under
+its own doc_id); a repeated row has the row's result; a text of any length is read whole, alone if it is longer than a
+chunk; an empty table gives an empty result; other columns are ignored.
+
+Equal sets are found by two hashes from the two halves of the words' hashes; overlaps count shingles by the first.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
 from lexmill.llm.components import components
-from lexmill.llm.tables import checkpointed, per_batch, typed
+from lexmill.llm.tables import checkpointed, frequent, join_counted, per_batch, salted, typed
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,30 +48,31 @@ SPARE = 2
 HUBS = 2
 #: Guests that one part of an asked group has about.
 GUESTS = 512
+#: Classes of which only one copy signs, and the share of the documents that shows which signatures are frequent.
+MAX_COPIED = 4096
+SAMPLE_SHARE = 1 / 32
 #: Visits (a few numbers each) that are sent to every task; more are joined by a shuffle.
 MAX_SHARED = 50_000
 
 _U = np.uint64
 
 
-def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and their n+1 offsets."""
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, their n+1 offsets and second hashes."""
     words = w.find_words(texts, fold=w.LOWER_AZ)
     counts, doc = words.counts, words.doc
     at, value = w.windows(words, shingle)
+    second = w.runs_at(words, at, shingle, True)
     owner = doc[at]
     for size in range(1, shingle):
-        short = np.flatnonzero(counts == size)
-        if len(short):
-            at, one = w.windows(words, size)
-            own = counts[doc[at]] == size
-            owner, value = np.concatenate([owner, doc[at[own]]]), np.concatenate([value, one[own]])
+        if (counts == size).any():
+            at = words.first[:-1][counts == size]
+            owner, value, second = np.concatenate([owner, doc[at]]), np.concatenate([value, w.runs_at(words, at, size)]), np.concatenate([second, w.runs_at(words, at, size, True)])
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(value), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+    return value[new], np.searchsorted(owner[new], np.arange(len(texts) + 1)), second[order[new]]
 
 
 def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -77,10 +82,10 @@ def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def set_keys(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set."""
+def set_keys(value: np.ndarray, offsets: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set, from the first and the second hashes of its shingles."""
     with np.errstate(over="ignore"):
-        return tuple(w.mix(_sums(w.mix(value + _U(salt)), offsets) + _U(salt)) for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
+        return tuple(w.mix(_sums(w.mix(x + _U(salt)), offsets) + _U(salt)) for x, salt in ((value, 0x2545F4914F6CDD1D), (second, 0x9E6C63D0876A9A47)))
 
 
 def bands(largest: int) -> np.ndarray:
@@ -139,22 +144,15 @@ def block_signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tu
 
 def signed_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, key, check (of the set), the shared blocks that a similar set needs (by band parity) and block
-    signatures (once for equal sets of a batch)."""
+    signatures."""
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
-        seen: set[tuple[int, int]] = set()
         for a, b in w.chunks(batch.column("text")):
-            value, offsets = shingle_sets(batch.column("text").slice(a, b - a), shingle)
-            key, check = set_keys(value, offsets)
-            fresh = np.zeros(b - a, bool)
-            for i, pair in enumerate(zip(key.tolist(), check.tolist(), strict=True)):
-                if pair not in seen:
-                    seen.add(pair)
-                    fresh[i] = True
+            value, offsets, second = shingle_sets(batch.column("text").slice(a, b - a), shingle)
+            key, check = set_keys(value, offsets, second)
             owner, signature, needs = block_signatures(value, offsets, percent)
-            keep = fresh[owner]
-            order = np.argsort(owner[keep], kind="stable")
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[keep][order], np.arange(b - a + 1)), pa.int32()), pa.array(signature[keep][order].view(np.int64)))
+            order = np.argsort(owner, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(b - a + 1)), pa.int32()), pa.array(signature[order].view(np.int64)))
             yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": np.diff(offsets), "key": key.view(np.int64), "check": check.view(np.int64), "need0": needs[:, 0], "need1": needs[:, 1], "signatures": lists}
 
     return per_batch(docs, make, "doc_id long, n_shingles long, key long, check long, need0 int, need1 int, signatures array<long>")
@@ -251,8 +249,8 @@ def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def hubs(shared: DataFrame, orders: range) -> DataFrame:
     """(key, order, hub): each signature names the set that is first in an order; most of a set's signatures name its hub."""
-    first = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in orders])
-    named = shared.join(first, "signature").select("key", F.posexplode(F.array(*[f"hub{i}" for i in orders])).alias("order", "hub"))
+    first = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in orders], F.count("*").alias("n"))
+    named = join_counted(shared, first, ["signature"]).select("key", F.posexplode(F.array(*[f"hub{i}" for i in orders])).alias("order", "hub"))
     votes = named.groupBy("key", "order", "hub").agg(F.count("*").alias("n"))
     return votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
 
@@ -283,12 +281,12 @@ def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     A rank orders components: larger ones are higher.
     """
     found = components(links)
-    rooted = classes.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = classes.drop("n").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = rooted.join(sizes, "root").select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
+    ranked = join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
     tagged = shared.join(ranked, "key")
-    spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
-    return tagged.join(spread, "signature", "left_semi")
+    spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n")).where("low < high").select("signature", "n")
+    return join_counted(tagged, spread, ["signature"]).drop("n")
 
 
 def opened_groups(live: DataFrame) -> DataFrame:
@@ -319,8 +317,8 @@ def _token_sets(docs: DataFrame, meets: DataFrame, shingle: int, small: bool) ->
 
     def tokens(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
-            value, offsets = shingle_sets(batch.column("text").slice(a, b - a), shingle)
-            key, check = set_keys(value, offsets)
+            value, offsets, second = shingle_sets(batch.column("text").slice(a, b - a), shingle)
+            key, check = set_keys(value, offsets, second)
             rows = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "meets", "key", "check")}
             same = pa.array((rows.pop("key").to_numpy() == key.view(np.int64)) & (rows.pop("check").to_numpy() == check.view(np.int64)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
@@ -345,12 +343,16 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     full = signed_sets(docs, shingle, percent)
     signed = checkpointed(full.drop("signatures"))
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    values = {"doc_id": F.min("doc_id")} | {c: F.first(c) for c in ("need0", "need1")}
+    values = {"doc_id": F.min("doc_id"), "n": F.count("*")} | {c: F.first(c) for c in ("need0", "need1")}
     classes = checkpointed(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()]))
+    # Of the classes with most copies (a fixed number) only the smallest doc_id signs.
+    copied = classes.orderBy(F.desc("n")).limit(MAX_COPIED).select("key", "check", F.col("doc_id").alias("first"))
+    fresh = full.where("doc_id IS NOT NULL AND n_shingles > 0").join(F.broadcast(copied), ["key", "check"], "left").where("first IS NULL OR doc_id = first")
 
-    near = Window.partitionBy("signature").orderBy("key")
-    alike = full.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.explode("signatures").alias("signature"), "key").select("signature", "key", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
-    shared = checkpointed(supported(checkpointed(alike.where("before < key OR after > key").select("signature", "key").distinct()), classes))
+    often = frequent(signed_sets(docs.where("doc_id IS NOT NULL").sample(SAMPLE_SHARE, 7), shingle, percent).select(F.explode("signatures").alias("signature"), "key").distinct(), "signature")  # of several sets each: shared
+    near = Window.partitionBy("signature", "salt").orderBy("key")
+    alike = salted(fresh.select(F.explode("signatures").alias("signature"), "key"), often, "signature", "key").select("signature", "key", "frequent", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
+    shared = checkpointed(supported(checkpointed(alike.where("frequent OR before < key OR after > key").select("signature", "key").distinct()), classes))
 
     links = checkpointed(_meet(docs, classes, meetings(shared).withColumn("member", F.lit(True)), shingle, percent))
     live = checkpointed(undecided(shared, classes, links))
@@ -359,9 +361,11 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     n = places.count()
     if n:
         links = links.unionByName(_meet(docs, classes, places, shingle, percent, n <= MAX_SHARED))
-    links = components(links)
-
-    named = classes.select("key", "check", F.col("doc_id").alias("first"))
-    rows = signed.select("doc_id", "n_shingles", "key", "check").join(named, ["key", "check"], "left").join(links.select(F.col("node").alias("first"), "root"), "first", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "first", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    named = classes.select("key", "check", F.col("doc_id").alias("first"), "n")
+    rows = checkpointed(join_counted(known, named, ["key", "check"]).select("doc_id", "n_shingles", "first"))
+    # Different sets of one doc_id are joined through it.
+    several = rows.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
+    several = rows.join(several, "doc_id").select("a", F.col("first").alias("b")).distinct()
+    links = components(links.unionByName(several)).select(F.col("node").alias("first"), "root")
+    rows = rows.join(links, "first", "left").select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id"))
+    return rows.unionByName(signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -1,18 +1,19 @@
 """Quality rules as a short-circuit cascade: cheap and selective rules first.
 
-A text that fails a rule is rejected and the later rules skip it. Each rule's cost and rejection rate are
-measured on a bounded sample (SAMPLE_ROWS); the rules then run by rejections per second, best first. The
-order changes the time only: the verdict is the conjunction of all rules.
+A text that fails a rule is rejected and the later rules skip it. On a sample of about SAMPLE_ROWS rows each rule's
+cost (processor time, as a power of two) and the texts it rejects are measured; the next rule is always the one that
+rejects most of the sampled texts still left for its cost. Words are found once; what a rule counts is kept for
+the later ones. The order changes the time only: the verdict is the conjunction of all rules.
 
 Defined cases: a null or empty text has no words, zero counts and fails the base rule; repeated rows each get
-their own row; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
+their own row; a null doc_id stays null; very long texts are judged whole, alone if longer than a chunk; an empty table
+gives an empty result; other columns are ignored by quality() and kept by passing().
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import words as w
 from lexmill.llm.tables import per_batch
 
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows, about, of the sample on which costs and selectivities are estimated; it sets the order of the rules only.
 SAMPLE_ROWS = 512
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -33,68 +34,69 @@ UPPER = w._table(bytes(range(65, 91)))
 LETTER = w._table(bytes(range(65, 91)) + bytes(range(97, 123)))
 
 
-@dataclass
 class Texts:
-    """A chunk of texts with the counts that rules ask for, made on first use."""
+    """A chunk of texts with the counts that rules ask for, made on first use and kept."""
 
-    texts: pa.Array
-    words: w.Words = field(init=False)
-
-    def __post_init__(self):
-        self.words = w.find_words(self.texts)
+    def __init__(self, texts: pa.Array, words: w.Words | None = None, known: dict[str, np.ndarray] | None = None):
+        self.texts, self.words, self.known = texts, words or w.find_words(texts), known or {}
 
     def take(self, keep: np.ndarray) -> Texts:
-        return Texts(self.texts.take(pa.array(np.flatnonzero(keep))))
+        return Texts(self.texts.filter(pa.array(keep)), self.words.take(keep), {k: v[keep] for k, v in self.known.items()})
+
+    def count(self, name: str) -> np.ndarray:
+        if name not in self.known:
+            self.known[name] = COUNTS[name](self)
+        return self.known[name]
 
     def bytes_in(self, table: np.ndarray) -> np.ndarray:
         return w.per_text(table[self.words.data], self.words.offsets)
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines with a word, and of these the ones equal to an earlier line of the text."""
-        total, again = [], []
-        for text in self.texts.to_pylist():
-            own = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
-            total.append(len(own))
-            again.append(len(own) - len(set(own)))
-        return np.array(total, np.int64), np.array(again, np.int64)
-
-    def repeat_words(self) -> np.ndarray:
-        """Words that lie in a run of three words found twice or more in the text."""
-        at, value = w.windows(self.words, 3)
-        doc = self.words.doc[at]
-        order = np.lexsort((value, doc))
-        same = (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        return w.per_text(w.covered(at[twice], 3, len(self.words.hash)), self.words.first)
-
-
-#: name -> marks of the texts that the rule rejects. Thresholds are per word, letter or line of the text.
-RULES: dict[str, Callable[[Texts], np.ndarray]] = {
-    "few_words": lambda t: t.words.counts < MIN_WORDS,
-    "repeated_runs": lambda t: 100 * t.repeat_words() > MAX_REPEAT_PERCENT * t.words.counts,
-    "symbols": lambda t: 10 * t.bytes_in(SYMBOLS) > t.words.counts,
-    "exclamations": lambda t: 3 * t.bytes_in(SENTENCE_SHOUT) > t.words.counts,
-    "capitals": lambda t: 10 * t.bytes_in(UPPER) > 4 * t.bytes_in(LETTER),
-    "word_length": lambda t: _odd_word_length(t),
-    "same_lines": lambda t: _same_lines(t),
-}
-
 
 def _word_chars(t: Texts) -> np.ndarray:
     data = t.words.data
     return w.per_text(w.NON_SPACE[data] & ((data & 0xC0) != 0x80), t.words.offsets)
 
 
-def _odd_word_length(t: Texts) -> np.ndarray:
-    chars, n = _word_chars(t), t.words.counts
-    return (chars < 2 * n) | (chars > 20 * n)
-
+def _lines(t: Texts) -> list[list[str]]:
+    """The lines with a word of each text."""
+    return [[x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")] for text in t.texts.to_pylist()]
+
+
+def _repeat_words(t: Texts) -> np.ndarray:
+    """Words that lie in a run of three words found twice or more in the text; runs are compared by both hashes."""
+    at, one = w.windows(t.words, 3)
+    two, doc = w.runs_at(t.words, at, 3, True), t.words.doc[at]
+    order = np.lexsort((one, doc))
+    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (one, two, doc)]) if len(at) else np.zeros(0, bool)
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return w.per_text(w.covered(at[twice], 3, len(t.words.hash)), t.words.first)
+
+
+COUNTS: dict[str, Callable[[Texts], np.ndarray]] = {
+    "words": lambda t: t.words.counts,
+    "word_chars": _word_chars,
+    "symbols": lambda t: t.bytes_in(SYMBOLS),
+    "shouts": lambda t: t.bytes_in(SENTENCE_SHOUT),
+    "upper": lambda t: t.bytes_in(UPPER),
+    "letters": lambda t: t.bytes_in(LETTER),
+    "lines": lambda t: np.array([len(x) for x in _lines(t)], np.int64),
+    "dup_lines": lambda t: np.array([len(x) - len(set(x)) for x in _lines(t)], np.int64),
+    "repeat_words": _repeat_words,
+}
 
-def _same_lines(t: Texts) -> np.ndarray:
-    total, again = t.lines()
-    return 2 * again > total
+#: name -> marks of the texts that the rule rejects. Thresholds are per word, letter or line of the text.
+RULES: dict[str, Callable[[Texts], np.ndarray]] = {
+    "few_words": lambda t: t.count("words") < MIN_WORDS,
+    "repeated_runs": lambda t: 100 * t.count("repeat_words") > MAX_REPEAT_PERCENT * t.count("words"),
+    "symbols": lambda t: 10 * t.count("symbols") > t.count("words"),
+    "exclamations": lambda t: 3 * t.count("shouts") > t.count("words"),
+    "capitals": lambda t: 10 * t.count("upper") > 4 * t.count("letters"),
+    "word_length": lambda t: (t.count("word_chars") < 2 * t.count("words")) | (t.count("word_chars") > 20 * t.count("words")),
+    "same_lines": lambda t: 2 * t.count("dup_lines") > t.count("lines"),
+}
+BASE = ("few_words", "repeated_runs")
 
 
 def cascade(t: Texts, order: list[str]) -> np.ndarray:
@@ -112,50 +114,67 @@ def cascade(t: Texts, order: list[str]) -> np.ndarray:
     return kept
 
 
-def plan_cascade(docs: DataFrame, rules: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names ordered by rejections per second on at most `sample_rows` rows; a fixed order for an empty sample."""
-    names = list(rules or RULES)
+def plan_cascade(docs: DataFrame, judged: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names, best first, for texts that pass the rules of `judged`; as listed where the sample is empty."""
+    names = [x for x in RULES if x not in judged]
 
     def measure(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column(0)):
-            texts = Texts(batch.column(0).slice(a, b - a))
+            texts = batch.column(0).slice(a, b - a)
+            passed = cascade(Texts(texts), list(judged))
+            texts, costs, verdicts = texts.filter(pa.array(passed)), [], []
+            if not len(texts):
+                continue
             for name in names:
-                began = time.perf_counter()
-                rejected = int(RULES[name](texts).sum())
-                yield {"rule": [name], "rejected": [rejected], "seconds": [time.perf_counter() - began]}
-
-    sample = docs.select("text").limit(sample_rows)
-    found = per_batch(sample, measure, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
-    worth = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in found}
-    return sorted(names, key=lambda x: -worth.get(x, 0.0))
+                spent = []
+                for _ in range(2):
+                    fresh = Texts(texts)
+                    began = time.process_time()
+                    verdict = RULES[name](fresh)
+                    spent.append(time.process_time() - began)
+                costs.append(min(spent))
+                verdicts.append(verdict)
+            rejects = (np.array(verdicts).T << np.arange(len(names))).sum(1)
+            yield {"rejects": rejects.astype(np.int64), "costs": pa.array([(np.array(costs) / len(texts)).tolist()] * len(texts), pa.list_(pa.float64()))}
+
+    n = docs.count()
+    sample = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, sample_rows / max(n, 1)), 5)
+    rows = per_batch(sample, measure, "rejects long, costs array<double>").collect()  # a few numbers for each sampled row
+    return _greedy(names, np.array([r["rejects"] for r in rows], np.int64), np.array([r["costs"] for r in rows], float).reshape(-1, len(names)))
+
+
+def _greedy(names: list[str], rejects: np.ndarray, costs: np.ndarray) -> list[str]:
+    """Each next rule rejects most of the texts that are left for its cost; equal ones stay as listed."""
+    if not len(rejects):
+        return names
+    cost = 2.0 ** np.round(np.log2(np.maximum(costs.mean(0), 1e-9)))
+    order, left = [], list(range(len(names)))
+    while left:
+        worth = [float(((rejects >> k) & 1).sum()) / cost[k] for k in left]
+        best = left.pop(int(np.argmax(worth)))
+        order.append(names[best])
+        rejects = rejects[((rejects >> best) & 1) == 0]
+    return order
 
 
 def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, the four base counts, base_failed, kept.
 
     `base_failed` fails texts of fewer than 50 words or with over half of the words in repeated three-word runs;
-    `kept` also needs the further rules of RULES, run as a cascade over the texts that passed the base rule.
+    `kept` also needs the further rules of RULES, run as a cascade over the texts that passed the base rule. The base
+    counts are part of the result, so every text has them; rules that ask for the same counts get them for nothing.
     """
-    order = [x for x in plan_cascade(docs, sample_rows=sample_rows) if x not in ("few_words", "repeated_runs")]
+    order = plan_cascade(docs, BASE, sample_rows)
 
     def judge(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             t = Texts(batch.column("text").slice(a, b - a))
-            n, repeat = t.words.counts, t.repeat_words()
-            failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-            kept = np.zeros(len(n), bool)
+            base = {f"n_{x}" if x != "word_chars" else x: t.count(x) for x in ("words", "word_chars", "symbols", "dup_lines", "repeat_words")}
+            failed = RULES["few_words"](t) | RULES["repeated_runs"](t)
+            kept = np.zeros(b - a, bool)
             if not failed.all():
                 kept[~failed] = cascade(t.take(~failed), order)
-            yield {
-                "doc_id": batch.column("doc_id").slice(a, b - a),
-                "n_words": n,
-                "word_chars": _word_chars(t),
-                "n_symbols": t.bytes_in(SYMBOLS),
-                "n_dup_lines": t.lines()[1],
-                "n_repeat_words": repeat,
-                "base_failed": failed,
-                "kept": kept,
-            }
+            yield {"doc_id": batch.column("doc_id").slice(a, b - a)} | base | {"base_failed": failed, "kept": kept}
 
     return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 

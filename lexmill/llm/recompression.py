@@ -14,9 +14,14 @@ symbols than windows have to meet:
 1. symbols: (symbol, doc_id), each once a text; a symbol of one document alone hides no repeat;
 2. reveal: shared symbols go back to their documents, and only the windows filed under them are hashed, in
    one row for all equal occurrences in a document;
-3. verify: equal windows meet (128 bits: symbol and window hash); all but those in the smallest doc_id count;
+3. verify: equal windows meet, by their symbol (named from the second halves of the words' hashes, words.py) and
+   by the hash of all their words (from the first halves); all but those in the smallest doc_id count;
 4. remove: the covered words leave the texts.
 
+Symbols that a sample shows to be very frequent are dealt out by symbol and a salt of the doc_id: a window that
+is not the smallest of its salt is repeated for certain, and only the smallest ones of each salt meet again. The
+sample decides how rows are dealt, never what is found.
+
 Texts that are copies of a whole text of a smaller doc_id need no windows: all their windows are repeats. The
 text itself is dealt out by doc_id once; steps 2 and 4 read the same exchange.
 
@@ -35,11 +40,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
-from lexmill.llm.tables import checkpointed, per_batch, typed
+from lexmill.llm.tables import checkpointed, frequent, join_counted, per_batch, salted, typed
 
 WINDOW = 13
 PAIR_ROUNDS = 3
 MIN_WEIGHT = 3
+#: Share of the documents that shows which symbols are frequent, and the parts into which those are dealt.
+SAMPLE_SHARE = 1 / 32
+SALTS = 16
 
 _U = np.uint64
 _FAR = 1 << 60
@@ -47,10 +55,11 @@ _FAR = 1 << 60
 
 def _rounds(words: w.Words, pair_rounds: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Symbols of each round: name, first and past-the-last word, footprint (low, high)."""
-    n = len(words.hash)
+    hash_ = words.hash2
+    n = len(hash_)
     doc = words.doc
     fresh = np.ones(n, bool)
-    fresh[1:] = (words.hash[1:] != words.hash[:-1]) | (doc[1:] != doc[:-1])
+    fresh[1:] = (hash_[1:] != hash_[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(fresh)
     end = np.append(start[1:], n)
     doc = doc[start]
@@ -59,7 +68,7 @@ def _rounds(words: w.Words, pair_rounds: int) -> Iterator[tuple[np.ndarray, ...]
     low[start == first] = -_FAR
     high[end == last] = _FAR
     with np.errstate(over="ignore"):
-        name = np.where(end - start == 1, words.hash[start], w.mix(words.hash[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407)))
+        name = np.where(end - start == 1, hash_[start], w.mix(hash_[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407)))
         yield name, start, end, low, high
         for r in range(1, pair_rounds + 1):
             right = (w.mix(name + _U(r * 0x9FB21C651E98DF25 % (1 << 64))) >> _U(63)).astype(bool)
@@ -88,7 +97,7 @@ def _rounds(words: w.Words, pair_rounds: int) -> Iterator[tuple[np.ndarray, ...]
 def filed(words: w.Words, window: int = WINDOW, pair_rounds: int = PAIR_ROUNDS, min_weight: int = MIN_WEIGHT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words and hashes of all windows, and the name each is filed under."""
     at, value = w.windows(words, window)
-    symbol = w.mix(value ^ _U(0x5BF0363553E0F2A1))
+    symbol = np.zeros(len(at), _U)
     if not len(at):
         return at, value, symbol
     open_ = np.arange(len(at))
@@ -102,6 +111,7 @@ def filed(words: w.Words, window: int = WINDOW, pair_rounds: int = PAIR_ROUNDS,
         fits[fits] = high[index[fits]] <= at[open_[fits]] + window
         symbol[open_[fits]] = name[index[fits]]
         open_ = open_[~fits]
+    symbol[open_] = w.mix(w.runs_at(words, at[open_], window, second=True) ^ _U(0x5BF0363553E0F2A1))
     return at, value, symbol
 
 
@@ -123,11 +133,11 @@ def symbols(docs: DataFrame) -> DataFrame:
     return per_batch(docs, make, "doc_id long, symbol long")
 
 
-def shared_symbols(found: DataFrame) -> DataFrame:
+def shared_symbols(found: DataFrame, often: DataFrame) -> DataFrame:
     """The (doc_id, symbol) rows whose symbol occurs in another document too; one pass over rows sorted by symbol."""
-    near = Window.partitionBy("symbol").orderBy("doc_id")
-    found = found.select("symbol", "doc_id", F.lag("doc_id").over(near).alias("before"), F.lead("doc_id").over(near).alias("after"))
-    return found.where("before < doc_id OR after > doc_id").select("symbol", "doc_id")
+    near = Window.partitionBy("symbol", "salt").orderBy("doc_id")
+    found = salted(found, often, "symbol", "doc_id", SALTS).select("symbol", "doc_id", "frequent", F.lag("doc_id").over(near).alias("before"), F.lead("doc_id").over(near).alias("after"))
+    return found.where("frequent OR before < doc_id OR after > doc_id").select("symbol", "doc_id")
 
 
 def _filed_windows(docs: DataFrame) -> DataFrame:
@@ -176,12 +186,16 @@ def _filed_windows(docs: DataFrame) -> DataFrame:
     return per_batch(docs, make, "symbol long, doc_id long, version long, starts array<int>, hashes array<long>")
 
 
-def repeated_windows(occurrences: DataFrame) -> DataFrame:
+def repeated_windows(occurrences: DataFrame, often: DataFrame) -> DataFrame:
     """(doc_id, version, starts, mask): windows that also start in a document of a smaller doc_id."""
-    each = occurrences.repartition("symbol").select("symbol", "doc_id", "version", "starts", F.posexplode("hashes").alias("place", "hash"))
-    least = F.first("doc_id").over(Window.partitionBy("symbol", "hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    each = each.withColumn("least", least).where("least < doc_id")
-    return each.groupBy("symbol", "doc_id", "version", "starts").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")).select("doc_id", "version", "starts", "mask")
+    dealt = salted(occurrences, often, "symbol", "doc_id", SALTS).repartition("symbol", "salt")
+    each = dealt.select("symbol", "salt", "frequent", "doc_id", "version", "starts", F.posexplode("hashes").alias("place", "hash"))
+    least = lambda *keys: F.first("doc_id").over(Window.partitionBy(*keys, "hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    here = each.withColumn("least", least("symbol", "salt"))
+    # The smallest of each salt meet once more: at most SALTS documents a window.
+    met = here.where("frequent AND least = doc_id").withColumn("least", least("symbol"))
+    masks = lambda rows, *keys: rows.where("least < doc_id").groupBy(*keys, "doc_id", "version", "starts").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")).select("doc_id", "version", "starts", "mask")
+    return masks(here, "symbol", "salt").unionByName(masks(met, "symbol"))
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
@@ -219,15 +233,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     unnamed = docs.where("doc_id IS NULL").withColumns({"version": F.lit(0).cast("long"), "cuts": F.lit(None).cast(cut)})
     named = docs.where("doc_id IS NOT NULL")
 
-    marks = named.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.xxhash64(F.lit(1), "text").alias("check"))
-    originals = marks.groupBy("version", "check").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = checkpointed(marks.join(originals, ["version", "check"]).where("original < doc_id").select("doc_id", "version").distinct())
+    marks = named.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.md5("text").alias("check"))
+    originals = marks.groupBy("version", "check").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    copies = checkpointed(join_counted(marks, originals, ["version", "check"]).where("original < doc_id").select("doc_id", "version").distinct())
     only_copies = copies.groupBy("doc_id").agg(F.count("*").alias("n")).join(marks.select("doc_id", "version").distinct().groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id")
 
-    shared = shared_symbols(symbols(named)).join(only_copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols"))
+    often = frequent(symbols(named.sample(SAMPLE_SHARE, 7)).distinct(), "symbol")  # of several documents each: shared
+    shared = shared_symbols(symbols(named), often).join(only_copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols"))
     dealt = named.withColumn("version", F.xxhash64("text"))
     occurrences = _filed_windows(dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "version", "symbols"))
-    cuts = repeated_windows(occurrences).unionByName(copies.select("doc_id", "version", F.array(F.lit(-1)).alias("starts"), F.lit(0).alias("mask")))
+    cuts = repeated_windows(occurrences, often).unionByName(copies.select("doc_id", "version", F.array(F.lit(-1)).alias("starts"), F.lit(0).alias("mask")))
     cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("version", "starts", "mask")).alias("cuts"))
     joined = dealt.join(cuts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "version", "cuts")
     return _without(joined.unionByName(unnamed), WINDOW)

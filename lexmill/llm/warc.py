@@ -5,9 +5,14 @@ the digest of one slot's records, an inner node the digest of up to FANOUT child
 offset range. Trees of two replicas are compared from the root down: only children of differing nodes are
 looked at, until the differing leaves locate the records.
 
+Every level is kept before the next one is made of it, so a tree costs one pass over the pages and a sixteenth of
+its size more for each level; the descent reads of each level only the children of differing nodes.
+
 Defined cases: a null url or html is an empty string; rows with one page_id make one leaf (a digest over each
-distinct record and its count); null page ids make one leaf in a file of their own; an empty replica reports every
-record of the other; equal replicas give no rows; other columns are ignored.
+distinct record and its count); rows with a null page_id lie in files of their own (NULL_FILE and up) by their digest,
+so that no leaf gathers them all; repeated records count as often as they are there; an empty replica reports every
+record of the other, two empty ones nothing; equal replicas give no rows; texts of any length are hashed whole; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ FANOUT = 16
 FILE_SLOTS = 256
 #: Levels from a leaf to a file's root, as FANOUT ** 2 == FILE_SLOTS.
 FILE_LEVELS = 2
+#: First file of the records without a page_id; they fill up to NULL_FILES of them.
+NULL_FILE, NULL_FILES = -(1 << 40), 1 << 16
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -38,10 +45,17 @@ def leaves(pages: DataFrame) -> DataFrame:
     """One row a page_id: file, slot, digest, start and end offset in the file."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
     rows = rows.select("page_id", F.sha2("record", 256).alias("sha"), F.octet_length("record").cast("long").alias("bytes"))
-    copies = rows.groupBy("page_id", "sha", "bytes").agg(F.count("*").alias("n"))
-    slots = copies.groupBy("page_id").agg(F.sum(F.col("bytes") * F.col("n")).alias("bytes"), F.array_sort(F.collect_list(F.concat_ws(":", "sha", "n"))).alias("parts"))
-    slots = slots.select("page_id", "bytes", F.when(F.size("parts") == 1, F.element_at("parts", 1)).otherwise(F.sha2(F.array_join("parts", ","), 256)).alias("digest"))
-    slots = slots.withColumn("file", F.coalesce(F.shiftright("page_id", 8), F.lit(-1 << 40)).cast("long")).withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(FILE_SLOTS)), F.lit(0)).cast("long"))
+    none = F.col("page_id").isNull()
+    spread = lambda at, n: F.conv(F.substring("sha", at, n), 16, 10).cast("long")
+    file = F.when(none, F.lit(NULL_FILE) + spread(1, 4)).otherwise(F.shiftright("page_id", 8)).cast("long")
+    slot = F.when(none, spread(5, 2)).otherwise(F.pmod("page_id", F.lit(FILE_SLOTS))).cast("long")
+    copies = rows.groupBy(file.alias("file"), slot.alias("slot"), "page_id", "sha", "bytes").agg(F.count("*").alias("n"))
+    # A leaf of one record has its digest; one of several has the sums (without carry) of theirs, in any order.
+    own = F.concat_ws(":", "sha", "n")
+    lanes = [F.bit_xor(F.xxhash64(F.lit(i), F.sha2(own, 256))).alias(f"lane{i}") for i in range(4)]
+    slots = copies.groupBy("file", "slot", "page_id").agg(F.sum(F.col("bytes") * F.col("n")).alias("bytes"), F.count("*").alias("parts"), F.min(own).alias("one"), *lanes)
+    several = F.sha2(F.concat_ws(":", "parts", *[f"lane{i}" for i in range(4)]), 256)
+    slots = slots.select("file", "slot", "page_id", "bytes", F.when(F.col("parts") == 1, F.col("one")).otherwise(several).alias("digest"))
     end = F.sum("bytes").over(Window.partitionBy("file").orderBy("slot"))
     return slots.select("file", "slot", "page_id", "digest", (end - F.col("bytes")).alias("start"), end.alias("end"))
 
@@ -63,14 +77,14 @@ def tree(pages: DataFrame, levels: int | None = None) -> list[DataFrame]:
     """Levels from the leaves to the root. `levels` above the file roots default to what the file numbers need."""
     out = [checkpointed(leaves(pages))]
     for _ in range(FILE_LEVELS):
-        out.append(parents(out[-1].select("file", "slot", "digest", "start", "end"), True))
+        out.append(checkpointed(parents(out[-1].select("file", "slot", "digest", "start", "end"), True)))
     if levels is None:
-        low, high = out[0].where(f"file > {-1 << 40}").agg(F.min("file"), F.max("file")).first()
+        low, high = out[-1].where(f"file >= {NULL_FILE + NULL_FILES}").agg(F.min("file"), F.max("file")).first()
         levels, low, high = 0, low or 0, high or 0
         while low != high:
             low, high, levels = low // FANOUT, high // FANOUT, levels + 1
     for _ in range(levels):
-        out.append(parents(out[-1], False))
+        out.append(checkpointed(parents(out[-1], False)))
     return out
 
 
@@ -89,7 +103,7 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     if len(right) != len(left):
         levels = max(levels, len(right) - 1 - FILE_LEVELS)
         left, right = ([*x, *_more(x, levels - (len(x) - 1 - FILE_LEVELS))] for x in (left, right))
-    bad = _differ(left[-1], right[-1]).select("file", "slot")
+    bad = checkpointed(_differ(left[-1], right[-1]).select("file", "slot"))
     for level in range(len(left) - 2, -1, -1):
         inside = level < FILE_LEVELS
         key = [F.col("file"), _up("slot")] if inside else [_up("file"), F.col("slot")]
@@ -97,16 +111,16 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
         below = [x.withColumn("k1", key[0]).withColumn("k2", key[1]).join(up, (F.col("k1") == F.col("up_file")) & (F.col("k2") == F.col("up_slot")), "left_semi") for x in (left[level], right[level])]
         bad = _differ(*below)
         if level:
-            bad = bad.select("file", "slot")
+            bad = checkpointed(bad.select("file", "slot"))
     status = F.when(F.col("digest").isNull(), "extra").when(F.col("other").isNull(), "missing").otherwise("altered")
-    page_id = F.when(F.col("file") == -1 << 40, F.lit(None)).otherwise(F.col("file") * FILE_SLOTS + F.col("slot")).cast("long")
+    page_id = F.when(F.col("file") < NULL_FILE + NULL_FILES, F.lit(None)).otherwise(F.col("file") * FILE_SLOTS + F.col("slot")).cast("long")
     return bad.select(page_id.alias("page_id"), "file", F.coalesce("start", "other_start").alias("start_offset"), F.coalesce("end", "other_end").alias("end_offset"), status.alias("status"))
 
 
 def _more(levels: list[DataFrame], n: int) -> list[DataFrame]:
     out = []
     for _ in range(n):
-        out.append(parents(out[-1] if out else levels[-1], False))
+        out.append(checkpointed(parents(out[-1] if out else levels[-1], False)))
     return out
 
 

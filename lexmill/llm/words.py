@@ -3,10 +3,15 @@
 Every function here works on one bounded chunk of rows inside a Spark task; Spark deals out the rows.
 Words are byte runs of the UTF-8 text, so a word class is a table of 256 booleans: all bytes of
 multi-byte characters belong to one class in each definition used here.
+
+A word's hash is a pair of 64-bit numbers. Up to 16 bytes the pair is a keyed permutation of the bytes (a Feistel
+network, the word's length is the key), so different words of one length never share a pair; longer words have
+a BLAKE2b digest of 128 bits. A run of words has two hashes too: one over the first numbers, one over the second.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +23,6 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15 | 1
-_ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -36,21 +40,6 @@ IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER_AZ = IDENTITY.copy()
 LOWER_AZ[65:91] += 32
 
-_powers = np.ones(1, _U)
-_inverses = np.ones(1, _U)
-
-
-def _grow_powers(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        n = max(n, 2 * CHUNK_BYTES)
-        with np.errstate(over="ignore"):
-            for name, base in (("_powers", _ROOT), ("_inverses", _ROOT_INVERSE)):
-                steps = np.full(n, base, _U)
-                steps[0] = 1
-                globals()[name] = np.cumprod(steps, dtype=_U)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), applied to each element."""
     x = x ^ (x >> _U(30))
@@ -63,13 +52,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of several texts: `start`/`end` are byte places in `data`; text i owns words `first[i]:first[i+1]`."""
+    """Words of several texts: `start`/`end` are byte places in `data`; text i owns words `first[i]:first[i+1]`;
+    `hash` and `hash2` are the two halves of the words' hashes."""
 
     data: np.ndarray
     offsets: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    hash2: np.ndarray
     first: np.ndarray
 
     @property
@@ -81,6 +72,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+    def take(self, keep: np.ndarray) -> Words:
+        """The words of the texts that `keep` marks, as if only these had been given."""
+        lengths, mine = np.diff(self.offsets), keep[self.doc]
+        gone = np.cumsum(np.where(keep, 0, lengths))[self.doc[mine]]
+        first = np.concatenate([[0], np.cumsum(self.counts[keep])])
+        offsets = np.concatenate([[0], np.cumsum(lengths[keep])])
+        return Words(self.data[np.repeat(keep, lengths)], offsets, self.start[mine] - gone, self.end[mine] - gone, self.hash[mine], self.hash2[mine], first)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and their n+1 offsets; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -94,13 +94,38 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_LANE = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(_LANE + 1)], _U)
+_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of each word data[start:end]."""
+    padded = np.zeros(len(data) + 2 * _LANE, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + _LANE + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    one = lanes[start] & _MASKS[np.minimum(size, _LANE)]
+    two = lanes[start + np.minimum(size, _LANE)] & _MASKS[np.clip(size - _LANE, 0, _LANE)]
+    with np.errstate(over="ignore"):
+        length = size.astype(_U)
+        for k, key in enumerate(_KEYS):
+            if k % 2:
+                two = two ^ mix(one + length * _U(key))
+            else:
+                one = one ^ mix(two + length * _U(key) + _U(key))
+    for i in np.flatnonzero(size > 2 * _LANE):
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest(), "<u8")
+    return one, two
+
+
 def find_words(texts: pa.Array, member: np.ndarray = NON_SPACE, fold: np.ndarray = IDENTITY) -> Words:
     """All words of the texts. `fold` maps each byte before `member` is asked and before hashing."""
     data, offsets = text_bytes(texts)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, offsets, none, none, np.zeros(0, _U), np.zeros(len(offsets), np.int64))
+        return Words(data, offsets, none, none, np.zeros(0, _U), np.zeros(0, _U), np.zeros(len(offsets), np.int64))
     folded = data if fold is IDENTITY else fold[data]
     inside = member[folded]
     begins = inside.copy()
@@ -112,13 +137,8 @@ def find_words(texts: pa.Array, member: np.ndarray = NON_SPACE, fold: np.ndarray
     edge = offsets[1:][offsets[1:] > 0] - 1
     ends[edge] = inside[edge]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    _grow_powers(n)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((folded.astype(_U) + _U(1)) * _powers[:n], out=sums[1:])
-        value = (sums[end] - sums[start]) * _inverses[start]
-        value = mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(data, offsets, start, end, value, np.searchsorted(start, offsets))
+    one, two = word_hashes(folded, start, end)
+    return Words(data, offsets, start, end, one, two, np.searchsorted(start, offsets))
 
 
 def chunks(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
@@ -133,16 +153,26 @@ def chunks(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int
         at = to
 
 
-def windows(words: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first word and hashes of all runs of `size` words inside one text."""
+def _runs(hashes: np.ndarray, at: np.ndarray | slice, n: int, size: int, second: bool) -> np.ndarray:
+    total = np.zeros(n, _U)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            part = hashes[at.start + k : at.stop + k] if isinstance(at, slice) else hashes[at + k]
+            total += part * _U(pow(_ROOT + 2 * second, 2 * k + 3, 1 << 64) | 1)
+        return mix(total + _U((size + 97 * second) * 0x5851F42D4C957F2D % (1 << 64)))
+
+
+def runs_at(words: Words, at: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+    """First or second hashes of the runs of `size` words that begin at `at`."""
+    return _runs(words.hash2 if second else words.hash, at, len(at), size, second)
+
+
+def windows(words: Words, size: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first word and first or second hashes of all runs of `size` words inside one text."""
     n = len(words.hash) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n, _U)
-        for k in range(size):
-            total += words.hash[k : k + n] * _U(pow(_ROOT + 2 * seed, 2 * k + 3, 1 << 64) | 1)
-        total = mix(total + _U(size * 0x5851F42D4C957F2D % (1 << 64)))
+    total = _runs(words.hash2 if second else words.hash, slice(0, n), n, size, second)
     doc = words.doc
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     return at, total[at]

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from html import unescape
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,30 @@ def test_jaccard_in_many_small_groups(spark, monkeypatch, bound):
     assert got == dict(enumerate(root)) and len(set(root)) > 3
 
 
+def test_jaccard_with_repeated_doc_ids(spark):
+    """Rows with words and one doc_id are one node; those without words stay alone."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for _ in range(70):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(60)] = f"v{rng.randrange(9)}"
+        rows.append((rng.randrange(60), " ".join(t)))
+    rows += [*rows[:5], (3, ""), (3, None), (71, "a b"), (71, "c d"), (72, "a b"), (None, rows[0][1]), (80, None)]
+    sets = [{tuple(ws[j : j + 3]) for j in range(max(1, len(ws) - 2))} if (ws := (x or "").split()) else set() for _, x in rows]
+    root = {i: i for i, _ in rows}
+    for (i, _), a in zip(rows, sets, strict=True):
+        for (j, _), b in zip(rows, sets, strict=True):
+            if None not in (i, j) and a and b and (i == j or 100 * len(a & b) >= 90 * len(a | b)):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    want = sorted((str(i), len(s), str(root[i] if s else i)) for (i, _), s in zip(rows, sets, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard(docs, 3, 90).collect()) == want
+    assert len(set(root.values())) > 3
+
+
 def test_contamination_by_both_ways(spark, docs):
     some = [" ".join(split(t)[3].decode() for _ in range(1)) for t in texts()[20:22]] + [b" ".join(split(t)[2:20]).decode() for t in texts()[10:30]] + [None, ""]
     bench = spark.createDataFrame(list(enumerate(some)), "item_id long, text string")
@@ -129,12 +155,23 @@ def test_contamination_by_items_without_id(spark):
 
 def test_quality(docs):
     for r in quality.quality(docs).join(docs, "doc_id").collect():
-        ws = split(r.text)
+        text = r.text or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text)
         runs = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
-        repeat = {k for i, g in enumerate(runs) if runs.count(g) > 1 for k in range(i, i + 3)} if len(ws) < 2000 else set(range(r.n_repeat_words))
-        lines = [x for x in (r.text or "").split("\n") if x.split()]
-        assert (r.n_words, r.n_repeat_words, r.n_dup_lines) == (len(ws), len(repeat), len(lines) - len(set(lines)))
-        assert r.base_failed == (len(ws) < 50 or 2 * len(repeat) > len(ws)) and not (r.base_failed and r.kept)
+        often = Counter(runs)
+        repeat = {k for i, g in enumerate(runs) if often[g] > 1 for k in range(i, i + 3)}
+        lines = [x for x in text.split("\n") if x.split()]
+        chars, count = sum(map(len, ws)), lambda marks: len(re.findall(marks, text))
+        assert (r.n_words, r.n_repeat_words, r.n_dup_lines, r.word_chars, r.n_symbols) == (len(ws), len(repeat), len(lines) - len(set(lines)), chars, count("[#*$%&|<>]"))
+        failed = len(ws) < 50 or 2 * len(repeat) > len(ws)
+        others = 10 * count("[#*$%&|<>]") > len(ws) or 3 * count("!") > len(ws) or 10 * count("[A-Z]") > 4 * count("[A-Za-z]") or not 2 * len(ws) <= chars <= 20 * len(ws) or 2 * (len(lines) - len(set(lines))) > len(lines)
+        assert (r.base_failed, r.kept) == (failed, not failed and not others)
+
+
+def test_cascade_order_is_greedy():
+    rejects, costs = np.array([0b001, 0b011, 0b011, 0b100, 0]), np.array([[8.0, 4.0, 1.0]] * 5)
+    assert quality._greedy(["a", "b", "c"], rejects, costs) == ["c", "b", "a"]
+    assert quality._greedy(["a", "b"], np.zeros(0, np.int64), np.zeros((0, 2))) == ["a", "b"]
 
 
 def test_secrets_and_queries(spark):
@@ -270,9 +307,3 @@ def test_licence_gate_is_lossless(spark):
     got = [r.licences for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == ["Proprietary"] * 5 + ["Public-Domain"]
     assert all(any(h in word for h in licenses.HINTS for word in s.split()) for s in licenses.SENTENCES)
-
-
-def test_empty_tables(spark, docs):
-    none = docs.limit(0)
-    for make in (recompression.dedup_substrings, jaccard.jaccard, quality.quality, secrets.secrets, licenses.licenses, mixing.mix, language.identify):
-        assert make(none).count() == 0

@@ -7,14 +7,13 @@ ones stays (the smallest, null last, then a hash of the row).
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import contamination, jaccard, mixing, quality, secrets
-from lexmill.llm.tables import read
+from lexmill.llm.tables import free_name, read, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +26,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one.
     """
-    keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate(("_row", "_check"))})
+    row, check = free_name(docs, "row"), free_name(docs, "check")
+    keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate((row, check))})
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     some = keyed.where(has_words)
-    found = jaccard.jaccard(some.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row", "_check")
-    first = some.select("doc_id", "_row", "_check").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row", "first._check")
-    kept = some.join(first, ["_row", "_check"], "left_semi").dropDuplicates(["_row", "_check"])
+    texts = some.select(F.col(row).alias("doc_id"), "text")
+    found = jaccard.jaccard(texts).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    rows = some.select(F.col(row).alias("row"), F.col(check).alias("check"), "doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "check")
+    first = rows.join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.row").alias(row), F.col("first.check").alias(check))
+    kept = some.join(first, [row, check], "left_semi").dropDuplicates([row, check])
     return kept.unionByName(keyed.where(~has_words)).select(docs.columns)
 
 
@@ -49,8 +52,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target and the words taken."""
-    return mixing.mix(docs)
+    """The mix: the rows with their texts, their source's numbers, the words taken and the slots that take them."""
+    return mixing.mixed_documents(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -69,8 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each returns is written as Parquet and read again for the next."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-")
-    folder = f"{base}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")

@@ -283,7 +283,7 @@ def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     found = components(links)
     rooted = classes.drop("n").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
+    ranked = checkpointed(join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank")))
     tagged = shared.join(ranked, "key")
     spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n")).where("low < high").select("signature", "n")
     return join_counted(tagged, spread, ["signature"]).drop("n")

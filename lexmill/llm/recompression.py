@@ -192,10 +192,16 @@ def repeated_windows(occurrences: DataFrame, often: DataFrame) -> DataFrame:
     each = dealt.select("symbol", "salt", "frequent", "doc_id", "version", "starts", F.posexplode("hashes").alias("place", "hash"))
     least = lambda *keys: F.first("doc_id").over(Window.partitionBy(*keys, "hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     here = each.withColumn("least", least("symbol", "salt"))
-    # The smallest of each salt meet once more: at most SALTS documents a window.
-    met = here.where("frequent AND least = doc_id").withColumn("least", least("symbol"))
-    masks = lambda rows, *keys: rows.where("least < doc_id").groupBy(*keys, "doc_id", "version", "starts").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")).select("doc_id", "version", "starts", "mask")
-    return masks(here, "symbol", "salt").unionByName(masks(met, "symbol"))
+    bit = F.expr("shiftleft(1, place)")
+    run = ["symbol", "doc_id", "version", "starts"]
+    open_ = F.when(F.col("frequent") & (F.col("least") == F.col("doc_id")), F.struct("place", "hash"))
+    seen = here.where("frequent OR least < doc_id").groupBy("salt", *run).agg(F.coalesce(F.bit_or(F.when(F.col("least") < F.col("doc_id"), bit)), F.lit(0)).alias("mask"), F.collect_list(open_).alias("open"))
+    # The smallest of each salt meet once more: at most SALTS documents a window. What is settled goes with them.
+    part = lambda is_open, mask, at: F.struct(F.lit(is_open).alias("open"), mask.alias("mask"), at.alias("hash"))
+    settled = F.filter(F.array(part(False, F.col("mask"), F.col("doc_id"))), lambda x: x["mask"] != 0)
+    parts = seen.select(*run, F.inline(F.concat(settled, F.transform("open", lambda x: part(True, F.pow(F.lit(2), x["place"]).cast("int"), x["hash"])))))
+    parts = parts.withColumn("least", F.first("doc_id").over(Window.partitionBy("symbol", "hash", "open").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.where("NOT open OR least < doc_id").select("doc_id", "version", "starts", "mask")
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
@@ -233,7 +239,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     unnamed = docs.where("doc_id IS NULL").withColumns({"version": F.lit(0).cast("long"), "cuts": F.lit(None).cast(cut)})
     named = docs.where("doc_id IS NOT NULL")
 
-    marks = named.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.md5("text").alias("check"))
+    marks = checkpointed(named.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.unhex(F.md5("text")).alias("check")))
     originals = marks.groupBy("version", "check").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
     copies = checkpointed(join_counted(marks, originals, ["version", "check"]).where("original < doc_id").select("doc_id", "version").distinct())
     only_copies = copies.groupBy("doc_id").agg(F.count("*").alias("n")).join(marks.select("doc_id", "version").distinct().groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id")

@@ -6,6 +6,11 @@ entity's positions of a token in all fields and nothing ever spans two fields.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,24 +27,47 @@ def tokenised(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFram
     return entities.select("id", F.concat(*per_field).alias("tokens"))
 
 
-def token_rows(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, position, token: one row a token."""
-    return tokenised(entities, fields).select("id", F.inline("tokens"))
-
-
 def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, field, token, tf, positions (in the field). The group key starts with the entity: rows of one entity are
-    already in one task, so the partial aggregate does nearly all the work before the exchange."""
-    rows = token_rows(entities, fields)
-    field = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.expr(f"position div {FIELD_STEP}") + 1).cast("int"))
-    grouped = rows.groupBy("id", field.alias("field"), "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("position") % FIELD_STEP)).alias("positions"))
-    return grouped.select("id", "field", "token", "tf", "positions")
-
-
-def term_stats(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """token, df (entities with the token), cf (occurrences)."""
-    each = tokenised(entities, fields).select("id", F.explode(F.expr("transform(tokens, x -> x.token)")).alias("token"))
-    return each.groupBy("token", "id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    """id, field, token, tf, positions (in the field), dl (tokens of the entity) and whether the row is the entity's
+    first one of the token.
+
+    All tokens of an entity are in its own row, so they are grouped there, an Arrow batch at a time: no shuffle.
+    """
+    id_type = entities.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            position, token = lists.flatten().flatten()
+            token = token.dictionary_encode()
+            if not len(token):
+                continue
+            position, code, owner = position.to_numpy(), token.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((position, code, owner))
+            position, code, owner = position[order], code[order], owner[order]
+            field = position // FIELD_STEP
+            other = np.ones(len(order), bool)
+            other[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+            new = other.copy()
+            new[1:] |= field[1:] != field[:-1]
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id").take(pa.array(owner[at])),
+                "field": pa.array(fields).take(pa.array(field[at])),
+                "token": token.dictionary.take(pa.array(code[at])),
+                "tf": np.diff(np.append(at, len(order))),
+                "positions": pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), pa.array(position % FIELD_STEP)),
+                "dl": sizes[owner[at]].astype(np.int64),
+                "is_first": other[at],
+            })
+
+    return tokenised(entities, fields).mapInArrow(run, f"id {id_type}, field string, token string, tf long, positions array<long>, dl long, is_first boolean")
+
+
+def term_stats(found: DataFrame) -> DataFrame:
+    """token, df (entities with the token), cf (occurrences), from postings: one map-side combined shuffle."""
+    return found.groupBy("token").agg(F.count_if("is_first").alias("df"), F.sum("tf").alias("cf"))
 
 
 def doc_stats(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -47,12 +75,28 @@ def doc_stats(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFram
     return tokenised(entities, fields).select("id", F.size("tokens").cast("long").alias("dl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings, and the number of entities and tokens of each project."""
+
+    postings: DataFrame
+    corpus: DataFrame
+
+
 def write_index(entities: DataFrame, path: str) -> None:
-    """Entities and postings as Parquet by project; other projects' partitions stay."""
-    for name, df in (("entities", entities), ("postings", postings(entities).join(entities.select("id", "project_root"), "id"))):
-        df.repartition("project_root", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions(*(["token"] if name == "postings" else ["id"])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_root").parquet(f"{path}/{name}")
+    """Entities, postings (sorted by token, so that a search reads few row groups) and corpus counts as Parquet by project;
+    other projects' partitions stay, so writing one project's entities again rebuilds that project alone."""
+    found = postings(entities).join(entities.select("id", "project_root"), "id")
+    corpus = tokenised(entities).join(entities.select("id", "project_root"), "id").groupBy("project_root").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"))
+    for name, df, order in (("entities", entities, "id"), ("postings", found, "token"), ("corpus", corpus, "n")):
+        df = df.repartition("project_root", F.pmod(F.xxhash64("id" if name != "corpus" else "n"), F.lit(64)))
+        df.sortWithinPartitions("project_root", order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_root").parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str, name: str, project: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{path}/{name}")
     return df if project is None else df.where(F.col("project_root") == project)
+
+
+def open_index(spark: SparkSession, path: str, project: str | None = None) -> Index:
+    return Index(*[read_index(spark, path, x, project) for x in ("postings", "corpus")])

@@ -1,8 +1,9 @@
 """Full-text search: a query builder, matching over postings, BM25 ranking and top-k.
 
-Only rows of query tokens leave the token tables; they are grouped once by entity into one position array a
-token (index.FIELD_STEP keeps fields apart). Phrases, prefixes, field filters, `^` and NEAR are array
-expressions on these arrays, so one shuffle on the entity serves any query.
+A search reads the postings of its tokens, from a stored index (index.open_index: the token filter reaches the
+Parquet scan) or made from an entity table on the way. They are grouped once by entity into one position array a
+token (index.FIELD_STEP keeps fields apart). Phrases, prefixes, field filters, `^` and NEAR are array expressions on
+these arrays, so one shuffle on the entity serves any query.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import age_penalty
 from lexmill.functions.tokens import index_tokens
-from lexmill.operators.index import FIELD_STEP, FIELDS, tokenised
+from lexmill.operators.files import apply_ignore_rules
+from lexmill.operators.index import FIELD_STEP, FIELDS, Index, tokenised
+
+Source = DataFrame | Index
 
 K1, B = 1.2, 0.75
 
@@ -106,13 +110,24 @@ class _Plan:
     def wanted(self, token: Column, key: tuple[str, bool]) -> Column:
         return token.startswith(key[0]) if key[1] else token == key[0]
 
-    def grouped(self, entities: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    def token_rows(self, source: Source, fields: tuple[str, ...]) -> DataFrame:
+        """id, dl, token, positions of the query's tokens."""
+        if isinstance(source, Index):
+            if fields != FIELDS:
+                raise ValueError("an index holds all fields; use in_fields()")
+            step = F.lit(FIELD_STEP) * (F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("field")) - 1)
+            rows = source.postings.where(_any([self.wanted(F.col("token"), k) for k in self.keys]))
+            return rows.select("id", "dl", "token", step.alias("step"), "positions").select("id", "dl", "token", F.transform("positions", lambda p: p + F.col("step")).alias("positions"))
+        asked = lambda x: _any([self.wanted(x["token"], k) for k in self.keys])
+        rows = tokenised(source, fields).select("id", F.size("tokens").cast("long").alias("dl"), F.inline(F.filter("tokens", asked)))
+        return rows.select("id", "dl", "token", F.array("position").alias("positions"))
+
+    def grouped(self, source: Source, fields: tuple[str, ...]) -> DataFrame:
         """id, dl and the instances of each phrase, for entities with a query token. Only rows of query tokens are
         dealt out by entity."""
-        asked = lambda x: _any([self.wanted(x["token"], k) for k in self.keys])
-        rows = tokenised(entities, fields).select("id", F.size("tokens").cast("long").alias("dl"), F.inline(F.filter("tokens", asked)))
         # The rows of one entity for one query: their number is bounded by the entity's length.
-        rows = rows.groupBy("id").agg(F.first("dl").alias("dl"), *[F.collect_list(F.when(self.wanted(F.col("token"), k), F.col("position"))).alias(n) for k, n in self.keys.items()])
+        lists = [F.flatten(F.collect_list(F.when(self.wanted(F.col("token"), k), F.col("positions")))).alias(n) for k, n in self.keys.items()]
+        rows = self.token_rows(source, fields).groupBy("id").agg(F.first("dl").alias("dl"), *lists)
         rows = rows.select("id", "dl", *[self.instances(p).alias(f"p{i}") for i, p in enumerate(self.leaves)])
         return rows.select("*", *[self.full_ends(q, at).alias(f"near{at}") for q, at in self.nears()])
 
@@ -187,18 +202,18 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def matches(entities: DataFrame, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def matches(entities: Source, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id of the entities that match."""
     plan = _Plan(q)
     return plan.grouped(entities, fields).where(plan.evaluate()[0]).select("id")
 
 
-def rank_bm25(entities: DataFrame, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def rank_bm25(entities: Source, q: Query, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id, score (smaller is better) of the matches."""
     plan = _Plan(q)
     rows = plan.grouped(entities, fields)
     match, counts, _ = plan.evaluate()
-    corpus = tokenised(entities, fields).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    corpus = corpus_stats(entities, fields)
     found = rows.agg(*[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(plan.leaves))])
     hits = rows.where(match)
     # Two rows of scalars; broadcasts of fixed size.
@@ -211,6 +226,13 @@ def rank_bm25(entities: DataFrame, q: Query, fields: tuple[str, ...] = FIELDS) -
     return scored.select("id", score.alias("score"))
 
 
+def corpus_stats(source: Source, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row: n entities and their average length; read from the counts of an index, counted otherwise."""
+    if isinstance(source, Index):
+        return source.corpus.agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+    return tokenised(source, fields).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+
+
 def adjusted_rank(hits: DataFrame, entities: DataFrame, files: DataFrame, now: int) -> DataFrame:
     """Hits with their entity, file and the score plus the file's age penalty."""
     meta = entities.select("id", "signature", "type", "filename", "line_start", "line_end").join(files.select("filename", "filetime"), "filename")
@@ -232,22 +254,30 @@ def format_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("place", place).withColumn("shown", F.when(F.length("snippet") > F.length("signature"), F.col("snippet")))
 
 
-def search_many(entities: DataFrame, queries: DataFrame, k: int = 10, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """The k best entities of each query (query_id, tokens: all must occur in an entity), scored in one job.
+def search_many(source: Source, queries: DataFrame, k: int = 10, fields: tuple[str, ...] = FIELDS, percent: int = 100) -> DataFrame:
+    """The k best entities of each query (query_id, tokens: at least `percent` of them must occur), scored in one job.
 
-    Only postings of query tokens are exploded; document frequencies come from the same rows. The query terms are
-    joined by token, and Spark broadcasts them while they are small.
+    Postings are joined with the queries' tokens, a term's rows are summed up for each entity, and document
+    frequencies come from the same rows. Spark broadcasts the terms while they are small.
     """
     terms = queries.select("query_id", F.size("tokens").alias("wanted"), F.posexplode("tokens").alias("nth", "token"))
-    rows = tokenised(entities, fields)
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    each = rows.select("id", F.size("tokens").alias("dl"), F.explode(F.expr("transform(tokens, x -> x.token)")).alias("token"))
-    tf = each.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    asked = terms.select("token").distinct()
+    if isinstance(source, Index):
+        tf = source.postings.join(asked, "token", "left_semi").groupBy("token", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl"))
+    else:
+        each = tokenised(source, fields).select("id", F.size("tokens").alias("dl"), F.explode(F.expr("transform(tokens, x -> x.token)")).alias("token"))
+        tf = each.join(asked, "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    scored = terms.join(tf, "token").join(df, "token").join(F.broadcast(stats))
+    scored = tf.join(df, "token").join(terms, "token").join(F.broadcast(corpus_stats(source, fields)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    best = scored.groupBy("query_id", "id", "wanted").agg(F.count("*").alias("have"), (-F.sum(part)).alias("score")).where("have = wanted")
+    best = scored.groupBy("query_id", "id", "wanted").agg(F.count("*").alias("have"), (-F.sum(part)).alias("score")).where(F.col("have") * 100 >= F.col("wanted") * percent)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6), "id")
     return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query_id", "nth", "id", "score")
+
+
+def visible(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits whose file no ignore rule hides now; to be used before top_k, so that k visible ones are found."""
+    names = hits.select("filename").distinct()
+    return hits.join(apply_ignore_rules(names, rules), "filename", "left_semi")

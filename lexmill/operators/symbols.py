@@ -4,31 +4,52 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import doc_summary, type_matches
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that is set, else the cluster's `spark.checkpoint.dir`, else one of our own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """child, ancestor, depth (the shortest way) of all pairs. Ends on cycles, as known pairs are not met again."""
+    """child, ancestor, depth (the shortest way) of all pairs, by doubling: each round joins all known ways with all known
+    ways, so rounds follow the logarithm of the longest way. Ends on cycles, when no way is new or shorter."""
+    known = _checkpointed(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    seen = None
+    while True:
+        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
+        longer = known.join(onward, "ancestor").select("child", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = _checkpointed(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        size = tuple(known.agg(F.count("*"), F.sum("depth")).first())
+        if size == seen:
+            return known
+        seen = size
+
+
+def below(edges: DataFrame, ancestor: str) -> DataFrame:
+    """child, ancestor, depth of everything below one name: a search from that name, level by level; rows are those found."""
     step = edges.select("child", "parent").distinct()
-    known = frontier = _checkpointed(step.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    known = frontier = _checkpointed(step.where(F.col("parent") == ancestor).select("child", F.lit(1).alias("depth")))
     depth = 1
     while not frontier.isEmpty():
         depth += 1
-        onward = frontier.join(step.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        frontier = _checkpointed(onward.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        onward = step.join(frontier.select(F.col("child").alias("parent")), "parent").select("child").distinct()
+        frontier = _checkpointed(onward.join(known, "child", "left_anti").withColumn("depth", F.lit(depth)))
         known = known.unionByName(frontier)
-    return known
+    return known.select("child", F.lit(ancestor).alias("ancestor"), "depth")
 
 
 def implementers(symbols: DataFrame, closed: DataFrame, interface: str) -> DataFrame:

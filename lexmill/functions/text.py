@@ -43,9 +43,11 @@ def humanise_age(seconds: Column) -> Column:
 
 
 def humanise_bytes(n: Column) -> Column:
-    out = F.concat(F.format_number(n / 1024**3, 1), F.lit(" GB"))
+    """One decimal at most, in steps of 1024 up to GB: 512B, 1.5KB, 2GB."""
+    shown = lambda x, sign: F.concat(F.regexp_replace(F.format_string("%.1f", F.round(x, 1)), r"\.0$", ""), F.lit(sign))
+    out = shown(n / 1024**3, "GB")
     for power, sign in ((2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024 ** (power + 1), F.concat(F.round(n / 1024**power, 1).cast("string"), F.lit(f" {sign}"))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), shown(n / 1024**power, sign)).otherwise(out)
     return out
 
 
@@ -88,6 +90,12 @@ def format_type(type_expr: Column) -> Column:
     return F.coalesce(F.when(type_expr == "", F.lit("mixed")).otherwise(type_expr), F.lit("mixed"))
 
 
+def format_parameter(type_expr: Column, name: Column, variadic: Column, by_ref: Column, default: Column) -> Column:
+    """`type ...&$name = default`; a null type or default is left out, an unreadable default is `?`."""
+    sign = lambda on, text: F.when(on, F.lit(text)).otherwise(F.lit(""))
+    return F.concat(F.coalesce(F.concat(type_expr, F.lit(" ")), F.lit("")), sign(variadic, "..."), sign(by_ref, "&"), F.lit("$"), name, F.coalesce(F.concat(F.lit(" = "), default), F.lit("")))
+
+
 def preview(value: Column) -> Column:
     return F.when(F.length(value) > 50, F.concat(F.left(value, F.lit(47)), F.lit("..."))).otherwise(value)
 

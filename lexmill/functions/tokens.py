@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shared by Spark and DuckDB: no look-around, explicit Unicode classes.
@@ -119,5 +120,21 @@ def encode_odd(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]") & c.rlike(r"[^\p{L}\p{N}]"), F.concat(F.lit("x"), F.hex(F.encode(c, "UTF-8")))).otherwise(c)), "")
 
 
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))
+def with_searchable(entities: DataFrame) -> DataFrame:
+    """Adds name_words and, where there is a signature, signature_words."""
+    words = F.when(F.col("signature") != "", snippet_words(F.col("signature"))).otherwise("")
+    return entities.withColumns({"name_words": F.array_join(identifier_words(F.col("name")), " "), "signature_words": F.coalesce(words, F.lit(""))})
+
+
+def detokenise(text: Column, before: str = "", after: str = "") -> Column:
+    """Readable text of index tokens: codes become signs without spaces around them, camel case is joined again;
+    `before` and `after` are marks around hits that stay, and touching pairs of marks become one."""
+    edge = "\x01"
+    marks = [F.lit(x) for x in (before, after)]
+    pattern = "^(" + re.escape(before) + ")?T((?:[0-9a-f]{2})+)K(" + re.escape(after) + ")?$"
+    sign = lambda t: F.decode(F.unhex(F.regexp_extract(t, pattern, 2)), "UTF-8")
+    decoded = F.transform(F.split(text, " "), lambda t: F.when(t.rlike(pattern), F.concat(F.lit(edge), F.regexp_extract(t, pattern, 1), sign(t), F.regexp_extract(t, pattern, 3), F.lit(edge))).otherwise(t))
+    out = F.regexp_replace(F.array_join(decoded, " "), F.lit(f" ?{edge}+ ?"), F.lit(""))
+    if before and after:
+        out = F.replace(out, F.concat(*reversed(marks)), F.lit(""))
+    return F.regexp_replace(out, F.lit(r"(?<=\p{Ll}) (?=\p{Lu}\p{Ll})"), F.lit(""))

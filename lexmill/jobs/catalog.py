@@ -267,7 +267,7 @@ def route_extractor(spark, sf_dir):
 
 @query("SELECT filename, md5(content) AS file_hash, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS n_lines, CAST(length(content) AS BIGINT) AS n_chars FROM fx_files")
 def fingerprint(spark, sf_dir):
-    return trees.fingerprint(view(spark, sf_dir, "fx_files"))
+    return trees.fingerprint(view(spark, sf_dir, "fx_files").select("filename", "content"))
 
 
 @query(
@@ -560,7 +560,7 @@ def index_size(spark, sf_dir):
 
 @query(f"SELECT filename, verified_time FROM fx_files WHERE verified_time >= {NOW} - 86400")
 def recently_verified(spark, sf_dir):
-    return view(spark, sf_dir, "fx_files").where(F.col("verified_time") >= NOW - X.DAY).select("filename", "verified_time")
+    return view(spark, sf_dir, "fx_files").where(F.col("verified_time") >= NOW - X.DAY).select("filename", "verified_time").orderBy(F.desc("verified_time"), "filename")
 
 
 def _change_stream(spark, sf_dir):
@@ -583,12 +583,6 @@ def stream_throttle(spark, sf_dir):
     return C.run_to_end(C.per_minute(_change_stream(spark, sf_dir))).select(F.unix_timestamp("start").alias("start"), "project_root", "n")
 
 
-@query("SELECT DISTINCT project_root, filename FROM fx_changes")
-def stream_dedupe(spark, sf_dir):
-    out = C.run_to_end(C.drop_duplicates(_change_stream(spark, sf_dir), ["filename"]))
-    return out.select("project_root", "filename").distinct()
-
-
 @query("SELECT filename, count(*) AS n FROM fx_changes WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY filename")
 def stream_late(spark, sf_dir):
     _, late = C.split_late(_change_stream(spark, sf_dir), "2024-01-30 00:00:00")

@@ -30,6 +30,12 @@ VIEWS = {
     "fx_params": """SELECT concat('C',l_partkey) AS owner, concat('m',l_orderkey,'_',l_linenumber) AS member, 0 AS ordinal, concat('a',l_linenumber) AS name,
  CASE l_suppkey % 3 WHEN 0 THEN concat('App',chr(92),'T',l_suppkey) WHEN 1 THEN concat('T',l_suppkey,'|null') ELSE concat('?T',l_suppkey) END AS type_expr,
  concat(l_returnflag,'Type') AS return_type FROM lineitem""",
+    "fx_members": """SELECT owner, kind, member, min(modifiers) AS modifiers FROM (SELECT concat('C',l_partkey) AS owner,
+ CASE l_linenumber % 4 WHEN 0 THEN 'property' WHEN 2 THEN 'constant' ELSE 'method' END AS kind, concat('a',l_linenumber,'_',l_suppkey % 5) AS member,
+ CASE WHEN l_quantity > 25 THEN 'public' ELSE 'protected static' END AS modifiers FROM lineitem) m GROUP BY owner, kind, member""",
+    "fx_functions": """SELECT concat('C',l_orderkey % 50) AS owner, concat('f',l_orderkey) AS member, l_linenumber AS ordinal, concat('a',l_linenumber) AS name,
+ CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE concat('?T',l_suppkey % 9) END AS type_expr, l_linenumber = 7 AS is_variadic, l_partkey % 5 = 0 AS by_ref,
+ CASE l_returnflag WHEN 'R' THEN 'null' WHEN 'A' THEN '?' END AS default_value, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE concat('R',l_orderkey % 7) END AS return_type FROM lineitem""",
     "fx_attributes": """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'property' ELSE 'constant' END AS target_kind,
  concat('C',o_custkey) AS owner, concat('m',o_orderkey) AS member, substr(o_orderpriority,3) AS attribute FROM orders""",
     "fx_changes": """SELECT event_id, ts, concat('/corpus/src',user_id % 20,'/f',user_id,'.md') AS filename, concat('/corpus/src',user_id % 20) AS project_root,

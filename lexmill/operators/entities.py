@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import line_count
+from lexmill.functions.text import INTERPRETERS, basename, line_count
+from lexmill.operators.files import route_extractor
 
 SCHEMA = "filename string, type string, name string, namespace string, class_name string, signature string, docblock string, body string, line_start int, line_end int, language string, visibility string, error string"
 
@@ -38,14 +39,24 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return cut.select("filename", signature.alias("signature"), F.trim(F.regexp_replace(signature, r"^#\s+", "")).alias("name"), body.alias("body"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
+_CSS_BLOCK = r"([^{}]+)\{((?:[^{}]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})*[^{}]*)\}"
+
+
 def css_rules(files: DataFrame) -> DataFrame:
-    """filename, selector, body, type of flat rules."""
-    selectors = F.regexp_extract_all("content", F.lit(r"([^{}]+)\{[^{}]*\}"), F.lit(1))
-    bodies = F.regexp_extract_all("content", F.lit(r"[^{}]+\{([^{}]*)\}"), F.lit(1))
-    rows = files.select("filename", F.inline(F.arrays_zip(selectors.alias("selector"), bodies.alias("body"))))
-    rows = rows.withColumn("selector", F.regexp_replace("selector", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""))
-    kind = F.when(F.col("selector").startswith("@media"), "css-media-query").when(F.col("selector").startswith("@keyframes"), "css-keyframes").when(F.col("selector").startswith("@"), "css-at-rule").otherwise("css-rule")
-    return rows.select("filename", "selector", "body", kind.alias("type"))
+    """filename, selector, body, type of the rules, and of those inside at-rules (two levels deep); a file without rules
+    gives one row for the file."""
+    sides = lambda text: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_CSS_BLOCK), F.lit(k)).alias(c) for k, c in ((1, "selector"), (2, "body"))])
+    typed = "array<struct<selector:string,body:string>>"
+    top = sides(F.col("content")).cast(typed)
+    inner = lambda rules: F.flatten(F.transform(rules, lambda r: F.when(F.contains(r["body"], F.lit("{")), sides(r["body"]).cast(typed)).otherwise(F.array().cast(typed))))
+    rows = files.select("filename", "content", top.alias("top")).select("filename", "content", "top", inner(F.col("top")).alias("second"))
+    whole = F.array(F.struct(basename(F.col("filename").cast("string")).alias("selector"), F.col("content").alias("body"))).cast(typed)
+    none = F.size("top") == 0
+    found = F.when(none, whole).otherwise(F.concat("top", "second", inner(F.col("second"))))
+    rows = rows.select("filename", none.alias("none"), F.inline(found))
+    selector = F.when(F.col("none"), F.col("selector")).otherwise(F.regexp_replace("selector", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""))
+    kind = F.when(F.col("none"), "file").when(F.col("selector").startswith("@media"), "css-media-query").when(F.col("selector").startswith("@keyframes"), "css-keyframes").when(F.col("selector").startswith("@"), "css-at-rule").otherwise("css-rule")
+    return rows.select("filename", "none", selector.alias("selector"), "body").select("filename", "selector", "body", kind.alias("type"))
 
 
 _DEF = re.compile(r"^(\s*)(?:async\s+)?(class|def)\s+(\w+)")
@@ -163,13 +174,46 @@ def brace_entities(filename: str, text: str, language: str) -> Iterator[dict]:
     yield from scan(0, len(text), "")
 
 
+def script_entities(filename: str, text: str) -> Iterator[dict]:
+    """The file as one entity, in the language of its `#!` line."""
+    first = text.split("\n", 1)[0]
+    found = next((name for pattern, name in INTERPRETERS if re.search(pattern, first)), "script") if first.startswith("#!") else "text"
+    yield _entity(type="file", name=filename.rsplit("/", 1)[-1], signature=first, body=text, line_start=1, line_end=text.count("\n") + 1, language=found)
+
+
 HELPERS: dict[str, Callable[[str, str], Iterator[dict]]] = {
     "python": python_entities,
     "javascript": lambda f, t: brace_entities(f, t, "javascript"),
     "php": lambda f, t: brace_entities(f, t, "php"),
+    "script": script_entities,
+    "plain": script_entities,
 }
 
 
+def extract_all(files: DataFrame, table: DataFrame, helpers: dict[str, Callable[[str, str], Iterator[dict]]] | None = None, strict: bool = False) -> DataFrame:
+    """Entities of files of all kinds. `table` (ext, extractor, priority) names the extractor of each file; any function
+    of (filename, content) that yields entities may be one. Files without an extractor give nothing; an extractor
+    without a function gives the file entity. One pass: each row is read by its own extractor."""
+    helpers = HELPERS | (helpers or {})
+    routed = files.join(route_extractor(files.select("filename"), table), "filename")
+    by_name = {None: script_entities} | helpers
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, text, kind in zip(batch["filename"], batch["content"], batch["extractor"], strict=True):
+                try:
+                    rows += [{"extractor": kind, "filename": name} | e for e in by_name.get(kind, script_entities)(name, text or "")]
+                except Exception as e:
+                    if strict:
+                        raise
+                    rows.append({"extractor": kind, "filename": name, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=["extractor", *columns]).astype(object).where(lambda d: d.notna(), None)
+
+    return routed.select("filename", "content", "extractor").mapInPandas(run, "extractor string, " + SCHEMA)
+
+
 def extract(files: DataFrame, language: str, strict: bool = False, helper: Callable[[str, str], Iterator[dict]] | None = None) -> DataFrame:
     """Entities of the files (filename, content). A failing file gives one row with `error`, or fails if `strict`."""
     helper = helper or HELPERS[language]
@@ -207,12 +251,3 @@ def snippets(hits: DataFrame, tokens: list[str], width: int = 45, before: str =
         return bodies.map(cut)
 
     return hits.withColumn("snippet", best("body"))
-
-
-_CODE = re.compile(r"T((?:[0-9a-f]{2})+)K")
-
-
-def detokenise(text: str) -> str:
-    """Readable text of index tokens: codes become signs, without the spaces around them."""
-    out = re.sub(r" ?T((?:[0-9a-f]{2})+)K ?", lambda m: bytes.fromhex(m[1]).decode("utf-8", "replace"), text)
-    return re.sub(r"(?<=[a-z]) (?=[A-Z])", "", out)

@@ -92,12 +92,14 @@ def _decide(paths: DataFrame, rules: DataFrame, mode: str) -> DataFrame:
     return paths.join(found, "path", "left").select("path", allowed.alias("allowed"))
 
 
-def apply_ignore_rules(files: DataFrame, rules: DataFrame, mode: str = "reference", with_parents: bool = True) -> DataFrame:
-    """Files that no rule hides. With `with_parents` each directory above must be visible too.
+def apply_ignore_rules(files: DataFrame, rules: DataFrame, mode: str = "reference", with_parents: bool = True, skip_dirs: bool = False) -> DataFrame:
+    """Files that no rule hides. With `with_parents` each directory above must be visible too. With `skip_dirs`
+    dot-directories and those of SKIP_DIRS stay hidden, whatever a rule includes.
 
     Paths meet rules by an equi-join on the ancestor directories, so the work follows the paths, not paths x rules.
     """
     rules = compile_ignore_rules(rules, mode)
+    files = drop_skipped_dirs(files) if skip_dirs else files
     ok = _decide(files.select(F.col("filename").alias("path")).distinct(), rules, mode).where("allowed").select(F.col("path").alias("filename"))
     out = files.join(ok, "filename", "left_semi")
     if with_parents:
@@ -108,6 +110,11 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame, mode: str = "referenc
     return out
 
 
+def supported_extensions(table: DataFrame) -> DataFrame:
+    """The distinct extensions of all extractors."""
+    return table.select("ext").distinct()
+
+
 def registry(spark) -> DataFrame:
     return spark.createDataFrame([(e, name, p) for name, p, exts in EXTRACTORS for e in exts], "ext string, extractor string, priority int")
 

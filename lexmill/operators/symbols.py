@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import doc_summary, type_matches
+from lexmill.functions.text import doc_summary, format_parameter, type_matches
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,6 +76,14 @@ def returns(members: DataFrame, wanted: str) -> DataFrame:
     return members.where(type_matches(F.col("return_type"), F.lit(wanted))).select("owner", "member").distinct()
 
 
+def counted_under_heirs(declaring: DataFrame, members: DataFrame, closed: DataFrame) -> DataFrame:
+    """owner, member, declared_in: each class with the members that it has, own or inherited, and that are among the
+    declaring ones (owner, member); an override hides what it overrides."""
+    has = inherited(members.select("owner", "member").distinct(), closed)
+    hit = declaring.select(F.col("owner").alias("declared_in"), "member").distinct()
+    return has.join(hit, ["declared_in", "member"], "left_semi").select("owner", "member", "declared_in")
+
+
 def inherited(members: DataFrame, closed: DataFrame) -> DataFrame:
     """owner, member, declared_in: own members and those of ancestors, from the nearest declaring class."""
     own = members.select("owner", "member", F.col("owner").alias("declared_in"), F.lit(0).alias("depth"))
@@ -91,6 +99,56 @@ def compatible(required: DataFrame, members: DataFrame) -> DataFrame:
     return have.join(total, "type").select("owner", "type", "n_present", "n_required")
 
 
+def compatible_heirs(methods: DataFrame, closed: DataFrame) -> DataFrame:
+    """type, owner, n_required, n_present: for each class below a type with methods, how many of them the class has
+    declared itself or in a class between."""
+    total = methods.groupBy(F.col("owner").alias("type")).agg(F.countDistinct("member").alias("n_required"))
+    pairs = closed.select(F.col("ancestor").alias("type"), F.col("child").alias("owner")).where("type <> owner").join(total, "type")
+    wanted = pairs.join(methods.select(F.col("owner").alias("type"), "member").distinct(), "type")
+    between = closed.select(F.col("child").alias("owner"), F.col("ancestor").alias("place")).unionByName(closed.select(F.col("child").alias("owner"), F.col("child").alias("place"))).distinct()
+    have = between.join(methods.select(F.col("owner").alias("place"), "member").distinct(), "place")
+    # Declared in a class that lies below the type, or in the class itself.
+    under = closed.select(F.col("child").alias("place"), F.col("ancestor").alias("type")).distinct()
+    present = wanted.join(have, ["owner", "member"]).join(under, ["place", "type"], "left_semi").groupBy("type", "owner").agg(F.countDistinct("member").alias("n_present"))
+    return pairs.join(present, ["type", "owner"], "left").select("type", "owner", "n_required", F.coalesce("n_present", F.lit(0).cast("long")).alias("n_present"))
+
+
+def counts_with_total(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts by the keys with totals (null in the place of a key)."""
+    return rows.rollup(*keys).agg(F.count("*").alias("n"))
+
+
+def member_page(members: DataFrame, closed: DataFrame, owner: str, kinds: tuple[str, ...]) -> DataFrame:
+    """kind, member, modifiers, origin of the members of some kinds that a class has, own or from the nearest ancestor."""
+    few = members.where(F.col("kind").isin(*kinds))
+    mine = closed.where((F.col("child") == owner) & (F.col("ancestor") != owner)).select(F.col("ancestor").alias("place"), "depth")
+    near = few.withColumnRenamed("owner", "place").join(mine, "place")
+    own = few.where(F.col("owner") == owner).withColumnRenamed("owner", "place").withColumn("depth", F.lit(0))
+    found = near.unionByName(own)
+    best = found.groupBy("kind", "member").agg(F.min_by(F.struct("place", "modifiers"), F.struct("depth", "place")).alias("best"))
+    return best.select("kind", "member", "best.modifiers", F.when(F.col("best.place") != owner, F.col("best.place")).otherwise("").alias("origin"))
+
+
+def class_members(members: DataFrame, closed: DataFrame) -> DataFrame:
+    """fqn and, by kind, the names of all members a class has, sorted, `[from X]` behind inherited ones."""
+    out = None
+    for kind in ("constant", "property", "method"):
+        found = inherited(members.where(F.col("kind") == kind).select("owner", "member").distinct(), closed)
+        shown = F.concat("member", F.when(F.col("declared_in") != F.col("owner"), F.concat(F.lit(" [from "), "declared_in", F.lit("]"))).otherwise(""))
+        # The members of one class.
+        listed = found.groupBy(F.col("owner").alias("fqn")).agg(F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias(f"{kind}_list"))
+        out = listed if out is None else out.join(listed, "fqn", "full_outer")
+    return out.na.fill("")
+
+
+def function_pages(params: DataFrame) -> DataFrame:
+    """owner, member, signature: `member(parameters): return type`, parameters by ordinal."""
+    text = format_parameter(F.col("type_expr"), F.col("name"), F.col("is_variadic"), F.col("by_ref"), F.col("default_value"))
+    # The parameters of one function.
+    listed = params.groupBy("owner", "member", "return_type").agg(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("text")))).alias("ps"))
+    return listed.select("owner", "member", F.concat("member", F.lit("("), F.array_join(F.transform("ps", lambda x: x["text"]), ", "), F.lit("): "), F.coalesce("return_type", F.lit("mixed"))).alias("signature"))
+
+
 def attribute_counts(attributes: DataFrame) -> DataFrame:
     return attributes.groupBy("attribute", "target_kind").agg(F.count("*").alias("n"))
 
@@ -147,3 +205,8 @@ def module_names(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     best = each.groupBy("filename").agg(F.max_by(F.struct("directory", "namespace"), F.length("directory")).alias("best"))
     rest = F.regexp_replace(F.expr("substr(filename, length(best.directory) + 2)"), r"\.[^./]*$", "")
     return best.select("filename", F.concat("best.namespace", F.lit("\\"), F.replace(rest, F.lit("/"), F.lit("\\"))).alias("fqn"))
+
+
+def class_map(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """fqn -> filename: the first path (by name) of each class; files and classes are there once."""
+    return module_names(files, prefixes).groupBy("fqn").agg(F.min("filename").alias("filename"))

@@ -20,11 +20,24 @@ def drop_binary(files: DataFrame, content: str = "content") -> DataFrame:
     return files.where(F.locate("\0", F.substring(content, 1, 8192).cast("string")) == 0)
 
 
+#: What Windows-1252 has in place of the control characters 80 to 9F of Latin-1, and those it leaves undefined.
+_CONTROLS = [bytes([c]).decode("latin-1") for c in range(0x80, 0xA0)]
+_WINDOWS = [bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)]
+_DEFINED = [(a, b) for a, b in zip(_CONTROLS, _WINDOWS, strict=True) if b != "\ufffd"]
+_UNDEFINED = "".join(a for a, b in zip(_CONTROLS, _WINDOWS, strict=True) if b == "\ufffd")
+
+
 def decode(content: Column) -> Column:
-    """UTF-8 where valid, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    """UTF-8 where valid; else Windows-1252, which is Latin-1 with signs for its control characters; where a byte has no
+    meaning there either, the valid UTF-8 parts alone."""
+    text = content.cast("string")
+    latin = F.decode(content, "ISO-8859-1")
+    single = F.translate(latin, "".join(a for a, _ in _DEFINED), "".join(b for _, b in _DEFINED))
+    stripped = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).when(latin.rlike(f"[{_UNDEFINED}]"), stripped).otherwise(single)
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """filename, md5 of the content, line count and length."""
-    return files.select("filename", F.md5("content").alias("file_hash"), line_count(F.col("content")).cast("long").alias("n_lines"), F.length("content").cast("long").alias("n_chars"))
+    """filename, md5 of the content, line count and length; mtime and entity count where the files have them."""
+    own = [c for c in ("mtime", "entry_count") if c in files.columns]
+    return files.select("filename", F.md5("content").alias("file_hash"), line_count(F.col("content")).cast("long").alias("n_lines"), F.length("content").cast("long").alias("n_chars"), *own)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmill.operators.maintain import latest
+from lexmill.operators.symbols import shared_folder
 
 LATE = "24 hours"
 
@@ -17,9 +20,34 @@ def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def drop_duplicates(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Each change once within the lateness bound; state older than that is dropped."""
-    return changes.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
+def drop_duplicates(changes: DataFrame, keys: tuple[str, ...] = ("filename", "ts")) -> DataFrame:
+    """Each change of a file at a time once within the lateness bound; state older than that is dropped."""
+    return changes.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(list(keys))
+
+
+def file_states(changes: DataFrame) -> DataFrame:
+    """A stream of file states: after each micro-batch a row for each file it touches, with the newest change so far (ts,
+    then event_id) and the number of changes seen. The state of a file is these three numbers."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, event, seen = state.get if state.exists else (-1, -1, 0)
+        for rows in batches:
+            newest, event = max([(newest, event), *zip(rows["micros"].tolist(), rows["event_id"].tolist(), strict=True)])
+            seen += len(rows)
+        state.update((int(newest), int(event), int(seen)))
+        yield pd.DataFrame({"filename": [key[0]], "micros": [newest], "event_id": [event], "n_seen": [seen]})
+
+    rows = changes.select("filename", F.unix_micros("ts").alias("micros"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.groupBy("filename").applyInPandasWithState(advance, "filename string, micros long, event_id long, n_seen long", "micros long, event_id long, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def last_states(changes: DataFrame) -> DataFrame:
+    """The last state of each file after a run over what is there."""
+    spark = changes.sparkSession
+    path = f"{shared_folder(spark)}/states-{uuid.uuid4()}"
+    run_to_end(file_states(changes), "update", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    rows = spark.read.parquet(path)
+    return rows.groupBy("filename").agg(F.max_by(F.struct("micros", "event_id", "n_seen"), "n_seen").alias("s")).select("filename", "s.*")
 
 
 def per_minute(changes: DataFrame) -> DataFrame:
@@ -48,8 +76,7 @@ def apply_changes(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame | None:
     """Run a stream over what is there. The rows go to Parquet in `folder` and come back as a DataFrame, or to `each`."""
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-")
-    base = f"{base}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    base = f"{folder or shared_folder(spark)}/stream-{uuid.uuid4()}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     if each is not None:
         writer.foreachBatch(each).start().awaitTermination()
@@ -58,17 +85,23 @@ def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def replay(changes: DataFrame, folder: str | None = None) -> DataFrame:
-    """Final state of a change stream: each micro-batch is merged into a new snapshot of the state."""
+def replay(changes: DataFrame, folder: str | None = None, parts: int = 64) -> DataFrame:
+    """Final state of a change stream. The state lies in `parts` parts by file name; a micro-batch is merged into the
+    parts it touches and their new versions are written beside the old ones, so others are not written again."""
     spark = changes.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-")
-    base = f"{base}/versions-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    done: list[str] = []
+    base = f"{folder or shared_folder(spark)}/versions-{uuid.uuid4()}"
+    part = F.pmod(F.xxhash64("filename"), F.lit(parts)).cast("int")
+    newest: dict[int, str] = {}
 
     def merge(batch: DataFrame, number: int) -> None:
-        state = batch.sparkSession.read.parquet(done[-1]) if done else None
-        apply_changes(state, batch).write.mode("overwrite").parquet(f"{base}/{number}")
-        done.append(f"{base}/{number}")
+        rows = batch.withColumn("part", part)
+        touched = [r[0] for r in rows.select("part").distinct().collect()]  # at most `parts` numbers
+        known = [newest[p] for p in touched if p in newest]
+        state = batch.sparkSession.read.option("basePath", base).parquet(*known).select(rows.columns) if known else None
+        apply_changes(state, rows).write.mode("overwrite").partitionBy("part").parquet(f"{base}/version={number}")
+        newest.update({p: f"{base}/version={number}/part={p}" for p in touched})
 
     run_to_end(changes, each=merge, folder=base)
-    return spark.read.parquet(done[-1]).where("op <> 'delete'") if done else spark.createDataFrame([], changes.schema)
+    if not newest:
+        return spark.createDataFrame([], changes.schema)
+    return spark.read.option("basePath", base).parquet(*newest.values()).select(changes.columns).where("op <> 'delete'")

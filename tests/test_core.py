@@ -9,6 +9,8 @@ from lexmill.jobs import catalog
 from lexmill.operators import entities as E
 from lexmill.operators import index as I
 from lexmill.operators import search as S
+from lexmill.operators import symbols as R
+from lexmill.sources import trees
 
 TOKENS = {"getUserById": "get User By Id", "user_name": "user name", "App\\Models\\User": "App T5cK Models T5cK User", "parseHTMLString": "parse HTMLString", "$obj->method()": "T24K obj T2dK T3eK method T28K T29K", 'say "hi"': "say T27K hi T27K", "user2Name": "user2Name", "_": ""}
 
@@ -60,3 +62,54 @@ def test_css_rules_of_all_style_elements(spark, tmp_path):
     html = '<style>a {x}</style><STYLE type="text/css">\nb\n{y}\n</STYLE><style media=print>c {z}</style ><styled>d {w}</styled>'
     spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted((r.selector, r.body) for r in catalog.QUERIES["css_rules"](spark, str(tmp_path)).collect()) == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_detokenise_and_sizes(spark):
+    rows = spark.createDataFrame([("get User By Id T28K T29K", "[get] User", "[T24K] [user]"), ("say T27K hi T27K", "x", "[a] [T2eK] [b]")], "a string, b string, c string")
+    got = [tuple(r) for r in rows.select(T.detokenise(F.col("a")), T.detokenise(F.col("b"), "[", "]"), T.detokenise(F.col("c"), "[", "]")).collect()]
+    assert got == [("getUserById()", "[get] User", "[$user]"), ("say'hi'", "x", "[a.b]")]
+    sizes = spark.createDataFrame([(0,), (1023,), (1536,), (2 << 20,), (5 << 40,)], "n long").select(X.humanise_bytes(F.col("n")).alias("s")).collect()
+    assert [r.s for r in sizes] == ["0B", "1023B", "1.5KB", "2MB", "5120GB"]
+
+
+def test_tree_is_read(spark, tmp_path):
+    files = {"a/b.py": b"x = 1\n", "c.bin": b"PK\0\1", "d.txt": b"caf\xe9 \x80", "e.txt": b"ok \x81\xff \xc3\xa9"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    read = trees.drop_binary(trees.read_tree(spark, str(tmp_path)))
+    got = {r.filename.rsplit("/", 1)[1]: (r.text, r.length) for r in read.select("filename", "length", trees.decode(F.col("content")).alias("text")).collect()}
+    assert got == {"b.py": ("x = 1\n", 6), "d.txt": ("café €", 6), "e.txt": ("ok  é", 8)}
+
+
+def test_stored_index_is_rebuilt_by_project(spark, tmp_path):
+    schema = "id long, " + ", ".join(f"{f} string" for f in I.FIELDS) + ", project_root string"
+    rows = [(i, "", a, b, "", "", "", f"/p{i % 2}") for i, a, b in ROWS]
+    I.write_index(spark.createDataFrame(rows, schema), str(tmp_path))
+    I.write_index(spark.createDataFrame([(9, "", "new", "bar", "", "", "", "/p1")], schema), str(tmp_path))
+    stored = I.open_index(spark, str(tmp_path))
+    left = [r for r in rows if r[-1] == "/p0"] + [(9, "", "new", "bar", "", "", "", "/p1")]
+    entities = spark.createDataFrame(left, schema)
+    for q in (S.term(spark, "bar"), S.phrase(spark, "x z"), S.prefix(spark, "pad") | S.term(spark, "new")):
+        want = {(r.id, round(r.score, 9)) for r in S.rank_bm25(entities, q).collect()}
+        assert {(r.id, round(r.score, 9)) for r in S.rank_bm25(stored, q).collect()} == want and want
+    plan = S.matches(stored, S.term(spark, "bar"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,bar)" in plan
+    assert {r.id for r in S.matches(I.open_index(spark, str(tmp_path), "/p1"), S.term(spark, "bar")).collect()} == {9}
+
+
+def test_snippets_and_scripts(spark):
+    body = " ".join(["pad"] * 50 + ["hit", "x", "hit"] + ["pad"] * 10)
+    got = E.snippets(spark.createDataFrame([(1, body), (2, "a hit")], "id long, body string"), ["hit"], width=5).orderBy("id").collect()
+    assert "[hit] x [hit]" in got[0].snippet and got[1].snippet == "a [hit]"
+    files = spark.createDataFrame([("/a/run", "#!/usr/bin/env node\nx"), ("/a/b.md", "# t"), ("/a/c.zig", "x")], "filename string, content string")
+    table = spark.createDataFrame([("", "script", 90), ("md", "notes", 10), ("md", "other", 5)], "ext string, extractor string, priority int")
+    out = E.extract_all(files, table, {"notes": lambda f, t: [{"type": "note", "name": t}]}).collect()
+    assert sorted((r.extractor, r.type, r.name) for r in out) == [("notes", "note", "# t"), ("script", "file", "run")]
+
+
+def test_closure_of_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "child string, parent string")
+    got = {(r.child, r.ancestor): r.depth for r in R.closure(edges).collect()}
+    assert got[("a", "a")] == 3 and got[("d", "c")] == 3 and got[("d", "a")] == 1 and len(got) == 12
+    assert {(r.child, r.depth) for r in R.below(edges, "b").collect()} == {("a", 1), ("c", 2), ("d", 2), ("b", 3)}

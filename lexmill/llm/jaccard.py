@@ -249,8 +249,8 @@ def supported(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def hubs(shared: DataFrame, orders: range) -> DataFrame:
     """(key, order, hub): each signature names the set that is first in an order; most of a set's signatures name its hub."""
-    first = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in orders], F.count("*").alias("n"))
-    named = join_counted(shared, first, ["signature"]).select("key", F.posexplode(F.array(*[f"hub{i}" for i in orders])).alias("order", "hub"))
+    first = shared.groupBy("signature").agg(*[F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"hub{i}") for i in orders])
+    named = shared.join(first, "signature").select("key", F.posexplode(F.array(*[f"hub{i}" for i in orders])).alias("order", "hub"))
     votes = named.groupBy("key", "order", "hub").agg(F.count("*").alias("n"))
     return votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
 
@@ -283,10 +283,10 @@ def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     found = components(links)
     rooted = classes.drop("n").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = checkpointed(join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank")))
+    ranked = join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
     tagged = shared.join(ranked, "key")
-    spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n")).where("low < high").select("signature", "n")
-    return join_counted(tagged, spread, ["signature"]).drop("n")
+    spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
+    return tagged.join(spread, "signature", "left_semi")
 
 
 def opened_groups(live: DataFrame) -> DataFrame:
@@ -365,7 +365,8 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     rows = checkpointed(join_counted(known, named, ["key", "check"]).select("doc_id", "n_shingles", "first"))
     # Different sets of one doc_id are joined through it.
     several = rows.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
-    several = rows.join(several, "doc_id").select("a", F.col("first").alias("b")).distinct()
-    links = components(links.unionByName(several)).select(F.col("node").alias("first"), "root")
+    if not several.isEmpty():
+        links = links.unionByName(rows.join(several, "doc_id").select("a", F.col("first").alias("b")).distinct())
+    links = components(links).select(F.col("node").alias("first"), "root")
     rows = rows.join(links, "first", "left").select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id"))
     return rows.unionByName(signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -50,7 +50,7 @@ HUBS = 2
 GUESTS = 512
 #: Classes of which only one copy signs, and the share of the documents that shows which signatures are frequent.
 MAX_COPIED = 4096
-SAMPLE_SHARE = 1 / 32
+SAMPLE_SHARE = 1 / 128
 #: Visits (a few numbers each) that are sent to every task; more are joined by a shuffle.
 MAX_SHARED = 50_000
 
@@ -281,7 +281,8 @@ def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     A rank orders components: larger ones are higher.
     """
     found = components(links)
-    rooted = classes.drop("n").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = classes.drop("n", "check").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    rooted = checkpointed(rooted.select("key", "need0", "need1", F.coalesce("root", "doc_id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
     ranked = join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
     tagged = shared.join(ranked, "key")

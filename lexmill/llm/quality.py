@@ -190,3 +190,20 @@ def passing(docs: DataFrame) -> DataFrame:
             yield dict(zip(part.schema.names, part.columns, strict=True))
 
     return per_batch(docs, keep, docs.schema)
+
+
+#: The same in DuckDB SQL; runs of three words are compared as words.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT rid, i, a, lead(a, 1) OVER (PARTITION BY rid ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM t),
+h AS (SELECT rid, i FROM g WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+r AS (SELECT rid, count(DISTINCT i + k) AS n FROM h, range(3) s(k) GROUP BY rid),
+n AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS shouts,
+ length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM w LEFT JOIN r USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND NOT (10 * n_symbols > n_words OR 3 * shouts > n_words OR 10 * upper_letters > 4 * letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM f
+"""

@@ -55,4 +55,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_html_extraction, op4_secret_scan, op5_warc_fixity, op6_decontamination, op7_quality_rules, op8_language_id, op9_license_scan, op10_source_mixing)}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op9_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_license_scan": licenses.oracle()}

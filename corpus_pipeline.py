@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import contamination, jaccard, mixing, quality, secrets
-from lexmill.llm.tables import free_name, read, shared_folder
+from lexmill.llm.tables import checkpointed, free_name, read, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar rows the one with the smallest doc_id stays, once; rows without words are in no group.
 
-    Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one.
+    Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one. How often the row
+    that stays is there is counted without the texts; only rows that are there more than once are gathered.
     """
     row, check = free_name(docs, "row"), free_name(docs, "check")
     keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate((row, check))})
@@ -32,11 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     some = keyed.where(has_words)
     texts = some.select(F.col(row).alias("doc_id"), "text")
     found = jaccard.jaccard(texts).select(F.col("doc_id").alias("row"), "component_id").distinct()
-    rows = some.select(F.col(row).alias("row"), F.col(check).alias("check"), "doc_id")
-    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "check")
+    rows = some.groupBy(F.col(row).alias("row"), F.col(check).alias("check"), "doc_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "check", "n")
     first = rows.join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.row").alias(row), F.col("first.check").alias(check))
-    kept = some.join(first, [row, check], "left_semi").dropDuplicates([row, check])
+    first = checkpointed(first.select(F.col("first.row").alias(row), F.col("first.check").alias(check), F.col("first.n").alias("n")))
+    stays = lambda n: some.join(first.where(n).select(row, check), [row, check], "left_semi")
+    kept = stays("n = 1")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.unionByName(stays("n > 1").dropDuplicates([row, check]))
     return kept.unionByName(keyed.where(~has_words)).select(docs.columns)
 
 

@@ -118,7 +118,7 @@ def _tape(rows: DataFrame, goals: DataFrame) -> DataFrame:
     buckets = buckets.withColumn("offset", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).drop("words")
     inside = Window.partitionBy("key", "bucket").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(buckets, ["key", "bucket"])
-    rows = rows.withColumn("start", F.col("start") + F.col("offset")).drop("source", "offset", "order")
+    rows = rows.withColumn("start", F.col("start") + F.col("offset")).drop("source", "offset")
     return rows.join(goals.drop("weight"), "key").withColumn("words", F.round("target").cast("long"))
 
 
@@ -168,13 +168,22 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
     """All rows with all columns and those of mix(): `taken` words of the text, over and over from its first word, come
     in `n_slots` slots from `first_slot` on; rows of which the mix takes nothing are told by `taken` = 0. Columns of these names are replaced."""
     rows = checkpointed(sized(docs, seed))
-    keys = {c: free_name(docs, f"mix_{c}") for c in ("key", "bucket", "nth", "order", "size")}
+    # Rows are found again by what tells their place; equal ones among them may change places.
+    same = ("key", "order", "size", "is_null", "id")
+    named = lambda row: {"is_null": row["doc_id"].isNull(), "id": F.coalesce(row["doc_id"], F.lit(0).cast("long"))} | {c: row[c] for c in same[:3]}
+    keys = {c: free_name(docs, f"mix_{c}") for c in (*same, "row", "nth", "n", "shares")}
+    copies = Window.partitionBy(*[keys[c] for c in same])
     shares = _shares(rows, block_words, max_passes)
-    shares = shares.select(*[F.col(c).alias(keys[c]) for c in ("key", "bucket", "nth")], F.struct(*MIXED).alias(keys["order"]))
-    own = F.struct(*sized_columns(seed).values())
-    placed = docs.select(*docs.columns, own.alias(keys["size"]))
-    at = lambda c: F.col(keys["size"])[c]
-    placed = placed.withColumn(keys["key"], at("key")).withColumn(keys["bucket"], F.shiftrightunsigned(at("order"), 64 - bits(rows.count())))
-    nth = F.row_number().over(Window.partitionBy(keys["key"], keys["bucket"]).orderBy(at("order"), at("doc_id"), at("size")))
-    joined = placed.withColumn(keys["nth"], nth).join(shares, [keys[c] for c in ("key", "bucket", "nth")])
-    return joined.select(*[c for c in docs.columns if c.lower() not in MIXED], *[F.col(keys["order"])[c].alias(c) for c in MIXED])
+    shares = shares.select(F.struct(*MIXED).alias(keys["shares"]), *[c.alias(keys[name]) for name, c in named(shares).items()], F.col("nth").alias(keys["nth"]))
+    shares = shares.withColumns({keys["n"]: F.count("*").over(copies), keys["nth"]: F.row_number().over(copies.orderBy(keys["nth"]))})
+    shares = checkpointed(shares)
+    placed = docs.select(*docs.columns, F.struct(*sized_columns(seed).values()).alias(keys["row"]))
+    placed = placed.withColumns({keys[name]: c for name, c in named(F.col(keys["row"])).items()})
+    on = [keys[c] for c in same]
+    once, more = shares.where(F.col(keys["n"]) == 1), shares.where(F.col(keys["n"]) > 1)
+    final = [*[c for c in docs.columns if c.lower() not in MIXED], *[F.col(keys["shares"])[c].alias(c) for c in MIXED]]
+    out = placed.join(once, on).select(*final)
+    if not more.isEmpty():
+        again = placed.join(more.select(*on).distinct(), on, "left_semi").withColumn(keys["nth"], F.row_number().over(copies.orderBy(keys["size"])))
+        out = out.unionByName(again.join(more, [*on, keys["nth"]]).select(*final))
+    return out

@@ -16,6 +16,10 @@ from lexmill.llm import contamination, jaccard, mixing, quality, secrets
 from lexmill.llm.tables import checkpointed, free_name, read, shared_folder
 
 
+#: Rows (two numbers each) that are broadcast at most.
+MAX_SENT = 2_000_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected rows go."""
     return quality.passing(docs)
@@ -25,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of similar rows the one with the smallest doc_id stays, once; rows without words are in no group.
 
     Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one. How often the row
-    that stays is there is counted without the texts; only rows that are there more than once are gathered.
+    that stays is there is counted without the texts; only rows that are there more than once are gathered. Up to MAX_SENT rows that go (two
+    numbers each) are sent to the texts; of more, both are shuffled.
     """
     row, check = free_name(docs, "row"), free_name(docs, "check")
     keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate((row, check))})
@@ -33,14 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     some = keyed.where(has_words)
     texts = some.select(F.col(row).alias("doc_id"), "text")
     found = jaccard.jaccard(texts).select(F.col("doc_id").alias("row"), "component_id").distinct()
-    rows = some.groupBy(F.col(row).alias("row"), F.col(check).alias("check"), "doc_id").agg(F.count("*").alias("n"))
+    rows = checkpointed(some.groupBy(F.col(row).alias("row"), F.col(check).alias("check"), "doc_id").agg(F.count("*").alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "check", "n")
     first = rows.join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
-    first = checkpointed(first.select(F.col("first.row").alias(row), F.col("first.check").alias(check), F.col("first.n").alias("n")))
-    stays = lambda n: some.join(first.where(n).select(row, check), [row, check], "left_semi")
-    kept = stays("n = 1")
-    if not first.where("n > 1").isEmpty():
-        kept = kept.unionByName(stays("n > 1").dropDuplicates([row, check]))
+    first = checkpointed(first.select("first.row", "first.check", "first.n"))
+    named = lambda df: df.select(F.col("row").alias(row), F.col("check").alias(check))
+    gone = checkpointed(named(rows.join(first.where("n = 1"), ["row", "check"], "left_anti")))
+    again = named(first.where("n > 1"))
+    sent = lambda df: F.broadcast(df) if df.count() <= MAX_SENT else df
+    kept = some.join(sent(gone), [row, check], "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(some.join(sent(again), [row, check], "left_semi").dropDuplicates([row, check]))
     return kept.unionByName(keyed.where(~has_words)).select(docs.columns)
 
 

@@ -82,6 +82,14 @@ def test_clashing_columns_change_nothing(spark, docs, bench):
         assert {r[0] for r in out.select("row").collect()} <= {"clash"}
 
 
+def test_mixed_documents_have_the_numbers_of_the_mix(spark, docs):
+    few = docs.unionByName(docs.where("doc_id IN (1, 3, 43)")).unionByName(docs.where("doc_id = 43"))
+    want, got = (Counter(tuple(r) for r in make(few).select("doc_id", "source", *mixing.MIXED).collect()) for make in (mixing.mix, mixing.mixed_documents))
+    assert want == got and sum(want.values()) == few.count()
+    texts = [Counter((r.doc_id, r.source, r.text) for r in d.collect()) for d in (few, mixing.mixed_documents(few))]
+    assert texts[0] == texts[1]
+
+
 def test_empty_tables(spark, docs, bench, tmp_path):
     none = docs.limit(0)
     for make in (recompression.dedup_substrings, jaccard.jaccard, quality.quality, secrets.secrets, licenses.licenses, mixing.mix, language.identify, mixing.pieces, lambda d: contamination.contamination(d, bench)):

@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of similar rows the one with the smallest doc_id stays, once; rows without words are in no group.
 
     Rows are told apart by two hashes of all columns, so only rows equal in all of them count as one. How often the row
-    that stays is there is counted without the texts; only rows that are there more than once are gathered. Up to MAX_SENT rows that go (two
-    numbers each) are sent to the texts; of more, both are shuffled.
+    that stays is there is counted without the texts; only rows that are there more than once are gathered. Up to MAX_SENT
+    rows that go (two numbers each) are sent to the texts; of more, both are shuffled.
     """
     row, check = free_name(docs, "row"), free_name(docs, "check")
     keyed = docs.withColumns({name: F.xxhash64(F.lit(i), *docs.columns) for i, name in enumerate((row, check))})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import contamination, jaccard, mixing, quality, secrets
-from lexmill.llm.tables import checkpointed, free_name, read, shared_folder
+from lexmill.llm.tables import checkpointed, free_name, n_rows, read, shared_folder
 
 
 #: Rows (two numbers each) that are broadcast at most.
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = lambda df: df.select(F.col("row").alias(row), F.col("check").alias(check))
     gone = checkpointed(named(rows.join(first.where("n = 1"), ["row", "check"], "left_anti")))
     again = named(first.where("n > 1"))
-    sent = lambda df: F.broadcast(df) if df.count() <= MAX_SENT else df
+    sent = lambda df: F.broadcast(df) if n_rows(df) <= MAX_SENT else df
     kept = some.join(sent(gone), [row, check], "left_anti")
     if not again.isEmpty():
         kept = kept.unionByName(some.join(sent(again), [row, check], "left_semi").dropDuplicates([row, check]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.tables import checkpointed
+from lexmill.llm.tables import checkpointed, shuffles_dropped
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is checkpointed, and no component is ever gathered in one place.
     """
     tidy = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFF)))).first())
+
+    def mark(e: DataFrame) -> tuple:
+        with shuffles_dropped(e.sparkSession):
+            return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFF)))).first())
+
     edges = checkpointed(tidy(edges))
     seen = mark(edges)
     while seen[0]:

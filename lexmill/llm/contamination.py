@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
-from lexmill.llm.tables import checkpointed, free_name, per_batch
+from lexmill.llm.tables import checkpointed, free_name, n_rows, per_batch
 
 WINDOW = 13
 GRAM = 5
@@ -171,7 +171,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_s
     """`out` of each chunk of rows, its words and the hits in them."""
     rows = item_windows(benchmark, window, gram)
     rows = checkpointed(rows)
-    if rows.count() > max_shared:
+    if n_rows(rows) > max_shared:
         return _by_shuffle(docs, rows, window, gram, out, schema)
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(rows.toArrow(), window, gram))
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
 from lexmill.llm.components import components
-from lexmill.llm.tables import checkpointed, frequent, join_counted, per_batch, salted, typed
+from lexmill.llm.tables import checkpointed, frequent, join_counted, n_rows, per_batch, salted, typed
 
 SHINGLE = 5
 PERCENT = 80
@@ -359,7 +359,7 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     live = checkpointed(undecided(shared, classes, links))
     live = checkpointed(live.join(grouped(live), "key"))
     places = checkpointed(visits(checkpointed(opened_groups(live)), live))
-    n = places.count()
+    n = n_rows(places)
     if n:
         links = links.unionByName(_meet(docs, classes, places, shingle, percent, n <= MAX_SHARED))
     named = classes.select("key", "check", F.col("doc_id").alias("first"), "n")

@@ -26,7 +26,7 @@ from math import gcd, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.tables import checkpointed, free_name, running_sums
+from lexmill.llm.tables import checkpointed, free_name, n_rows, running_sums
 
 BLOCK_WORDS = 1024
 MAX_PASSES = 3
@@ -113,7 +113,7 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def _tape(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """Rows of sized() with bucket, nth, the source's numbers and the place of their first word on the tape."""
-    rows = numbered(rows, bits(rows.count()))
+    rows = numbered(rows, bits(n_rows(rows)))
     buckets = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     buckets = buckets.withColumn("offset", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).drop("words")
     inside = Window.partitionBy("key", "bucket").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)

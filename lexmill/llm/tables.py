@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,10 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside drops its shuffle files when it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: a lost executor does not lose them."""
+    """The same rows, written to the shared checkpoint folder: a lost executor does not lose them. The shuffles that made
+    them are dropped, as nothing reads them again."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan made here: it takes the setting from now
+
+
+def n_rows(df: DataFrame) -> int:
+    """The number of rows, without shuffle files left behind."""
+    with shuffles_dropped(df.sparkSession):
+        return df.count()
 
 
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, extraction, jaccard, language, licenses, mixing, quality, recompression, secrets, warc
+from lexmill.llm import contamination, extraction, jaccard, language, licenses, mixing, quality, recompression, resampling, secrets, warc
 from lexmill.llm.tables import read
 
 
@@ -53,6 +53,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_html_extraction, op4_secret_scan, op5_warc_fixity, op6_decontamination, op7_quality_rules, op8_language_id, op9_license_scan, op10_source_mixing)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_license_scan": licenses.oracle()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_html_extraction, op4_secret_scan, op5_warc_fixity, op6_decontamination, op7_quality_rules, op8_language_id, op9_license_scan, op10_source_mixing, op11_importance_resampling)}
+
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_license_scan": licenses.oracle(), "op11_importance_resampling": resampling.ORACLE}

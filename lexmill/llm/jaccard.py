@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import words as w
@@ -40,14 +40,13 @@ from lexmill.llm.tables import checkpointed, frequent, join_counted, n_rows, per
 SHINGLE = 5
 PERCENT = 80
 GROUP = 16
-#: Sets that a group has about.
+#: Sets that a group has about, and tokens: whatever is reached first.
 GROUP_SETS = 512
+GROUP_TOKENS = 1 << 20
 #: Blocks beyond those that the pigeonhole needs, so that so many may be empty: 2 and an eighth of these.
 SPARE = 2
 #: Orders in which signatures name hubs.
 HUBS = 2
-#: Guests that one part of an asked group has about.
-GUESTS = 512
 #: Classes of which only one copy signs, and the share of the documents that shows which signatures are frequent.
 MAX_COPIED = 4096
 SAMPLE_SHARE = 1 / 128
@@ -255,13 +254,18 @@ def hubs(shared: DataFrame, orders: range) -> DataFrame:
     return votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
 
 
-def meetings(shared: DataFrame) -> DataFrame:
+def _parts() -> Column:
+    """In how many parts the grouped sets go, so that each has about GROUP_SETS sets or GROUP_TOKENS tokens."""
+    return F.ceil(F.greatest(F.count("*") / F.lit(GROUP_SETS), F.sum("n_shingles") / F.lit(GROUP_TOKENS))).cast("long").alias("parts")
+
+
+def meetings(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, group): small groups in which sets that look alike meet at first; no promise that all similar sets do.
 
-    A set meets its hub of each of HUBS orders. A hub with many guests meets them in groups of about GROUP_SETS.
+    A set meets its hub of each of HUBS orders. A hub with many guests, or long ones, meets them in several groups.
     """
-    chosen = hubs(shared, range(HUBS)).where("key <> hub").select("key", "hub").distinct()
-    sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP_SETS)).cast("long").alias("parts"))
+    chosen = hubs(shared, range(HUBS)).where("key <> hub").select("key", "hub").distinct().join(classes.select("key", "n_shingles"), "key")
+    sizes = chosen.groupBy("hub").agg(_parts())
     group = F.xxhash64("hub", "part").alias("group")
     guests = chosen.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("hub", "key"), F.col("parts"))).select("key", group)
     hosts = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.col("hub").alias("key"), group)
@@ -269,22 +273,22 @@ def meetings(shared: DataFrame) -> DataFrame:
 
 
 def grouped(live: DataFrame) -> DataFrame:
-    """(key, group): sets with one hub are a group, split by key where it holds over GROUP_SETS sets."""
-    chosen = hubs(live, range(HUBS, HUBS + 1)).select("key", "hub")
-    sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP_SETS)).alias("parts"))
+    """(key, group): sets with one hub are a group, split by key where it is large."""
+    chosen = hubs(live, range(HUBS, HUBS + 1)).select("key", "hub").join(live.select("key", "n_shingles").distinct(), "key")
+    sizes = chosen.groupBy("hub").agg(_parts())
     return chosen.join(sizes, "hub").select("key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"))
 
 
 def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The (signature, key, need0, need1, rank) rows of signatures that several components of `links` share.
+    """The (signature, key, n_shingles, need0, need1, rank) rows of signatures that several components of `links` share.
 
     A rank orders components: larger ones are higher.
     """
     found = components(links)
     rooted = classes.drop("n", "check").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    rooted = checkpointed(rooted.select("key", "need0", "need1", F.coalesce("root", "doc_id").alias("root")))
+    rooted = checkpointed(rooted.select("key", "n_shingles", "need0", "need1", F.coalesce("root", "doc_id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = join_counted(rooted, sizes, ["root"]).select("key", "need0", "need1", F.struct("n", "root").alias("rank"))
+    ranked = join_counted(rooted, sizes, ["root"]).select("key", "n_shingles", "need0", "need1", F.struct("n", "root").alias("rank"))
     tagged = shared.join(ranked, "key")
     spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
     return tagged.join(spread, "signature", "left_semi")
@@ -303,10 +307,10 @@ def opened_groups(live: DataFrame) -> DataFrame:
 
 
 def visits(asking: DataFrame, live: DataFrame) -> DataFrame:
-    """(key, group, member): the members of the groups that are asked, and their guests in parts of about GUESTS."""
-    homes = live.select("key", F.col("group").alias("home")).distinct()
+    """(key, group, member): the members of the groups that are asked, and their guests in parts."""
+    homes = live.select("key", F.col("group").alias("home"), "n_shingles").distinct()
     asking = asking.join(homes, "key")
-    sizes = asking.groupBy("group").agg(F.ceil(F.count("*") / F.lit(GUESTS)).cast("long").alias("parts"))
+    sizes = asking.groupBy("group").agg(_parts())
     group = F.xxhash64("group", "part").alias("group")
     members = homes.join(sizes, F.col("home") == F.col("group")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", group, F.lit(True).alias("member"))
     guests = asking.where("group <> home").join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("key", group, F.lit(False).alias("member"))
@@ -344,7 +348,7 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     full = signed_sets(docs, shingle, percent)
     signed = checkpointed(full.drop("signatures"))
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    values = {"doc_id": F.min("doc_id"), "n": F.count("*")} | {c: F.first(c) for c in ("need0", "need1")}
+    values = {"doc_id": F.min("doc_id"), "n": F.count("*")} | {c: F.first(c) for c in ("n_shingles", "need0", "need1")}
     classes = checkpointed(known.groupBy("key", "check").agg(*[v.alias(c) for c, v in values.items()]))
     # Of the classes with most copies (a fixed number) only the smallest doc_id signs.
     copied = classes.orderBy(F.desc("n")).limit(MAX_COPIED).select("key", "check", F.col("doc_id").alias("first"))
@@ -355,7 +359,18 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     alike = salted(fresh.select(F.explode("signatures").alias("signature"), "key"), often, "signature", "key").select("signature", "key", "frequent", F.lag("key").over(near).alias("before"), F.lead("key").over(near).alias("after"))
     shared = checkpointed(supported(checkpointed(alike.where("frequent OR before < key OR after > key").select("signature", "key").distinct()), classes))
 
-    links = checkpointed(_meet(docs, classes, meetings(shared).withColumn("member", F.lit(True)), shingle, percent))
+    return linked(docs, signed, classes, shared, shingle, percent)
+
+
+def linked(docs: DataFrame, signed: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, from candidates that are all verified on full sets.
+
+    signed: doc_id, n_shingles, key, check of each row. classes: key, check, doc_id (the smallest), n (rows), n_shingles, need0, need1
+    of each set. shared: signature, key; of two similar sets in one signature's rows neither may be missing, and they share as
+    many signatures as both need (by the lowest bit of the signature).
+    """
+    known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    links = checkpointed(_meet(docs, classes, meetings(shared, classes).withColumn("member", F.lit(True)), shingle, percent))
     live = checkpointed(undecided(shared, classes, links))
     live = checkpointed(live.join(grouped(live), "key"))
     places = checkpointed(visits(checkpointed(opened_groups(live)), live))

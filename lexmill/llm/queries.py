@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, extraction, jaccard, language, licenses, mixing, quality, recompression, resampling, secrets, warc
+from lexmill.llm import contamination, extraction, jaccard, language, licenses, minhash, mixing, quality, recompression, resampling, secrets, spelling, warc
 from lexmill.llm.tables import read
 
 
@@ -57,6 +57,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_html_extraction, op4_secret_scan, op5_warc_fixity, op6_decontamination, op7_quality_rules, op8_language_id, op9_license_scan, op10_source_mixing, op11_importance_resampling)}
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_license_scan": licenses.oracle(), "op11_importance_resampling": resampling.ORACLE}
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_html_extraction, op4_secret_scan, op5_warc_fixity, op6_decontamination, op7_quality_rules, op8_language_id, op9_license_scan, op10_source_mixing, op11_importance_resampling, op12_minhash_dedup, op13_spelling_variants)}
+
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_license_scan": licenses.oracle(), "op11_importance_resampling": resampling.ORACLE, "op13_spelling_variants": spelling.ORACLE}

@@ -223,13 +223,13 @@ def near_in_group(table: pa.Table) -> pa.Table:
     words = table.column("word").combine_chunks()
     if isinstance(words, pa.ChunkedArray):
         words = pa.concat_arrays(words.chunks)
-    n, short, suffix = (table.column(c).to_numpy() for c in ("n", "short", "suffix"))
+    n, short, suffix, cut = (table.column(c).to_numpy() for c in ("n", "short", "suffix", "cut"))
     member, asking = (table.column(c).to_numpy() for c in ("member", "asking"))
     letters, offsets = letter_rows(words)
     lengths = np.diff(offsets)
     pairs = []
-    order = np.lexsort((suffix, short))
-    edges = np.flatnonzero(np.append(True, (np.diff(short[order]) != 0) | (np.diff(suffix[order].astype(np.int8)) != 0)))
+    order = np.lexsort((cut, suffix, short))
+    edges = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (short, suffix, cut)], axis=0)))
     for mine in np.split(order, edges[1:]):
         size, half = int(short[mine[0]]), int(short[mine[0]]) // 2
         positions = range(half) if suffix[mine[0]] else range(half, size + 1)
@@ -257,23 +257,22 @@ def blocks(counts: DataFrame, least_length: int = 1) -> DataFrame:
 
 
 def grouped(counts: DataFrame, least_length: int = 1, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """The rows of blocks() with group, member (can be found) and asking."""
+    """The rows of blocks() with group, cut (tells the parts of a cut block apart, 0 for whole ones), member (can be found) and asking."""
     rows = blocks(counts, least_length)
     with shuffles_dropped(counts.sparkSession):
         total = rows.agg(F.sum("size")).first()[0] or 0
     n_groups = total // group_chars + 1
-    large = rows.groupBy("block").agg(F.ceil(F.sum("size") / F.lit(group_chars)).cast("int").alias("parts")).where("parts > 1")
-    large = checkpointed(large)
-    cut = F.broadcast(large) if n_rows(large) <= MAX_SENT else large
-    rows = rows.join(cut, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = checkpointed(rows.groupBy("block").agg(F.ceil(F.sum("size") / F.lit(group_chars)).cast("int").alias("parts")).where("parts > 1"))
+    rows = rows.join(F.broadcast(large) if n_rows(large) <= MAX_SENT else large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # Part p asks part m in the group (m, p).
     rows = rows.withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     role = F.explode(F.expr("IF(other = part, array(0), IF(size = short, array(1, 2), array(1)))")).alias("role")
     rows = rows.select("*", role)
     member, asking = F.col("role") < 2, (F.col("role") != 1) & (F.col("size") == F.col("short"))
     pair = F.expr("IF(role = 1, struct(part AS m, other AS p), struct(other AS m, part AS p))")
-    group = F.pmod(F.xxhash64("block", pair), F.lit(n_groups)).alias("group")
-    return rows.select(group, "word", "n", F.col("short").cast("long").alias("short"), "suffix", member.alias("member"), asking.alias("asking"))
+    place = F.xxhash64("block", pair)
+    cut = F.when(F.col("parts") > 1, place).otherwise(F.lit(0).cast("long")).alias("cut")
+    return rows.select(F.pmod(place, F.lit(n_groups)).alias("group"), "word", "n", F.col("short").cast("long").alias("short"), "suffix", cut, member.alias("member"), asking.alias("asking"))
 
 
 def near_words(counts: DataFrame, least_length: int = 1, group_chars: int = GROUP_CHARS) -> DataFrame:

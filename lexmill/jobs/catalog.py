@@ -156,12 +156,15 @@ def doc_stats(spark, sf_dir):
     return I.doc_stats(view(spark, sf_dir, "fx_entities"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, int], str] = {}
 
 
 def index(spark, sf_dir) -> I.Index:
     """The stored index of fx_entities: built at the first search of a session, only read by the later ones."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    # Files and times of change, so that a table that was written anew is indexed anew.
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    stamp = files.agg(F.bit_xor(F.xxhash64("file_path", "file_modification_time"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, stamp)
     if key not in _INDEXES:
         path = f"{R.shared_folder(spark)}/index-{uuid.uuid4()}"
         I.write_index(view(spark, sf_dir, "fx_entities").withColumn("project_root", F.concat(F.lit("/corpus/"), F.col("namespace"))), path)

@@ -1,13 +1,14 @@
 """Full-text search: a query builder, matching over postings, BM25 ranking and top-k.
 
-A search reads the postings of its tokens, from a stored index (index.open_index: the token filter reaches the
-Parquet scan) or made from an entity table on the way. They are grouped once by entity into one position array a
+A search reads the postings of its tokens, from a stored index (index.open_index: only the shards of its tokens are
+opened) or made from an entity table on the way. They are grouped once by entity into one position array a
 token (index.FIELD_STEP keeps fields apart). Phrases, prefixes, field filters, `^` and NEAR are array expressions on
 these arrays, so one shuffle on the entity serves any query.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import age_penalty
 from lexmill.functions.tokens import index_tokens
 from lexmill.operators.files import apply_ignore_rules
-from lexmill.operators.index import FIELD_STEP, FIELDS, Index, tokenised
+from lexmill.operators.index import B, FIELD_STEP, FIELDS, K1, Index, tokenised
 
 Source = DataFrame | Index
 
-K1, B = 1.2, 0.75
+#: Scores are compared when rounded to so many places; bounds leave this margin.
+PLACES, MARGIN = 6, 1e-5
 
 
 class Query:
@@ -115,9 +117,7 @@ class _Plan:
         if isinstance(source, Index):
             if fields != FIELDS:
                 raise ValueError("an index holds all fields; use in_fields()")
-            step = F.lit(FIELD_STEP) * (F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("field")) - 1)
-            rows = source.postings.where(_any([self.wanted(F.col("token"), k) for k in self.keys]))
-            return rows.select("id", "dl", "token", step.alias("step"), "positions").select("id", "dl", "token", F.transform("positions", lambda p: p + F.col("step")).alias("positions"))
+            return placed(source.rows(_any([self.wanted(F.col("token"), k) for k in self.keys]), source.places(list(self.keys))))
         asked = lambda x: _any([self.wanted(x["token"], k) for k in self.keys])
         rows = tokenised(source, fields).select("id", F.size("tokens").cast("long").alias("dl"), F.inline(F.filter("tokens", asked)))
         return rows.select("id", "dl", "token", F.array("position").alias("positions"))
@@ -180,6 +180,12 @@ class _Plan:
         return left & right, left_counts | right_counts, at
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """id, dl, token, positions (told apart by field) of stored postings."""
+    step = F.lit(FIELD_STEP) * (F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("field")) - 1)
+    return rows.select("id", "dl", "token", step.alias("step"), "positions").select("id", "dl", "token", F.transform("positions", lambda p: p + F.col("step")).alias("positions"))
+
+
 def _plus(n: int):
     return lambda x: x + F.lit(n)
 
@@ -241,7 +247,54 @@ def adjusted_rank(hits: DataFrame, entities: DataFrame, files: DataFrame, now: i
 
 def top_k(ranked: DataFrame, k: int = 20, by: str = "adjusted_rank") -> DataFrame:
     """The k best; the entity id breaks ties."""
-    return ranked.orderBy(F.round(by, 6), "id").limit(k)
+    return ranked.orderBy(F.round(by, PLACES), "id").limit(k)
+
+
+def inverse_frequency(n: float, df: float) -> float:
+    found = math.log((n - df + 0.5) / (df + 0.5))
+    return found if found > 0 else 1e-6
+
+
+def top_terms(index: Index, tokens: list[str], k: int = 20, penalties: DataFrame | None = None) -> DataFrame:
+    """id, score, adjusted_rank of the k best entities with any of the tokens: the order of rank_bm25() of their Or, with a penalty
+    (id, penalty: not negative) added.
+
+    Bounds first: the index knows how many entities a token has on each level and what an occurrence list adds at most and at
+    least there. The best levels with at least k entities give a score that the k best reach; a level of a token on
+    which no entity can reach it, even with the most that all other tokens add, is not read. An entity among the k best has
+    all its tokens on levels that are read, so its score is exact.
+    """
+    if index.project is not None:
+        raise ValueError("term statistics are those of the whole index")
+    tokens = sorted(set(tokens))
+    n, avgdl = corpus_stats(index).first()
+    stats = {t: {} for t in tokens}
+    for r in index.terms(tokens).groupBy("token", "level", "avgdl").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect():  # tokens x levels x segments
+        count, most, least = stats[r["token"]].get(r["level"], (0, 0.0, math.inf))
+        ratio = avgdl / r["avgdl"]
+        stats[r["token"]][r["level"]] = (count + r["n"], max(most, r["most"] * max(1, ratio)), min(least, r["least"] * min(1, ratio)))
+    weight = {t: inverse_frequency(n, sum(c for c, _, _ in x.values())) for t, x in stats.items()}
+    most = {t: weight[t] * max((m for c, m, _ in x.values() if c > 0), default=0) for t, x in stats.items()}
+
+    def scored(levels: dict[str, list[int]]) -> DataFrame:
+        wanted = _any([(F.col("token") == t) & F.col("level").isin(x) for t, x in levels.items() if x])
+        part = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+        idf = F.coalesce(*[F.when(F.col("token") == t, F.lit(weight[t])) for t in tokens])
+        rows = index.rows(wanted & F.col("is_first"), index.places([(t, False) for t in tokens])).groupBy("id").agg((-F.sum(idf * part)).alias("score"))
+        return rows.withColumn("adjusted_rank", F.col("score")) if penalties is None else rows.join(penalties.select("id", "penalty"), "id").withColumn("adjusted_rank", F.col("score") + F.col("penalty"))
+
+    first: dict[str, list[int]] = {}
+    for t, x in stats.items():
+        have = 0
+        for level in sorted(x, reverse=True):
+            if have < k:
+                first.setdefault(t, []).append(level)
+                have += x[level][0]
+    kth = [r[0] for r in scored(first).orderBy("adjusted_rank").limit(k).select("adjusted_rank").collect()] if any(first.values()) else []
+    reach = -kth[-1] - MARGIN if len(kth) == k else -math.inf
+    others = sum(most.values())
+    chosen = {t: [level for level, (_, m, _) in x.items() if weight[t] * m + others - most[t] >= reach] for t, x in stats.items()}
+    return top_k(scored(chosen), k)
 
 
 def under(entities: DataFrame, directory: str) -> DataFrame:
@@ -263,7 +316,7 @@ def search_many(source: Source, queries: DataFrame, k: int = 10, fields: tuple[s
     terms = queries.select("query_id", F.size("tokens").alias("wanted"), F.posexplode("tokens").alias("nth", "token"))
     asked = terms.select("token").distinct()
     if isinstance(source, Index):
-        tf = source.postings.join(asked, "token", "left_semi").groupBy("token", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl"))
+        tf = source.of_tokens(asked).groupBy("token", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl"))
     else:
         each = tokenised(source, fields).select("id", F.size("tokens").alias("dl"), F.explode(F.expr("transform(tokens, x -> x.token)")).alias("token"))
         tf = each.join(asked, "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))

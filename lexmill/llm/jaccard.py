@@ -50,8 +50,8 @@ HUBS = 2
 #: Classes of which only one copy signs, and the share of the documents that shows which signatures are frequent.
 MAX_COPIED = 4096
 SAMPLE_SHARE = 1 / 128
-#: Visits (a few numbers each) that are sent to every task; more are joined by a shuffle.
-MAX_SHARED = 50_000
+#: Visits (a few numbers each) that are sent to every task at most; more are joined by a shuffle of the texts.
+MAX_SHARED = 1_000_000
 
 _U = np.uint64
 
@@ -334,11 +334,11 @@ def _token_sets(docs: DataFrame, meets: DataFrame, shingle: int, small: bool) ->
     return sets.select("doc_id", F.explode("meets").alias("meet"), "tokens").select("doc_id", "meet.group", "meet.member", "tokens")
 
 
-def _meet(docs: DataFrame, classes: DataFrame, places: DataFrame, shingle: int, percent: int, small: bool = False) -> DataFrame:
-    """Links (a, b) found where the sets meet. places: key, group, member."""
+def _meet(docs: DataFrame, classes: DataFrame, places: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) found where the sets meet. places: key, group, member; kept already."""
     named = places.join(classes.select("key", "check", "doc_id"), "key")
     meets = named.groupBy("doc_id", "key", "check").agg(F.collect_list(F.struct("group", "member")).alias("meets"))
-    return _find_links(_token_sets(docs, meets, shingle, small), percent)
+    return _find_links(_token_sets(docs, meets, shingle, n_rows(places) <= MAX_SHARED), percent)
 
 
 def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -370,13 +370,13 @@ def linked(docs: DataFrame, signed: DataFrame, classes: DataFrame, shared: DataF
     many signatures as both need (by the lowest bit of the signature).
     """
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    links = checkpointed(_meet(docs, classes, meetings(shared, classes).withColumn("member", F.lit(True)), shingle, percent))
+    first = checkpointed(meetings(shared, classes).withColumn("member", F.lit(True)))
+    links = checkpointed(_meet(docs, classes, first, shingle, percent))
     live = checkpointed(undecided(shared, classes, links))
     live = checkpointed(live.join(grouped(live), "key"))
     places = checkpointed(visits(checkpointed(opened_groups(live)), live))
-    n = n_rows(places)
-    if n:
-        links = links.unionByName(_meet(docs, classes, places, shingle, percent, n <= MAX_SHARED))
+    if not places.isEmpty():
+        links = links.unionByName(_meet(docs, classes, places, shingle, percent))
     named = classes.select("key", "check", F.col("doc_id").alias("first"), "n")
     rows = checkpointed(join_counted(known, named, ["key", "check"]).select("doc_id", "n_shingles", "first"))
     # Different sets of one doc_id are joined through it.

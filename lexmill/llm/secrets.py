@@ -35,7 +35,8 @@ class Rule:
     group: int = 0
 
 
-#: The contract's three kinds first, then widely documented token formats.
+#: The contract's three kinds first, then widely documented token formats. A token begins where none of its
+#: characters precedes, so that no rule starts again inside a long run of them.
 BASE = ("assign", "access", "hex")
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
@@ -46,7 +47,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)"),
     Rule("login_url", r"://[^\s/:@]+:[^\s/:@]{3,}@"),
 )

@@ -34,7 +34,11 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_names",
     "licensed under the bsd 3 clause license": "bsd3_ref",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_grant",
     "licensed under cc by nc 4 0": "cc_by_nc_ref",
     "licensed under cc by 4 0": "cc_by_ref",
     "licensed under cc by sa 4 0": "cc_by_sa_ref",
@@ -58,8 +62,14 @@ RULES = (
     ("GPL-2.0-or-later", "gpl2_grant gpl_no_warranty"),
     ("GPL-2.0-or-later", "gpl2_grant"),
     ("GPL-3.0-only", "gpl3_ref"),
+    ("LGPL-2.1-or-later", "lgpl21_grant gpl_no_warranty"),
+    ("LGPL-2.1-or-later", "lgpl21_grant"),
+    ("AGPL-3.0-or-later", "agpl3_grant gpl_no_warranty"),
+    ("AGPL-3.0-or-later", "agpl3_grant"),
+    ("ISC", "isc_grant"),
     ("MIT", "mit_grant mit_notice"),
     ("MIT", "mit_ref"),
+    ("BSD-3-Clause", "bsd_grant bsd_source bsd_binary bsd_names"),
     ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
     ("BSD-3-Clause", "bsd3_ref"),
     ("CC-BY-NC-4.0", "cc_by_nc_ref"),
@@ -75,7 +85,7 @@ _STEPS = (
     (r"\r\n?", "\n"),
     (r"(?:^|\n)[ \t]*(?:rem|dnl)(?![a-z0-9])", "\n"),
     (r"(?<![a-z0-9])v\.[^a-z0-9]+(?=[0-9])", "v "),
-    (r"(?:\n[^a-z0-9\n]*)+(?=https?:)", "S"),
+    (r"(?<![^a-z0-9])([^a-z0-9\n]*+)\n[^a-z0-9]*+(?=https?:)", "$1S"),
     (r"2\.0[^a-z0-9]*\(the[^a-z0-9]+license[^a-z0-9)]*\)[;,]?", "2.0S"),
     (r"(?<=conditions|are met):", "S"),
     (r"[.!?][ \t\n\f]+", "H"),

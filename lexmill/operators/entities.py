@@ -1,6 +1,6 @@
 """Entities of source files: whole files, Markdown sections, CSS rules, and Python, JavaScript and PHP declarations.
 
-Markdown and CSS are column expressions. The block languages need a scan of each file, so small helpers run on
+Markdown sections are column expressions. The other languages need a scan of each file, so small helpers run on
 Arrow batches inside the tasks, one file a row; a file that a helper cannot read gives a row with `error` set.
 """
 
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import INTERPRETERS, basename, line_count
+from lexmill.functions import lexer
+from lexmill.functions.text import INTERPRETERS, line_count
 from lexmill.operators.files import route_extractor
 
 SCHEMA = "filename string, type string, name string, namespace string, class_name string, signature string, docblock string, body string, line_start int, line_end int, language string, visibility string, error string"
@@ -39,24 +40,22 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return cut.select("filename", signature.alias("signature"), F.trim(F.regexp_replace(signature, r"^#\s+", "")).alias("name"), body.alias("body"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
-_CSS_BLOCK = r"([^{}]+)\{((?:[^{}]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})*[^{}]*)\}"
+def css_entities(filename: str, text: str) -> Iterator[dict]:
+    """Rules at any depth, each with what stands before its brace; a file without rules gives one row for the file."""
+    code, lines = lexer.read(text, "css").code, _Lines(text)
+    found = lexer.blocks(text, code)
+    for head, opening, closing in found:
+        selector = text[head:opening].strip(" \t\r\n\f")
+        kind = next((k for start, k in (("@media", "css-media-query"), ("@keyframes", "css-keyframes"), ("@", "css-at-rule")) if selector.startswith(start)), "css-rule")
+        yield _entity(type=kind, name=selector, signature=selector, body=text[opening + 1 : closing], line_start=lines.of(head + len(text[head:opening]) - len(text[head:opening].lstrip())), line_end=lines.of(closing), language="css")
+    if not found:
+        yield _entity(type="file", name=filename.rsplit("/", 1)[-1], signature="", body=text, line_start=1, line_end=text.count("\n") + 1, language="css")
 
 
 def css_rules(files: DataFrame) -> DataFrame:
-    """filename, selector, body, type of the rules, and of those inside at-rules (two levels deep); a file without rules
-    gives one row for the file."""
-    sides = lambda text: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_CSS_BLOCK), F.lit(k)).alias(c) for k, c in ((1, "selector"), (2, "body"))])
-    typed = "array<struct<selector:string,body:string>>"
-    top = sides(F.col("content")).cast(typed)
-    inner = lambda rules: F.flatten(F.transform(rules, lambda r: F.when(F.contains(r["body"], F.lit("{")), sides(r["body"]).cast(typed)).otherwise(F.array().cast(typed))))
-    rows = files.select("filename", "content", top.alias("top")).select("filename", "content", "top", inner(F.col("top")).alias("second"))
-    whole = F.array(F.struct(basename(F.col("filename").cast("string")).alias("selector"), F.col("content").alias("body"))).cast(typed)
-    none = F.size("top") == 0
-    found = F.when(none, whole).otherwise(F.concat("top", "second", inner(F.col("second"))))
-    rows = rows.select("filename", none.alias("none"), F.inline(found))
-    selector = F.when(F.col("none"), F.col("selector")).otherwise(F.regexp_replace("selector", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""))
-    kind = F.when(F.col("none"), "file").when(F.col("selector").startswith("@media"), "css-media-query").when(F.col("selector").startswith("@keyframes"), "css-keyframes").when(F.col("selector").startswith("@"), "css-at-rule").otherwise("css-rule")
-    return rows.select("filename", "none", selector.alias("selector"), "body").select("filename", "selector", "body", kind.alias("type"))
+    """filename, selector, body, type of the rules at any depth; a file without rules gives one row for the file."""
+    named = files.withColumn("filename", F.col("filename").cast("string"))
+    return extract(named, "css").select(F.col("filename").cast(files.schema["filename"].dataType).alias("filename"), F.col("name").alias("selector"), "body", "type")
 
 
 _DEF = re.compile(r"^(\s*)(?:async\s+)?(class|def)\s+(\w+)")
@@ -100,78 +99,134 @@ def python_entities(filename: str, text: str) -> Iterator[dict]:
     yield from scan(0, len(lines), "")
 
 
-#: Comment and quote forms by language; `#` opens no comment in JavaScript, where it marks private names.
-_SKIPPED = {
-    "javascript": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`",
-    "php": r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
-    "css": r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
-}
+class _Lines:
+    def __init__(self, text: str):
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def of(self, at: int) -> int:
+        return bisect.bisect_left(self.breaks, at) + 1
 
 
 def brace_end(text: str, opening: int, language: str = "javascript") -> int:
     """Place behind the brace that closes the one at `opening`; the end of the text if there is none."""
-    depth = 0
-    for m in re.compile(_SKIPPED[language] + r"|[{}]", re.S).finditer(text, opening):
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if not depth:
-                return m.end()
-    return len(text)
-
-
-_DOCBLOCK = re.compile(r"/\*\*(?:(?!\*/).)*\*/\s*\Z", re.S)
-_DECLARES = {
-    "javascript": re.compile(
-        r"(?P<class>(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<c>\w+)[^{;]*)\{|(?P<function>(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<f>\w+)\s*\([^)]*\)[^{;]*)\{"
-        r"|(?P<arrow>(?:export\s+)?(?:const|let|var)\s+(?P<a>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>\s*)\{"
-    ),
-    "php": re.compile(r"(?P<class>(?:(?:abstract|final|readonly)\s+)*(?P<k>class|interface|trait|enum)\s+(?P<c>\w+)[^{;]*)\{|(?P<function>(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(?P<f>\w+)\s*\([^{;]*)(?P<end>[{;])"),
+    code = lexer.read(text, language).code
+    return next((c + 1 for _, o, c in lexer.blocks(text, code) if o == opening), len(text))
+
+
+#: Words that may stand before a declaration, and words before brackets that declare no method.
+_MODIFIERS = {
+    "javascript": frozenset("export default abstract async static get set public private protected readonly override".split()),
+    "php": frozenset("abstract final readonly public private protected static".split()),
 }
-_METHOD = re.compile(r"(?P<m>(?:(?:static|async|get|set|public|private|protected)\s+)*(?P<n>#?\w+)\s*\([^)]*\)[^{};]*)\{")
-_NOT_METHODS = frozenset("if for while switch catch function constructor return with".split())
+_NOT_METHODS = frozenset("if for while switch catch function constructor return with super new await yield typeof do else".split())
+_CLASSES = {"javascript": frozenset(["class"]), "php": frozenset("class interface trait enum".split())}
+
+
+class _Declarations:
+    """Declarations of a file, found from its tokens: each token is looked at once, bodies of functions are passed over."""
+
+    def __init__(self, filename: str, text: str, language: str):
+        self.source, self.language = lexer.read(text, language), language
+        self.words, self.places, self.partner = lexer.tokens(self.source.code)
+        self.lines, self.text = _Lines(text), text
+        self.comment_ends = [end for _, end in self.source.comments]
+        # From each token on, the next brace or semicolon that stands in no parentheses opened since.
+        self.stops = [len(self.words)] * (len(self.words) + 2)
+        for i in range(len(self.words) - 1, -1, -1):
+            self.stops[i] = i if self.words[i] in "{;}" else self.stops[self.partner.get(i, i) + 1 if self.words[i] in "([" else i + 1]
+        space = re.search(r"^[ \t]*namespace[ \t]+([\w\\]+)", self.source.code, re.M) if language == "php" else None
+        self.shared = {"language": language, "namespace": space[1] if space else ""}
+        self.file = _entity(type="file", name=filename.rsplit("/", 1)[-1], signature=filename, body=text, line_start=1, line_end=len(self.lines.breaks) + 1, **self.shared)
+
+    def docblock(self, start: int) -> str:
+        i = bisect.bisect_right(self.comment_ends, start) - 1
+        if i < 0:
+            return ""
+        first, end = self.source.comments[i]
+        return self.text[first:end] if self.text.startswith("/**", first) and not self.text[end:start].strip() else ""
+
+    def word(self, i: int) -> str:
+        return self.words[i] if 0 <= i < len(self.words) else ""
+
+    def is_name(self, i: int) -> bool:
+        return self.word(i)[:1].isalpha() or self.word(i)[:1] in ("_", "$", "#") and len(self.word(i)) > 0
+
+    def begin(self, i: int) -> int:
+        """The first of the modifiers before token i."""
+        while self.word(i - 1) in _MODIFIERS[self.language]:
+            i -= 1
+        return i
+
+    def found(self, kind: str, name: str, first: int, stop: int, owner: str) -> tuple[dict, int]:
+        """The entity from token `first` to the block that opens at token `stop` (or ends there), and the token behind it."""
+        start, opening = self.places[first], self.places[stop]
+        if self.words[stop] == "{":
+            last = self.partner.get(stop)
+            end, after = (len(self.text), len(self.words)) if last is None else (self.places[last] + 1, last + 1)
+        else:
+            end, after = opening + 1, stop + 1
+        signature = self.text[start:opening].split()
+        hidden = next((x for x in ("private", "protected") if x in signature), "private" if name.startswith("#") else "public")
+        entity = _entity(type=kind, name=name, class_name=owner, signature=" ".join(signature), docblock=self.docblock(start), body=self.text[start:end], line_start=self.lines.of(start), line_end=self.lines.of(end - 1), visibility=hidden, **self.shared)
+        return entity, after
+
+    def scan(self, i: int, end: int, owner: str) -> Iterator[dict]:
+        while i < end:
+            here = self.words[i]
+            if here in _CLASSES[self.language] and self.is_name(i + 1) and self.word(i - 1) not in (".", "::", "->", "new") and not owner:
+                stop = self.stops[i + 2]
+                if self.word(stop) == "{" and self.word(i + 1) not in ("extends", "implements"):
+                    entity, after = self.found(here, self.words[i + 1], self.begin(i), stop, "")
+                    yield entity
+                    yield from self.scan(stop + 1, min(after - 1, end), self.words[i + 1])
+                    i = after
+                    continue
+            elif owner and self.language == "javascript":
+                i, entity = self.member(i, end, owner)
+                if entity:
+                    yield entity
+                continue
+            elif here == "function" and self.word(i - 1) not in (".", "::", "->"):
+                name = i + 1 + (self.word(i + 1) in ("*", "&"))
+                if self.is_name(name) and self.word(name + 1) == "(":
+                    stop = self.stops[name + 1]
+                    if self.word(stop) == "{" or self.word(stop) == ";" and self.language == "php":
+                        entity, i = self.found("method" if owner else "function", self.words[name], self.begin(i), stop, owner)
+                        yield entity
+                        continue
+            elif here in ("const", "let", "var") and self.language == "javascript" and self.is_name(i + 1) and self.word(i + 2) == "=":
+                at = i + 3 + (self.word(i + 3) == "async")
+                arrow = self.partner.get(at, at) + 1
+                if (self.word(at) == "(" or self.is_name(at)) and self.word(arrow) == "=>" and self.word(arrow + 1) == "{":
+                    entity, i = self.found("arrow-function", self.words[i + 1], self.begin(i), arrow + 1, "")
+                    yield entity
+                    continue
+            i += 1
+
+    def member(self, i: int, end: int, owner: str) -> tuple[int, dict | None]:
+        """A method of a class body at token i, and the next token to look at; other blocks are passed over."""
+        here = self.words[i]
+        if here in "([{":
+            return self.partner.get(i, i) + 1, None
+        if not self.is_name(i) or self.word(i + 1) != "(" or i + 1 not in self.partner or self.word(i - 1) in (".", "new", "=", "=>"):
+            return i + 1, None
+        stop = self.partner[i + 1] + 1
+        if self.word(stop) == ":":
+            stop = self.partner.get(stop + 1, stop) + 1 if self.word(stop + 1) == "{" else stop
+            stop = self.stops[stop]
+        if self.word(stop) != "{" or stop >= end:
+            return stop, None
+        if here in _NOT_METHODS:
+            return self.partner.get(stop, end) + 1, None
+        entity, after = self.found("method", here, self.begin(i), stop, owner)
+        return after, entity
 
 
 def brace_entities(filename: str, text: str, language: str) -> Iterator[dict]:
     """The file, its class-like declarations with their methods, and its functions."""
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    line = lambda at: bisect.bisect_left(breaks, at) + 1
-    space = re.search(r"^\s*namespace\s+([\w\\]+)", text, re.M) if language == "php" else None
-    shared = {"language": language, "namespace": space[1] if space else ""}
-    yield _entity(type="file", name=filename.rsplit("/", 1)[-1], signature=filename, body=text, line_start=1, line_end=len(breaks) + 1, **shared)
-    masked = re.sub(_SKIPPED[language], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-
-    def found(kind: str, name: str, start: int, opening: int, signature: str, owner: str) -> tuple[dict, int]:
-        start += len(signature) - len(signature.lstrip())
-        end = brace_end(text, opening, language) if text[opening : opening + 1] == "{" else opening + 1
-        doc = _DOCBLOCK.search(text[max(0, start - 5000) : start])
-        words = signature.split()
-        hidden = next((x for x in ("private", "protected") if x in words), "private" if name.startswith("#") else "public")
-        return _entity(type=kind, name=name, class_name=owner, signature=" ".join(words), docblock=doc[0].strip() if doc else "", body=text[start:end], line_start=line(start), line_end=line(end - 1), visibility=hidden, **shared), end
-
-    def scan(at: int, end: int, owner: str) -> Iterator[dict]:
-        pattern = _METHOD if owner and language == "javascript" else _DECLARES[language]
-        while m := pattern.search(masked, at, end):
-            at = m.end()
-            g = m.groupdict()
-            if "n" in g:
-                if g["n"] not in _NOT_METHODS:
-                    entity, at = found("method", g["n"], m.start(), m.end() - 1, text[m.start() : m.end() - 1], owner)
-                    yield entity
-                else:
-                    at = brace_end(text, m.end() - 1, language)
-            elif g["class"]:
-                entity, stop = found(g.get("k") or "class", g["c"], m.start(), m.end() - 1, text[m.start() : m.end() - 1], "")
-                yield entity
-                yield from scan(m.end(), stop - 1, g["c"])
-                at = stop
-            else:
-                kind = "method" if owner else "arrow-function" if g.get("arrow") else "function"
-                entity, at = found(kind, g.get("f") or g.get("a"), m.start(), m.end() - 1, text[m.start() : m.end() - 1], owner)
-                yield entity
-
-    yield from scan(0, len(text), "")
+    found = _Declarations(filename, text, language)
+    yield found.file
+    yield from found.scan(0, len(found.words), "")
 
 
 def script_entities(filename: str, text: str) -> Iterator[dict]:
@@ -185,6 +240,7 @@ HELPERS: dict[str, Callable[[str, str], Iterator[dict]]] = {
     "python": python_entities,
     "javascript": lambda f, t: brace_entities(f, t, "javascript"),
     "php": lambda f, t: brace_entities(f, t, "php"),
+    "css": css_entities,
     "script": script_entities,
     "plain": script_entities,
 }

@@ -174,7 +174,7 @@ class _Watched(StatefulProcessor):
         fields = [StructField(c, LongType()) for c in ("micros", "event_id", "seen")]
         self.state = handle.getValueState("newest", StructType(fields))
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest, event, seen = self.state.get() if self.state.exists() else (-1, -1, 0)
         for batch in rows:
             newest, event = max([(newest, event), *zip(batch["micros"].tolist(), batch["event_id"].tolist(), strict=True)])
@@ -182,13 +182,13 @@ class _Watched(StatefulProcessor):
         self.state.update((int(newest), int(event), int(seen)))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(newest // 1000 + self.quiet, timers.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(newest // 1000 + self.quiet, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         newest, event, seen = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"filename": [key[0]], "micros": [newest], "event_id": [event], "n_seen": [seen], "due_ms": [expired.getExpiryTimeInMs()]})
+        yield pd.DataFrame({"filename": [key[0]], "micros": [newest], "event_id": [event], "n_seen": [seen], "due_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self) -> None:
         pass

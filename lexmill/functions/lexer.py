@@ -48,7 +48,7 @@ def read(text: str, language: str) -> Source:
         at = _past_html(text, 0, hidden)
     while at < n and (m := scan.search(text, at)):
         token, start, at = m[0], m.start(), m.end()
-        if token in ("//", "#", "/*"):
+        if token in ("//", "/*") or lines and token == "#":
             if token == "/*":
                 end = text.find("*/", at)
                 at = n if end < 0 else end + 2

@@ -16,6 +16,7 @@ from lexmill.operators import files as FI
 from lexmill.operators import index as I
 from lexmill.operators import maintain as M
 from lexmill.operators import search as S
+from lexmill.operators import snippets as SN
 from lexmill.operators import symbols as R
 from lexmill.sources import trees
 from lexmill.streaming import changes as C
@@ -599,6 +600,6 @@ def python_blocks(spark, sf_dir):
 
 @query(None)
 def snippets(spark, sf_dir):
-    e = view(spark, sf_dir, "fx_entities")
-    best = S.top_k(S.rank_bm25(index(spark, sf_dir), S.term(spark, "thin") & S.term(spark, "that")), by="score")
-    return E.snippets(best.join(e.select("id", "body"), "id"), ["thin", "that"]).select("id", "snippet")
+    q = S.term(spark, "thin") & S.term(spark, "that")
+    best = S.top_k(S.rank_bm25(index(spark, sf_dir), q), by="score").select("id")
+    return SN.snippets(best, view(spark, sf_dir, "fx_entities"), SN.hit_places(index(spark, sf_dir), q)).select("id", "snippet")

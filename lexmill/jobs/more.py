@@ -139,10 +139,11 @@ def extract_all(spark, sf_dir):
     return out.groupBy("filename", "extractor").agg(F.count("*").cast("int").alias("n"), F.max("language").alias("language"), F.count("error").cast("int").alias("n_errors"))
 
 
-@query("SELECT ext FROM (VALUES " + ", ".join(f"('{e}')" for e in sorted({e for _, _, es in FI.EXTRACTORS for e in es})) + ") t(ext) WHERE (SELECT count(*) FROM part) > 0")
+@query("SELECT ext, CAST(count(filename) AS BIGINT) AS n_files FROM (VALUES " + ", ".join(f"('{e}')" for e in sorted({e for _, _, es in FI.EXTRACTORS for e in es})) + ") t(ext) LEFT JOIN fx_code_files ON ext = lower(regexp_extract(filename, '\\.([^./]+)$', 1)) GROUP BY ext")
 def supported_extensions(spark, sf_dir):
-    some = spark.read.parquet(f"{sf_dir}/part.parquet").limit(1).select("p_partkey")
-    return FI.supported_extensions(FI.registry(spark)).join(some, how="cross").select("ext")
+    """How many files each supported extension has."""
+    files = view(spark, sf_dir, "fx_code_files").select("filename", X.extension(F.col("filename")).alias("ext"))
+    return FI.supported_extensions(FI.registry(spark)).join(files, "ext", "left").groupBy("ext").agg(F.count("filename").alias("n_files"))
 
 
 # --- tokens and texts -------------------------------------------------------------------------------------------
@@ -170,11 +171,11 @@ def identifiers_in(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x00-\\x7F]') AND regexp_matches(c, '[^\\p{L}\\p{N}]') THEN concat('x', hex(encode(c))) ELSE c END), '')) AS digest FROM (SELECT doc_id, concat(left(text, 300), chr(8364), chr(169), chr(233)) AS text FROM documents)"
+    "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x00-\\x7F]') AND regexp_matches(c, '[^\\p{L}\\p{N}]') THEN concat('x', hex(encode(c))) ELSE c END), '')) AS digest FROM (SELECT doc_id, concat(text, chr(8364), chr(169), chr(233)) AS text FROM documents)"
 )
 def encode_odd(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.md5(T.encode_odd(F.concat(F.left("text", F.lit(300)), F.lit("€©é")))).alias("digest"))
+    return d.select("doc_id", F.md5(T.encode_odd(F.concat("text", F.lit("€©é")))).alias("digest"))
 
 
 def _words_sql(key: str, text: str, table: str) -> str:

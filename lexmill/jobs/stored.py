@@ -14,6 +14,7 @@ from lexmill.jobs.more import _DIFF, _NEW, _diffed, _fresh
 from lexmill.operators import batch as BA
 from lexmill.operators import index as I
 from lexmill.operators import search as S
+from lexmill.operators import snippets as SN
 from lexmill.operators import symbols as R
 from lexmill.streaming import changes as C
 
@@ -115,3 +116,17 @@ def stream_quiet(spark, sf_dir):
     finally:
         spark.conf.set(key, before)
     return found.groupBy("filename").agg(F.max(F.struct("micros", "event_id")).alias("s")).select("filename", "s.*")
+
+
+@query(
+    _SCORES + ", ids AS (SELECT id FROM sc WHERE token IN ('thin', 'that') GROUP BY id HAVING count(*) = 2 ORDER BY round(-sum(s), 6), id LIMIT 20), "
+    "h AS (SELECT id, f, pos FROM tok JOIN ids USING (id) WHERE token IN ('thin', 'that')), n AS (SELECT id, f, count(*) AS n FROM tok JOIN ids USING (id) GROUP BY id, f), "
+    "w AS (SELECT DISTINCT id, f, least(pos, greatest(n - 45, 0)) AS s FROM h JOIN n USING (id, f)), "
+    "c AS (SELECT w.id, w.f, w.s, count(*) AS n_hits FROM w JOIN h ON h.id = w.id AND h.f = w.f AND h.pos BETWEEN w.s AND w.s + 44 GROUP BY ALL) "
+    f"SELECT id, {_FIELD} AS field, s AS first, n_hits FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n_hits DESC, f, s) = 1"
+)
+def best_fragments(spark, sf_dir):
+    """Where the best fragments of the best 20 hits stand, in whatever field."""
+    q = S.term(spark, "thin") & S.term(spark, "that")
+    best = S.top_k(S.rank_bm25(index(spark, sf_dir), q), by="score").select("id")
+    return SN.snippets(best, view(spark, sf_dir, "fx_entities"), SN.hit_places(index(spark, sf_dir), q)).select("id", "field", "first", "n_hits")

@@ -288,22 +288,3 @@ def extract(files: DataFrame, language: str, strict: bool = False, helper: Calla
             yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     return files.select("filename", "content").mapInPandas(run, SCHEMA)
-
-
-def snippets(hits: DataFrame, tokens: list[str], width: int = 45, before: str = "[", after: str = "]") -> DataFrame:
-    """Adds the best window of `width` words of `body`, hits marked. For the few rows of a top-k."""
-    wanted = [re.compile(rf"(?<!\w){re.escape(t)}(?!\w)", re.I) for t in tokens]
-
-    @F.pandas_udf("string")
-    def best(bodies: pd.Series) -> pd.Series:
-        def cut(body: str) -> str:
-            words = (body or "").split()
-            found = [any(p.search(x) for p in wanted) for x in words]
-            span = range(max(1, len(words) - width + 1))
-            at = max(span, key=lambda i: (sum(found[i : i + width]), -i))
-            shown = " ".join(f"{before}{x}{after}" if f else x for x, f in zip(words[at : at + width], found[at : at + width], strict=True))
-            return ("..." if at else "") + shown + ("..." if at + width < len(words) else "")
-
-        return bodies.map(cut)
-
-    return hits.withColumn("snippet", best("body"))

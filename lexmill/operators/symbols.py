@@ -27,19 +27,73 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_WAY = ("child", "ancestor", "depth")
+
+
+def _shorter(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The ways of `found` that `known` does not have, or only longer."""
+    best = found.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+    old = known.select("child", "ancestor", F.col("depth").alias("before"))
+    return best.join(old, ["child", "ancestor"], "left").where(F.col("before").isNull() | (F.col("depth") < F.col("before"))).select(*_WAY)
+
+
+def _joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Ways that go on: from the child of `first` to the ancestor of `second`."""
+    onward = second.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
+    return first.join(onward, "ancestor").select("child", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+
+
+def _merged(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    return _checkpointed(known.unionByName(fresh).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+
+
+def ways_of(edges: DataFrame) -> DataFrame:
+    return edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """child, ancestor, depth (the shortest way) of all pairs, by doubling: each round joins all known ways with all known
-    ways, so rounds follow the logarithm of the longest way. Ends on cycles, when no way is new or shorter."""
-    known = _checkpointed(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    seen = None
+    """child, ancestor, depth (the shortest way) of all pairs. Ends on cycles, when no way is new.
+
+    Each round joins the ways found in the last one with all known ones. After round r all ways of up to 2 ** r steps are known: a
+    shortest way of more begins with one of just that length, which the last round found. So rounds follow the logarithm of
+    the longest way, and no pair of older ways is joined again.
+    """
+    known = fresh = _checkpointed(ways_of(edges))
     while True:
-        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
-        longer = known.join(onward, "ancestor").select("child", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        known = _checkpointed(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
-        size = tuple(known.agg(F.count("*"), F.sum("depth")).first())
-        if size == seen:
+        fresh = _checkpointed(_joined(fresh, known).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(known, ["child", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
             return known
-        seen = size
+        known = _checkpointed(known.unionByName(fresh))
+
+
+def closure_with(known: DataFrame, added: DataFrame) -> DataFrame:
+    """The closure after edges are added to those of `known`. Rounds join new and shorter ways only."""
+    known = _checkpointed(known.select(*_WAY))
+    fresh = _checkpointed(_shorter(ways_of(added), known))
+    while not fresh.isEmpty():
+        known = _merged(known, fresh)
+        fresh = _checkpointed(_shorter(_joined(fresh, known).unionByName(_joined(known, fresh)), known))
+    return known
+
+
+def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """The closure after `removed` edges are gone; `edges` are those that are left.
+
+    A way goes if a removed edge may lie on a shortest one. Ways that go are sought again from their first edge: first on ways
+    that stayed, then on ways found again, whose rows alone a round joins.
+    """
+    known = _checkpointed(known.select(*_WAY))
+    gone = ways_of(removed.join(edges.select("child", "parent"), ["child", "parent"], "left_anti"))
+    ahead = gone.unionByName(_joined(known, gone))
+    through = _checkpointed(ahead.unionByName(_joined(ahead, known)).join(known, list(_WAY), "left_semi").select("child", "ancestor").distinct())
+    kept = _checkpointed(known.join(through, ["child", "ancestor"], "left_anti"))
+    step = _checkpointed(ways_of(edges))
+    lost = lambda ways: ways.join(through, ["child", "ancestor"], "left_semi")
+    fresh = _checkpointed(_shorter(lost(step.unionByName(_joined(step, kept))), kept))
+    while not fresh.isEmpty():
+        kept = _merged(kept, fresh)
+        fresh = _checkpointed(_shorter(lost(_joined(step, fresh)), kept))
+    return kept
 
 
 def below(edges: DataFrame, ancestor: str) -> DataFrame:

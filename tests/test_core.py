@@ -9,6 +9,7 @@ from lexmill.jobs import catalog
 from lexmill.operators import entities as E
 from lexmill.operators import index as I
 from lexmill.operators import search as S
+from lexmill.operators import snippets as SN
 from lexmill.operators import symbols as R
 from lexmill.sources import trees
 
@@ -98,10 +99,21 @@ def test_stored_index_is_rebuilt_by_project(spark, tmp_path):
     assert {r.id for r in S.matches(I.open_index(spark, str(tmp_path), "/p1"), S.term(spark, "bar")).collect()} == {9}
 
 
-def test_snippets_and_scripts(spark):
-    body = " ".join(["pad"] * 50 + ["hit", "x", "hit"] + ["pad"] * 10)
-    got = E.snippets(spark.createDataFrame([(1, body), (2, "a hit")], "id long, body string"), ["hit"], width=5).orderBy("id").collect()
-    assert "[hit] x [hit]" in got[0].snippet and got[1].snippet == "a [hit]"
+def test_fragments_of_any_field(spark):
+    pad = " ".join(["pad"] * 50)
+    rows = [(1, f"{pad} getHitById x, Hit! {pad} hit", ""), (2, "none", "a hit"), (3, "hit hit", "hit hit hit"), (4, "é hit-or_hit", "")]
+    entities = spark.createDataFrame([(i, "", sig, body, "", "", "") for i, body, sig in rows], "id long, " + ", ".join(f"{f} string" for f in I.FIELDS))
+    places = SN.hit_places(entities, S.term(spark, "hit"))
+    got = {r["id"]: tuple(r)[1:] for r in SN.snippets(entities.select("id"), entities, places, 7).collect()}
+    assert got[1] == ("body", 51, 2, "...[Hit]ById x, [Hit]!...")
+    assert got[2] == ("signature", 0, 1, "a [hit]") and got[3] == ("signature", 0, 3, "[hit] [hit] [hit]") and got[4] == ("body", 0, 2, "é [hit]-or_[hit]")
+    empty = SN.snippets(entities.select("id"), entities, places.where("id = 1"), 7).where("id = 2").first()
+    assert tuple(empty) == (2, None, None, 0, "")
+    both = S.phrase(spark, "hit by") | S.term(spark, "none")
+    assert {r["id"]: r["places"] for r in SN.hit_places(entities, both).collect()} == {1: [2 * I.FIELD_STEP + 51, 2 * I.FIELD_STEP + 52], 2: [2 * I.FIELD_STEP]}
+
+
+def test_scripts_and_given_extractors(spark):
     files = spark.createDataFrame([("/a/run", "#!/usr/bin/env node\nx"), ("/a/b.md", "# t"), ("/a/c.zig", "x")], "filename string, content string")
     table = spark.createDataFrame([("", "script", 90), ("md", "notes", 10), ("md", "other", 5)], "ext string, extractor string, priority int")
     out = E.extract_all(files, table, {"notes": lambda f, t: [{"type": "note", "name": t}]}).collect()

@@ -37,6 +37,7 @@ export default class A extends B {
   y = (a) => { return a }
   a() { return s.replace(/'/g, 1) }
   async *b(p = {}) { if (p) { go() } }
+  #p() { q() }
   get c() { return `${ { d: `}` }.d } }` }
   e(): { n: number } { return 1 }
   constructor() { f() }
@@ -50,7 +51,7 @@ new (class { m() {} })
 
 
 def test_javascript():
-    assert found(JS, "javascript") == [("class", "A", "", 2, 10), ("method", "a", "A", 5, 5), ("method", "b", "A", 6, 6), ("method", "c", "A", 7, 7), ("method", "e", "A", 8, 8), ("function", "c", "", 11, 11), ("arrow-function", "g", "", 12, 12), ("function", "d", "", 14, 14)]
+    assert found(JS, "javascript") == [("class", "A", "", 2, 11), ("method", "a", "A", 5, 5), ("method", "b", "A", 6, 6), ("method", "#p", "A", 7, 7), ("method", "c", "A", 8, 8), ("method", "e", "A", 9, 9), ("function", "c", "", 12, 12), ("arrow-function", "g", "", 13, 13), ("function", "d", "", 15, 15)]
     top = list(E.brace_entities("f", JS, "javascript"))[1]
     assert (top["docblock"], top["signature"]) == ("/** Top. */", "export default class A extends B")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexmill.jobs.catalog import query
@@ -9,6 +11,7 @@ from lexmill.jobs.fixtures import view
 from lexmill.jobs.more import _code
 from lexmill.operators import entities as E
 from lexmill.operators import symbols as R
+from lexmill.sources import listing as L
 
 _COLUMNS = ("filename", "type", "name", "class_name", "line_start", "line_end")
 
@@ -81,3 +84,17 @@ def closure_updated(spark, sf_dir):
     size = F.col("p_size").cast("string")
     added = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("N"), size).alias("child"), F.concat(F.lit("C"), size).alias("parent")).distinct()
     return R.closure_with(known, added)
+
+
+@query("SELECT lang, source, CAST(count(*) AS BIGINT) AS n_rows FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND lang <> 'de' AND NOT (lang = 'fr' AND source LIKE 'src1_') GROUP BY lang, source")
+def listed_tree(spark, sf_dir):
+    """The documents' ids as files by language and source; the rows of the files that a listing with ignore rules finds."""
+    base = f"{R.shared_folder(spark)}/tree-{uuid.uuid4()}"
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL AND source IS NOT NULL").select("lang", "source", F.col("doc_id").cast("string").alias("value"))
+    ids.write.partitionBy("lang", "source").text(base)
+    root = base.removeprefix("file:").replace("///", "/")
+    rules = [(root, 1, "lang=de/"), (f"{root}/lang=fr", 1, "source=src1?/"), (root, 2, "_*"), (root, 3, ".*")]
+    files = L.list_tree(spark, root, rules, content=True)
+    part = lambda c: F.regexp_extract("filename", f"/{c}=([^/]*)/", 1).alias(c)
+    lines = files.select(part("lang"), part("source"), F.explode(F.split(F.trim(F.regexp_replace(F.col("content").cast("string"), "\n$", "")), "\n")).alias("line"))
+    return lines.groupBy("lang", "source").agg(F.count("*").alias("n_rows"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lexmill.jobs.catalog import query
 from lexmill.jobs.fixtures import view
-from lexmill.jobs.more import _code
+from lexmill.jobs.more import _LINES, _code, _lines
 from lexmill.operators import entities as E
+from lexmill.operators import lines as LI
 from lexmill.operators import symbols as R
 from lexmill.sources import listing as L
 
@@ -98,3 +99,11 @@ def listed_tree(spark, sf_dir):
     part = lambda c: F.regexp_extract("filename", f"/{c}=([^/]*)/", 1).alias(c)
     lines = files.select(part("lang"), part("source"), F.explode(F.split(F.trim(F.regexp_replace(F.col("content").cast("string"), "\n$", "")), "\n")).alias("line"))
     return lines.groupBy("lang", "source").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {_LINES} SELECT kind, line FROM lines WHERE regexp_matches(line, '(?i)(CLASS|trait) [ct][0-9]*1$|::a[0-9]_3$|tion f[0-9]*77')")
+def find_symbols_stored(spark, sf_dir):
+    """A regular expression over the stored lines, by their trigrams."""
+    path = LI.line_folder(spark)
+    LI.write_lines(_lines(spark, sf_dir), path)
+    return LI.find_lines(spark, path, "(CLASS|trait) [ct][0-9]*1$|::a[0-9]_3$|tion f[0-9]*77", ignore_case=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.jobs.catalog import query
 from lexmill.jobs.fixtures import view
-from lexmill.jobs.more import _LINES, _code, _lines
+from lexmill.jobs.more import _LINES, _UP, _code, _lines, _up
 from lexmill.operators import entities as E
 from lexmill.operators import lines as LI
 from lexmill.operators import symbols as R
@@ -107,3 +107,34 @@ def find_symbols_stored(spark, sf_dir):
     path = LI.line_folder(spark)
     LI.write_lines(_lines(spark, sf_dir), path)
     return LI.find_lines(spark, path, "(CLASS|trait) [ct][0-9]*1$|::a[0-9]_3$|tion f[0-9]*77", ignore_case=True)
+
+
+_LINE = (
+    "a AS (SELECT *, owner AS declared_in, 0 AS depth FROM fx_values UNION ALL SELECT c.child, m.kind, m.member, m.visibility, m.is_static, m.is_readonly, m.type_expr, m.value, c.ancestor, c.depth FROM c JOIN fx_values m ON m.owner = c.ancestor), "
+    "h AS (SELECT * FROM a WHERE kind <> 'method' QUALIFY row_number() OVER (PARTITION BY owner, kind, member ORDER BY depth, declared_in) = 1), "
+    "l AS (SELECT f.fqn, f.kind = 'enum' AND h.kind = 'constant' AS is_case, h.kind, member, is_static, value, declared_in, CASE WHEN f.kind = 'enum' AND h.kind = 'constant' THEN concat('case ', member, coalesce(' = ' || value, '')) WHEN h.kind = 'constant' THEN concat('constant ', member, ' = ', coalesce(value, 'NULL')) "
+    "ELSE concat('property ', visibility, ' ', CASE WHEN is_static THEN 'static ' ELSE '' END, CASE WHEN h.is_readonly THEN 'readonly ' ELSE '' END, coalesce(type_expr, 'mixed'), ' $', member) END AS line FROM h JOIN fx_class_flags f ON f.fqn = h.owner) "
+)
+
+
+@query(f"{_UP} {_LINE} SELECT fqn, CASE WHEN is_case THEN 'case' ELSE kind END AS kind, member, line, CASE WHEN kind = 'property' AND is_static THEN value END AS default_value, CASE WHEN declared_in <> fqn THEN declared_in ELSE '' END AS origin FROM l")
+def value_pages(spark, sf_dir):
+    """The pages of all constants, enum cases and properties."""
+    return R.value_lines(view(spark, sf_dir, "fx_values"), view(spark, sf_dir, "fx_class_flags"), _up(spark, sf_dir))
+
+
+@query(
+    f"{_UP} {_LINE}, g AS (SELECT fqn, " + ", ".join(f"coalesce(string_agg(line, '; ' ORDER BY line) FILTER ({w}), '') AS {n}" for n, w in (("cases", "is_case"), ("constants", "kind = 'constant' AND NOT is_case"), ("properties", "kind = 'property'"))) + " FROM l GROUP BY fqn), "
+    "w(child, ancestor) AS (SELECT child, parent FROM fx_type_edges UNION SELECT w.child, e.parent FROM w JOIN fx_type_edges e ON e.child = w.ancestor), "
+    "p AS (SELECT child AS fqn, min(parent) AS parent FROM fx_type_edges WHERE rel = 'extends' GROUP BY child), "
+    "i AS (SELECT child AS fqn, string_agg(DISTINCT ancestor, ',' ORDER BY ancestor) AS interfaces FROM w WHERE ancestor IN (SELECT parent FROM fx_type_edges WHERE rel = 'implements') GROUP BY child), "
+    "u AS (SELECT child AS fqn, string_agg(DISTINCT parent, ',' ORDER BY parent) AS traits FROM fx_type_edges WHERE rel = 'uses' GROUP BY child) "
+    "SELECT f.fqn, f.kind, concat_ws(' ', CASE WHEN is_final THEN 'final' END, CASE WHEN is_abstract THEN 'abstract' END, CASE WHEN is_readonly THEN 'readonly' END, f.kind, f.fqn) AS head, trim(replace(replace(doc, '/** ', ''), ' */', '')) AS summary, "
+    "coalesce(parent, '') AS parent, coalesce(interfaces, '') AS interfaces, coalesce(traits, '') AS traits, coalesce(cases, '') AS cases, coalesce(constants, '') AS constants, coalesce(properties, '') AS properties "
+    "FROM fx_class_flags f LEFT JOIN p USING (fqn) LEFT JOIN i USING (fqn) LEFT JOIN u USING (fqn) LEFT JOIN g USING (fqn)"
+)
+def class_sheets(spark, sf_dir):
+    """Whole class pages: modifiers, relations, cases, constants and properties with their values."""
+    edges = view(spark, sf_dir, "fx_type_edges")
+    closed = R.closure(edges.select("child", "parent").distinct())
+    return R.class_sheets(view(spark, sf_dir, "fx_class_flags"), edges, closed, view(spark, sf_dir, "fx_values"), _up(spark, sf_dir))

@@ -33,6 +33,12 @@ VIEWS = {
     "fx_members": """SELECT owner, kind, member, min(modifiers) AS modifiers FROM (SELECT concat('C',l_partkey) AS owner,
  CASE l_linenumber % 4 WHEN 0 THEN 'property' WHEN 2 THEN 'constant' ELSE 'method' END AS kind, concat('a',l_linenumber,'_',l_suppkey % 5) AS member,
  CASE WHEN l_quantity > 25 THEN 'public' ELSE 'protected static' END AS modifiers FROM lineitem) m GROUP BY owner, kind, member""",
+    "fx_class_flags": """SELECT concat('C',p_partkey) AS fqn, CASE WHEN p_partkey % 9 = 0 THEN 'enum' WHEN p_partkey % 11 = 0 THEN 'trait' ELSE 'class' END AS kind,
+ p_partkey % 4 = 0 AS is_final, p_partkey % 5 = 1 AS is_abstract, p_partkey % 6 = 0 AS is_readonly, concat('/** ',p_name,' */') AS doc FROM part""",
+    "fx_values": """SELECT owner, kind, member, min(visibility) AS visibility, min(is_static) = 1 AS is_static, min(is_readonly) = 1 AS is_readonly, min(type_expr) AS type_expr, min(value) AS value FROM (SELECT concat('C',l_partkey) AS owner,
+ CASE l_linenumber % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'constant' ELSE 'method' END AS kind, concat('a',l_linenumber,'_',l_suppkey % 5) AS member,
+ CASE WHEN l_quantity > 25 THEN 'public' ELSE 'private' END AS visibility, l_suppkey % 2 AS is_static, l_suppkey % 3 AS is_readonly,
+ CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE concat('?T',l_suppkey % 9) END AS type_expr, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE concat(chr(39),l_returnflag,chr(39)) END AS value FROM lineitem) m GROUP BY owner, kind, member""",
     "fx_functions": """SELECT concat('C',l_orderkey % 50) AS owner, concat('f',l_orderkey) AS member, l_linenumber AS ordinal, concat('a',l_linenumber) AS name,
  CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE concat('?T',l_suppkey % 9) END AS type_expr, l_linenumber = 7 AS is_variadic, l_partkey % 5 = 0 AS by_ref,
  CASE l_returnflag WHEN 'R' THEN 'null' WHEN 'A' THEN '?' END AS default_value, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE concat('R',l_orderkey % 7) END AS return_type FROM lineitem""",

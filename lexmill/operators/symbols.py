@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import doc_summary, format_parameter, type_matches
+from lexmill.functions.text import doc_summary, format_parameter, format_type, type_matches
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -267,3 +267,42 @@ def module_names(files: DataFrame, prefixes: DataFrame) -> DataFrame:
 def class_map(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     """fqn -> filename: the first path (by name) of each class; files and classes are there once."""
     return module_names(files, prefixes).groupBy("fqn").agg(F.min("filename").alias("filename"))
+
+
+def class_heads(symbols: DataFrame) -> DataFrame:
+    """fqn, kind, head (`final abstract readonly kind name`, as far as they hold) and summary, of symbols with the three flags."""
+    flag = lambda c, word: F.when(F.col(c), F.lit(word))
+    head = F.concat_ws(" ", flag("is_final", "final"), flag("is_abstract", "abstract"), flag("is_readonly", "readonly"), "kind", "fqn")
+    return symbols.select("fqn", "kind", head.alias("head"), doc_summary(F.col("doc")).alias("summary"))
+
+
+def value_lines(members: DataFrame, symbols: DataFrame, closed: DataFrame) -> DataFrame:
+    """fqn, kind (case, constant or property), member, line, default_value, origin (empty if its own) of all constants, enum cases
+    and properties that a class has, its own or those of the nearest ancestor.
+
+    members: owner, kind, member, visibility, is_static, is_readonly, type_expr, value (as it would be written; null: none). A
+    property shows its type and, if static, its default value; a constant its value; a case its value if it has one.
+    """
+    few = members.where(F.col("kind").isin("constant", "property")).withColumn("name", F.struct("kind", "member"))
+    found = inherited(few.select("owner", F.col("name").alias("member")).distinct(), closed).select(F.col("owner").alias("fqn"), "declared_in", F.col("member.kind").alias("kind"), F.col("member.member").alias("member"))
+    rows = found.join(few.drop("name").withColumnRenamed("owner", "declared_in"), ["declared_in", "kind", "member"]).join(symbols.select("fqn", F.col("kind").alias("of")), "fqn")
+    word = lambda on, text: F.when(on, F.lit(f"{text} ")).otherwise(F.lit(""))
+    case = (F.col("kind") == "constant") & (F.col("of") == "enum")
+    valued = lambda head: F.concat(head, F.coalesce(F.concat(F.lit(" = "), "value"), F.lit("")))
+    line = F.when(case, valued(F.concat(F.lit("case "), "member"))).when(F.col("kind") == "constant", F.concat(F.lit("constant "), "member", F.lit(" = "), F.coalesce("value", F.lit("NULL"))))
+    shown = F.concat(F.lit("property "), "visibility", F.lit(" "), word(F.col("is_static"), "static"), word(F.col("is_readonly"), "readonly"), format_type(F.col("type_expr")), F.lit(" $"), "member")
+    default = F.when((F.col("kind") == "property") & F.col("is_static"), F.col("value"))
+    origin = F.when(F.col("declared_in") != F.col("fqn"), F.col("declared_in")).otherwise(F.lit(""))
+    return rows.select("fqn", F.when(case, F.lit("case")).otherwise(F.col("kind")).alias("kind"), "member", F.coalesce(line, shown).alias("line"), default.alias("default_value"), origin.alias("origin"))
+
+
+def class_sheets(symbols: DataFrame, edges: DataFrame, closed: DataFrame, members: DataFrame, parents: DataFrame) -> DataFrame:
+    """One row a class: head, summary, parent, interfaces, traits, and the lines of its cases, constants and properties, sorted.
+
+    closed: ways over all edges; parents: those over `extends` alone, on which members are inherited.
+    """
+    lines = value_lines(members, symbols, parents)
+    # The lines of one class.
+    listed = lines.groupBy("fqn").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("line")))), "; ").alias(n) for k, n in (("case", "cases"), ("constant", "constants"), ("property", "properties"))])
+    out = class_heads(symbols).join(class_page(symbols, edges, closed), "fqn").join(listed, "fqn", "left")
+    return out.na.fill("", ["cases", "constants", "properties"])

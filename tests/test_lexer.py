@@ -90,7 +90,7 @@ def test_css_of_any_depth(spark):
 @pytest.mark.parametrize("language", ["javascript", "php", "css"])
 @pytest.mark.parametrize("piece", ["x", "/", "'", '"', "`", "`${", "/*", "{", "}", "(", "(x", "[", "\\", "class A{", "function f(", "a(", "x(){", "const a=", "<<<A\n", "<?php ", "\n", " ", "/[", "/**", "@media {", "=>", "#"])
 def test_time_grows_with_the_text(language, piece):
-    text = piece * ((1 << 20) // len(piece)) if piece in ("x", " ", "\n") else piece * 50_000
+    text = piece * (1 << 20) if piece in ("x", " ", "\n") else piece * 20_000
     began = time.time()
     list(E.HELPERS[language]("f", "class A { " + text))
-    assert time.time() - began < 20
+    assert time.time() - began < 10

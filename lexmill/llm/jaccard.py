@@ -43,6 +43,8 @@ GROUP = 16
 #: Sets that a group has about, and tokens: whatever is reached first.
 GROUP_SETS = 512
 GROUP_TOKENS = 1 << 20
+#: Guests that one part of an asked group has about, within the same bound of tokens.
+GUESTS = 512
 #: Blocks beyond those that the pigeonhole needs, so that so many may be empty: 2 and an eighth of these.
 SPARE = 2
 #: Orders in which signatures name hubs.
@@ -254,9 +256,9 @@ def hubs(shared: DataFrame, orders: range) -> DataFrame:
     return votes.groupBy("key", "order").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
 
 
-def _parts() -> Column:
-    """In how many parts the grouped sets go, so that each has about GROUP_SETS sets or GROUP_TOKENS tokens."""
-    return F.ceil(F.greatest(F.count("*") / F.lit(GROUP_SETS), F.sum("n_shingles") / F.lit(GROUP_TOKENS))).cast("long").alias("parts")
+def _parts(sets: int) -> Column:
+    """In how many parts the grouped sets go, so that each has about so many sets or GROUP_TOKENS tokens."""
+    return F.ceil(F.greatest(F.count("*") / F.lit(sets), F.sum("n_shingles") / F.lit(GROUP_TOKENS))).cast("long").alias("parts")
 
 
 def meetings(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def meetings(shared: DataFrame, classes: DataFrame) -> DataFrame:
     A set meets its hub of each of HUBS orders. A hub with many guests, or long ones, meets them in several groups.
     """
     chosen = hubs(shared, range(HUBS)).where("key <> hub").select("key", "hub").distinct().join(classes.select("key", "n_shingles"), "key")
-    sizes = chosen.groupBy("hub").agg(_parts())
+    sizes = chosen.groupBy("hub").agg(_parts(GROUP_SETS))
     group = F.xxhash64("hub", "part").alias("group")
     guests = chosen.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("hub", "key"), F.col("parts"))).select("key", group)
     hosts = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.col("hub").alias("key"), group)
@@ -275,7 +277,7 @@ def meetings(shared: DataFrame, classes: DataFrame) -> DataFrame:
 def grouped(live: DataFrame) -> DataFrame:
     """(key, group): sets with one hub are a group, split by key where it is large."""
     chosen = hubs(live, range(HUBS, HUBS + 1)).select("key", "hub").join(live.select("key", "n_shingles").distinct(), "key")
-    sizes = chosen.groupBy("hub").agg(_parts())
+    sizes = chosen.groupBy("hub").agg(_parts(GROUP_SETS))
     return chosen.join(sizes, "hub").select("key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"))
 
 
@@ -310,7 +312,7 @@ def visits(asking: DataFrame, live: DataFrame) -> DataFrame:
     """(key, group, member): the members of the groups that are asked, and their guests in parts."""
     homes = live.select("key", F.col("group").alias("home"), "n_shingles").distinct()
     asking = asking.join(homes, "key")
-    sizes = asking.groupBy("group").agg(_parts())
+    sizes = asking.groupBy("group").agg(_parts(GUESTS))
     group = F.xxhash64("group", "part").alias("group")
     members = homes.join(sizes, F.col("home") == F.col("group")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", group, F.lit(True).alias("member"))
     guests = asking.where("group <> home").join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("key", group, F.lit(False).alias("member"))

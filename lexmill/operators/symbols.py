@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -44,7 +44,7 @@ def _joined(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def _merged(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    return _checkpointed(known.unionByName(fresh).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+    return checkpointed(known.unionByName(fresh).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
 
 
 def ways_of(edges: DataFrame) -> DataFrame:
@@ -58,21 +58,21 @@ def closure(edges: DataFrame) -> DataFrame:
     shortest way of more begins with one of just that length, which the last round found. So rounds follow the logarithm of
     the longest way, and no pair of older ways is joined again.
     """
-    known = fresh = _checkpointed(ways_of(edges))
+    known = fresh = checkpointed(ways_of(edges))
     while True:
-        fresh = _checkpointed(_joined(fresh, known).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(known, ["child", "ancestor"], "left_anti"))
+        fresh = checkpointed(_joined(fresh, known).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(known, ["child", "ancestor"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = _checkpointed(known.unionByName(fresh))
+        known = checkpointed(known.unionByName(fresh))
 
 
 def closure_with(known: DataFrame, added: DataFrame) -> DataFrame:
     """The closure after edges are added to those of `known`. Rounds join new and shorter ways only."""
-    known = _checkpointed(known.select(*_WAY))
-    fresh = _checkpointed(_shorter(ways_of(added), known))
+    known = checkpointed(known.select(*_WAY))
+    fresh = checkpointed(_shorter(ways_of(added), known))
     while not fresh.isEmpty():
         known = _merged(known, fresh)
-        fresh = _checkpointed(_shorter(_joined(fresh, known).unionByName(_joined(known, fresh)), known))
+        fresh = checkpointed(_shorter(_joined(fresh, known).unionByName(_joined(known, fresh)), known))
     return known
 
 
@@ -82,29 +82,29 @@ def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame) -> D
     A way goes if a removed edge may lie on a shortest one. Ways that go are sought again from their first edge: first on ways
     that stayed, then on ways found again, whose rows alone a round joins.
     """
-    known = _checkpointed(known.select(*_WAY))
+    known = checkpointed(known.select(*_WAY))
     gone = ways_of(removed.join(edges.select("child", "parent"), ["child", "parent"], "left_anti"))
     ahead = gone.unionByName(_joined(known, gone))
-    through = _checkpointed(ahead.unionByName(_joined(ahead, known)).join(known, list(_WAY), "left_semi").select("child", "ancestor").distinct())
-    kept = _checkpointed(known.join(through, ["child", "ancestor"], "left_anti"))
-    step = _checkpointed(ways_of(edges))
+    through = checkpointed(ahead.unionByName(_joined(ahead, known)).join(known, list(_WAY), "left_semi").select("child", "ancestor").distinct())
+    kept = checkpointed(known.join(through, ["child", "ancestor"], "left_anti"))
+    step = checkpointed(ways_of(edges))
     lost = lambda ways: ways.join(through, ["child", "ancestor"], "left_semi")
-    fresh = _checkpointed(_shorter(lost(step.unionByName(_joined(step, kept))), kept))
+    fresh = checkpointed(_shorter(lost(step.unionByName(_joined(step, kept))), kept))
     while not fresh.isEmpty():
         kept = _merged(kept, fresh)
-        fresh = _checkpointed(_shorter(lost(_joined(step, fresh)), kept))
+        fresh = checkpointed(_shorter(lost(_joined(step, fresh)), kept))
     return kept
 
 
 def below(edges: DataFrame, ancestor: str) -> DataFrame:
     """child, ancestor, depth of everything below one name: a search from that name, level by level; rows are those found."""
     step = edges.select("child", "parent").distinct()
-    known = frontier = _checkpointed(step.where(F.col("parent") == ancestor).select("child", F.lit(1).alias("depth")))
+    known = frontier = checkpointed(step.where(F.col("parent") == ancestor).select("child", F.lit(1).alias("depth")))
     depth = 1
     while not frontier.isEmpty():
         depth += 1
         onward = step.join(frontier.select(F.col("child").alias("parent")), "parent").select("child").distinct()
-        frontier = _checkpointed(onward.join(known, "child", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpointed(onward.join(known, "child", "left_anti").withColumn("depth", F.lit(depth)))
         known = known.unionByName(frontier)
     return known.select("child", F.lit(ancestor).alias("ancestor"), "depth")
 

@@ -22,9 +22,6 @@ BLOCK = frozenset(
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 _HOLDS_P = frozenset("article aside blockquote body button dd div fieldset figure footer form header li main nav section table td th".split())
 
-#: Elements deeper than this (browsers stop at 512) keep their text but have the features of this depth.
-MAX_DEPTH = 256
-
 _TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _IN_TAG = re.compile("[<>\"']")
 _NEW_TAG = re.compile("[a-zA-Z/!]")
@@ -168,7 +165,7 @@ def leaf_blocks(html: str, paths: Paths) -> list[tuple[int, str, float]]:
                     close(*_ENDS[tag])
                 if not rest.endswith("/"):
                     above = opened[-1][1] if opened else 0
-                    opened.append((tag, paths.below(above, tag, rest) if len(opened) < MAX_DEPTH else above))
+                    opened.append((tag, paths.below(above, tag, rest)))
                     count[tag] = count.get(tag, 0) + 1
     flush()
     return out

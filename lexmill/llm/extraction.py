@@ -7,7 +7,7 @@ and decoded by Viterbi for each page inside the tasks.
 
 Defined cases: a null or empty html has an empty text; a page without main text too; text outside any tag is a block;
 unclosed comments and scripts end with the page; an unclosed tag is dropped up to the next tag or the page's end; rows with equal or null page_id each get their own row;
-very long pages are read whole; an empty table gives an empty result; other columns are ignored.
+very long pages are read whole, and elements at any depth have their own features; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +46,37 @@ def path_features(paths: dom.Paths, path: int) -> set[str]:
     return out | set(near or ["near="])
 
 
+class PathScores:
+    """The sum of the weights of path_features(), for each path from that of the path above it: one step a path at any depth.
+
+    A path hands down which known features it has (a bit each), their sum, and the sum of its innermost telling element.
+    """
+
+    def __init__(self, weights: dict[str, float], paths: dom.Paths):
+        self.weights, self.paths = weights, paths
+        self.bits = {f: 1 << i for i, f in enumerate(x for x in weights if x.startswith(("in=", "name=")))}
+        self.reset()
+
+    def reset(self):
+        self.scores, self.handed = [self.weights.get("near=", 0.0)], [(0, 0.0, self.weights.get("near=", 0.0))]
+
+    def of(self, path: int) -> float:
+        for above, tag, names in self.paths.nodes[len(self.scores) : path + 1]:
+            has, total, near = self.handed[above]
+            if names or tag not in PLAIN:
+                near = sum(self.weights.get(f"near={x}", 0.0) for x in {*names, *([] if tag in PLAIN else [tag])})
+            for f in names:
+                has, total = self._with(f"name={f}", has, total)
+            inside = self._with(f"in={tag}", has, total)
+            self.handed.append((*inside, near))
+            self.scores.append((total if tag in ("div", "body") else inside[1]) + self.weights.get(f"block={tag}", 0.0) + near)
+        return self.scores[path]
+
+    def _with(self, feature: str, has: int, total: float) -> tuple[int, float]:
+        bit = self.bits.get(feature, 0)
+        return (has, total) if not bit or has & bit else (has | bit, total + self.weights[feature])
+
+
 def text_features(text: str, linked: float) -> list[str]:
     n = text.count(" ") + 1
     return [
@@ -132,20 +163,19 @@ class Extractor:
     """Scores blocks with a field and keeps path scores between pages."""
 
     def __init__(self, field: ChainField):
-        self.field, self.paths, self.known = field, dom.Paths(), {}
+        self.field, self.paths = field, dom.Paths()
+        self.known = PathScores(field.weights, self.paths)
 
     def text(self, html: str | None) -> str:
         if not html:
             return ""
         if len(self.paths.nodes) > dom.Paths.LIMIT:
             self.paths.reset()
-            self.known.clear()
+            self.known.reset()
         blocks = dom.leaf_blocks(html, self.paths)
         weights, scores = self.field.weights, []
         for path, text, linked in blocks:
-            if path not in self.known:
-                self.known[path] = sum(weights.get(f, 0.0) for f in path_features(self.paths, path))
-            scores.append(self.known[path] + sum(weights.get(f, 0.0) for f in text_features(text, linked)))
+            scores.append(self.known.of(path) + sum(weights.get(f, 0.0) for f in text_features(text, linked)))
         return "\n".join(b[1] for b, main in zip(blocks, self.field.decode(scores), strict=True) if main)
 
 

@@ -27,7 +27,7 @@ _IN_TAG = re.compile("[<>\"']")
 _NEW_TAG = re.compile("[a-zA-Z/!]")
 _RAW_END = {x: re.compile(rf"</{x}\b[^<>]*>", re.I) for x in RAW}
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_LETTERS = re.compile("[a-z]+")
+_LETTERS = re.compile("[a-z]{2,}")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 

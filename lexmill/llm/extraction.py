@@ -12,7 +12,7 @@ very long pages are read whole, and elements at any depth have their own feature
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,7 +32,8 @@ DECAY = 1e-3
 PLAIN = frozenset("html body div p span ul ol li table tbody thead tr td th dl dt dd pre blockquote section h1 h2 h3 h4 h5 h6 figure figcaption".split())
 
 
-def path_features(paths: dom.Paths, path: int) -> set[str]:
+def path_features(paths: dom.Paths, path: int, known: Container[str] | None = None) -> set[str]:
+    """Features of a block's open elements. An element of whose names and tag none is `known` (None: all are) is not telling."""
     own, out, near = True, set(), None
     while path > 0:
         path, tag, names = paths.nodes[path]
@@ -41,11 +42,15 @@ def path_features(paths: dom.Paths, path: int) -> set[str]:
             out.add(f"in={tag}")
         own = False
         out.update(f"name={x}" for x in names)
-        if near is None and (names or tag not in PLAIN):
-            near = [f"near={x}" for x in (*names, *([] if tag in PLAIN else [tag]))]
+        if not near:
+            near = [f for f in telling(tag, names) if known is None or f in known]
     return out | set(near or ["near="])
 
 
+def telling(tag: str, names: tuple[str, ...]) -> list[str]:
+    return [f"near={x}" for x in dict.fromkeys((*names, *([] if tag in PLAIN else [tag])))]
+
+
 class PathScores:
     """The sum of the weights of path_features(), for each path from that of the path above it: one step a path at any depth.
 
@@ -63,8 +68,8 @@ class PathScores:
     def of(self, path: int) -> float:
         for above, tag, names in self.paths.nodes[len(self.scores) : path + 1]:
             has, total, near = self.handed[above]
-            if names or tag not in PLAIN:
-                near = sum(self.weights.get(f"near={x}", 0.0) for x in {*names, *([] if tag in PLAIN else [tag])})
+            if mine := [self.weights[f] for f in telling(tag, names) if f in self.weights]:
+                near = sum(mine)
             for f in names:
                 has, total = self._with(f"name={f}", has, total)
             inside = self._with(f"in={tag}", has, total)

@@ -1,7 +1,7 @@
 """Labelled pages for the extractor's random field, made from layouts.
 
 A page is a sequence of parts; each part is a container with marked blocks of text. The containers, their class
-names and the nesting vary with a seed. LAYOUTS bounds the number of pages, so training has a fixed size.
+names and the nesting vary with a seed. LAYOUTS bounds the number of pages (with a quarter more without names), so training has a fixed size.
 """
 
 from __future__ import annotations
@@ -88,5 +88,25 @@ def labelled_page(seed: int) -> tuple[str, list[bool]]:
     return f"<html><head><title>{title}</title><style>p{{margin:0}}</style></head><body>" + "".join(p[0] for p in parts) + "</body></html>", [False, *sum((p[1] for p in parts), [])]
 
 
+def nameless_page(seed: int) -> tuple[str, list[bool]]:
+    """A page whose containers are plain and tell nothing: only its texts, links and their order do."""
+    rng = random.Random(f"nameless {seed}")
+    box = lambda inner: f'<div id="{rng.randint(1, 99)}">{inner}</div>' if rng.random() < 0.7 else f"<div>{inner}</div>"
+    links = lambda: "".join(f'<a href="/{i}">{_sentence(rng, 1, 3)[:-1]}</a> ' for i in range(rng.randint(2, 6)))
+    short = lambda: ("&copy; " if rng.random() < 0.4 else "") + _sentence(rng, 1, 5)[:-1]
+    before, after = ([rng.choice([links, links, short])() for _ in range(rng.randint(0, 3))] for _ in range(2))
+    body, labels = [], []
+    for _ in range(rng.randint(1, 6)):
+        if not body and rng.random() < 0.8 or body and rng.random() < 0.15:
+            body.append(f"<h{min(len(body) + 1, 3)}>{_sentence(rng, 2, 9)[:-1]}</h{min(len(body) + 1, 3)}>")
+            labels.append(True)
+        body.append(f"<p>{_sentence(rng, 12, 80)}</p>")
+        labels.append(True)
+    parts = "".join(map(box, before)) + box("".join(body)) + "".join(map(box, after))
+    page = f"<html><head><title>{_sentence(rng, 2, 9)}</title></head><body>{parts}</body></html>"
+    return page, [False, *[False] * len(before), *labels, *[False] * len(after)]
+
+
 def labelled_pages(n: int = LAYOUTS) -> list[tuple[str, list[bool]]]:
-    return [labelled_page(seed) for seed in range(n)]
+    """`n` pages of named containers and a quarter as many without names."""
+    return [labelled_page(seed) for seed in range(n)] + [nameless_page(seed) for seed in range(n // 4)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lexmill.llm import dom, extraction
-from lexmill.llm.html_training import labelled_page
+from lexmill.llm.html_training import labelled_page, nameless_page
 
 ARTICLE = "<article><h1>The mill</h1><p>The water rose over the old bank and carried a boat down to the mill.</p></article>"
 COMMENTS = '<div class="comments"><p>I was there too and it was a very wet day for all of us.</p></div>'
@@ -25,6 +25,24 @@ def test_depth_does_not_change_what_a_block_is(field, depth):
     assert extraction.Extractor(field).text(page).split("\n") == ["The mill", "The water rose over the old bank and carried a boat down to the mill."]
 
 
+@pytest.mark.parametrize("names", [["", "", ""], [" id=x1", " id=x2", " id=x3"], [' class="qk-1"', ' class="qk-2"', ' class="zzt"']])
+def test_pages_without_telling_names_keep_their_article(field, names):
+    a, b, c = names
+    texts = ["The day of the river", "The water rose over the old bank and carried a boat down to the mill again today.", "Nobody in the village had seen such a flood before, and many people came to look at it."]
+    menu = f'<div{a}><a href="/">Home</a> <a href="/b">About</a> <a href="/c">Contact</a></div>'
+    page = f"<body>{menu}<div{b}><h1>{texts[0]}</h1><p>{texts[1]}</p><p>{texts[2]}</p></div><div{c}>&copy; The mill</div></body>"
+    assert extraction.Extractor(field).text(page).split("\n") == texts
+
+
+def test_held_out_pages_without_names(field):
+    right = 0
+    for seed in range(10**6, 10**6 + 100):
+        html, labels = nameless_page(seed)
+        texts = [b[1] for b in dom.leaf_blocks(html, dom.Paths())]
+        right += extraction.Extractor(field).text(html) == "\n".join(b for b, y in zip(texts, labels, strict=True) if y)
+    assert right >= 95
+
+
 @pytest.mark.parametrize("piece", ["<div>x", '<div class="a b">x', "<section><p>x"])
 def test_deep_pages_take_linear_time(field, piece):
     began = time.process_time()
@@ -36,8 +54,8 @@ def test_path_scores_are_the_sums_of_path_features(field):
     paths = dom.Paths()
     scores = extraction.PathScores(field.weights, paths)
     for seed in range(2 * 10**6, 2 * 10**6 + 40):
-        for path, _, _ in dom.leaf_blocks("<div><ul><li>" * (seed % 4) + labelled_page(seed)[0], paths):
-            assert scores.of(path) == pytest.approx(sum(field.weights.get(f, 0.0) for f in extraction.path_features(paths, path)))
+        for path, _, _ in dom.leaf_blocks("<div><ul class='zq'><li>" * (seed % 4) + labelled_page(seed)[0], paths):
+            assert scores.of(path) == pytest.approx(sum(field.weights.get(f, 0.0) for f in extraction.path_features(paths, path, field.weights)))
 
 
 def test_viterbi_finds_the_best_of_all_labellings():

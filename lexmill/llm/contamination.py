@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +188,8 @@ def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int, out: C
     """The same result for a benchmark of any size: both sides' fingerprints meet in a shuffle join."""
     sizes = sorted(r["size"] for r in rows.select("size").distinct().collect())  # at most `window` values
     columns, row_id, list_name = docs.columns, free_name(docs, "row_id"), free_name(docs, "found")
-    keyed = docs.withColumn(row_id, F.concat_ws(":", F.xxhash64("text"), F.md5("text")))
+    # Of the doc_id too: copies of one text and null texts are told apart, so that no task gets them all.
+    keyed = docs.withColumn(row_id, F.concat_ws(":", F.xxhash64("text"), F.md5("text"), F.xxhash64("doc_id")))
 
     def prints(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
@@ -204,16 +206,17 @@ def _by_shuffle(docs: DataFrame, rows: DataFrame, window: int, gram: int, out: C
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             words = _words(batch.column("text").slice(a, b - a))
-            start, size, items, index = [], [], [], {}
-            for d, own in enumerate(batch.column(list_name).slice(a, b - a).to_pylist()):
-                for x in own or ():
-                    if x["start"] < 0 or x["start"] + x["size"] > words.counts[d]:
-                        continue
-                    at = np.array([words.first[d] + x["start"]])
-                    if all(w.runs_at(words, at, x["size"], second).view(np.int64)[0] == x[c] for second, c in ((False, "one"), (True, "two"))):
-                        start.append(at[0])
-                        size.append(x["size"])
-                        items.append(index.setdefault(x["item_id"], len(index)))
-            yield out(batch.select(columns).slice(a, b - a), words, np.array(start, np.int64), np.array(size, np.int64), np.array(items, np.int64), list(index))
+            lists = batch.column(list_name).slice(a, b - a)
+            hits = pa.RecordBatch.from_struct_array(lists.flatten())
+            doc = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            start, size, one, two = (hits.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "size", "one", "two"))
+            same = (start >= 0) & (start + size <= words.counts[doc])
+            start = words.first[doc] + start
+            for n in np.unique(size[same]).tolist():
+                these = np.flatnonzero(same & (size == n))
+                for value, second in ((one, False), (two, True)):
+                    same[these] &= w.runs_at(words, start[these], n, second).view(np.int64) == value[these]
+            named = pc.dictionary_encode(hits.column("item_id"), null_encoding="encode")
+            yield out(batch.select(columns).slice(a, b - a), words, start[same], size[same], named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[same], named.dictionary.to_pylist())
 
     return per_batch(joined, verify, schema)

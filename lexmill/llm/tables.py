@@ -20,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one that is set, else the one the cluster names in `spark.checkpoint.dir`, and one
-    of our own only where neither is there."""
+    """The checkpoint folder: the one that is set, else the one the cluster names in `spark.checkpoint.dir`; one of our
+    own only in local mode, as executors elsewhere could not read it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -203,7 +203,8 @@ def searchable_columns(spark, sf_dir):
     "SELECT o_orderkey, concat(regexp_replace(printf('%.1f', round(n / pow(1024, k), 1)), '\\.0$', ''), ['B', 'KB', 'MB', 'GB'][k + 1]) AS size FROM s"
 )
 def humanise_bytes(spark, sf_dir):
-    n = F.expr("CAST(o_totalprice * o_orderkey * o_orderkey * 7 AS BIGINT) % 9000000000000")
+    # The remainder is taken of the double, where it is exact: the product of large keys is beyond a long.
+    n = F.expr("CAST(o_totalprice * o_orderkey * o_orderkey * 7 % 9000000000000D AS BIGINT)")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", X.humanise_bytes(n).alias("size"))
 
 

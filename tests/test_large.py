@@ -13,3 +13,12 @@ def test_sizes_of_large_keys(spark, tmp_path):
     got = {r.o_orderkey: r["size"] for r in catalog.QUERIES["humanise_bytes"](spark, str(tmp_path)).collect()}
     n = int(499993.18 * 36_000_000 * 36_000_000 * 7) % 9_000_000_000_000
     assert got == {1: "703B", 36_000_000: f"{n / 1024**3:.1f}".removesuffix(".0") + "GB"}
+
+
+def test_counted_keys_with_ties(spark):
+    """The commonest keys are found twice, on a cluster from rows in any order: ties must not be left open."""
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    joined = tables.join_counted(rows, tables.checkpointed(rows.withColumn("n", F.lit(1))), ["k"], heavy=5)
+    assert joined.count() == joined.select("k").distinct().count() == 1000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [n#") == plan.count("DESC NULLS LAST, k#") == 2

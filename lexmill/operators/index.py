@@ -42,6 +42,9 @@ LEVEL_LENGTH = 256
 #: Entities, and tokens of each, that show where shards begin. They only decide how rows are dealt out.
 SAMPLE_ENTITIES = 1000
 SAMPLE_TOKENS = 256
+#: Entities and bytes of an Arrow batch that goes to a Python worker, and tokens that one pass there covers (a longer entity goes alone).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+PASS_TOKENS = 1 << 18
 
 
 def tokenised(entities: DataFrame, fields: tuple[str, ...] = FIELDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -56,6 +59,26 @@ def added(f: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch where they are larger, so that a worker's memory does not grow with the table."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        digits = spark.conf.get(key).strip().lower().removesuffix("b")
+        if not (digits.isdigit() and 0 < int(digits) <= most):
+            spark.conf.set(key, str(most))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about PASS_TOKENS tokens."""
+    ends = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PASS_TOKENS, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS, carry: tuple[str, ...] = (), bounds: list[str] | None = None) -> DataFrame:
     """id, field, token, tf, positions (in the field), dl (tokens of the entity), whether the row is the entity's first one of the
     token, f (the token's occurrences in the entity) and `carry`.
@@ -68,7 +91,7 @@ def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS, carry: tuple
     edges = None if bounds is None else np.array(bounds, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             lists = batch.column("tokens")
             sizes = lists.value_lengths().fill_null(0).to_numpy()
             position, token = lists.flatten().flatten()
@@ -107,6 +130,7 @@ def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS, carry: tuple
             if len(at):
                 yield pa.RecordBatch.from_pydict(rows)
 
+    _bound_batches(entities.sparkSession)
     laid_out = "" if bounds is None else ", level int, shard int"
     return tokenised(entities, fields, carry).mapInArrow(run, f"id {id_type}, field string, token string, tf long, positions array<long>, dl long, is_first boolean, f long{carried}{laid_out}")
 

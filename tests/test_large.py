@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.jobs import catalog, more  # noqa: F401
 from lexmill.llm import tables
+from lexmill.operators import index as I
 from lexmill.operators import symbols as R
 
 
@@ -47,3 +49,14 @@ def test_inherited_lie_with_their_heir(spark):
     assert sorted(map(tuple, R.counted_under_heirs(some(("A", "y")), members, R.closure(edges)).collect())) == [("A", "y", "A")]
     single = R.counted_under_heirs(some(("A", "x")), members, R.closure(edges))
     assert sorted(map(tuple, single.collect())) == [("A", "x", "A"), ("B", "x", "A"), ("C", "x", "A")] and "Aggregate" not in plan(single)
+
+
+def test_batches_of_postings_are_bounded(spark):
+    """Many and long entities are covered in runs of bounded tokens, with the postings of one pass."""
+    sizes = [len(p) for p in I._parts(pa.RecordBatch.from_pydict({"tokens": pa.array([[0] * (I.PASS_TOKENS // 2)] * 5 + [[0] * (2 * I.PASS_TOKENS)] + [None, []])}))]
+    assert sizes == [2, 2, 1, 1, 2]
+    blank = {f: "" for f in I.FIELDS}
+    rows = spark.createDataFrame([{"id": i} | blank | {"body": f"a b{i % 7} a"} for i in range(3000)], "id long, " + ", ".join(f"{f} string" for f in I.FIELDS)).coalesce(1)
+    found = I.term_stats(I.postings(rows))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= I.BATCH_ROWS
+    assert {r.token: (r.df, r.cf) for r in found.where("token IN ('a', 'b3')").collect()} == {"a": (3000, 6000), "b3": (429, 429)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.jobs import catalog, more  # noqa: F401
 from lexmill.llm import tables
+from lexmill.operators import entities as E
 from lexmill.operators import index as I
 from lexmill.operators import symbols as R
 
@@ -60,3 +61,9 @@ def test_batches_of_postings_are_bounded(spark):
     found = I.term_stats(I.postings(rows))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= I.BATCH_ROWS
     assert {r.token: (r.df, r.cf) for r in found.where("token IN ('a', 'b3')").collect()} == {"a": (3000, 6000), "b3": (429, 429)}
+
+
+def test_small_files_are_dealt_out(spark):
+    files = spark.createDataFrame([(f"/p{i}.js", f"function f{i}() {{ return 1 }}\n") for i in range(200)], "filename string, content string").coalesce(1)
+    out = E.extract(files, "javascript").select("filename", "name", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in out}) > 1 and {r.name for r in out if r.name.startswith("f")} == {f"f{i}" for i in range(200)}

@@ -18,11 +18,14 @@ from lexmill.functions.text import age_penalty
 from lexmill.functions.tokens import index_tokens
 from lexmill.operators.files import apply_ignore_rules
 from lexmill.operators.index import B, FIELD_STEP, FIELDS, K1, Index, tokenised
+from lexmill.operators.symbols import checkpointed
 
 Source = DataFrame | Index
 
 #: Scores are compared when rounded to so many places; bounds leave this margin.
 PLACES, MARGIN = 6, 1e-5
+#: Terms of a batch of queries that are broadcast; more are joined by a shuffle.
+MAX_TERMS = 1_000_000
 
 
 class Query:
@@ -310,18 +313,23 @@ def format_hits(hits: DataFrame) -> DataFrame:
 def search_many(source: Source, queries: DataFrame, k: int = 10, fields: tuple[str, ...] = FIELDS, percent: int = 100) -> DataFrame:
     """The k best entities of each query (query_id, tokens: at least `percent` of them must occur), scored in one job.
 
-    Postings are joined with the queries' tokens, a term's rows are summed up for each entity, and document
-    frequencies come from the same rows. Spark broadcasts the terms while they are small.
+    Postings of the queries' tokens are dealt out by entity once; there they meet the queries, whose terms (with their
+    document frequencies, from counts that need no shuffle of postings) are broadcast up to MAX_TERMS.
     """
     terms = queries.select("query_id", F.size("tokens").alias("wanted"), F.posexplode("tokens").alias("nth", "token"))
     asked = terms.select("token").distinct()
     if isinstance(source, Index):
-        tf = source.of_tokens(asked).groupBy("token", "id").agg(F.sum("tf").alias("f"), F.first("dl").alias("dl"))
+        found = source.of_tokens(asked)
+        df = found.groupBy("token").agg(F.count_if("is_first").alias("df"))
+        rows = found.select("id", "token", "dl", F.col("tf").alias("f"))
     else:
-        each = tokenised(source, fields).select("id", F.size("tokens").alias("dl"), F.explode(F.expr("transform(tokens, x -> x.token)")).alias("token"))
-        tf = each.join(asked, "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "token").join(terms, "token").join(F.broadcast(corpus_stats(source, fields)))
+        of = lambda tokens: tokenised(source, fields).select("id", F.size("tokens").cast("long").alias("dl"), F.explode(tokens).alias("token")).join(asked, "token", "left_semi")
+        each = F.expr("transform(tokens, x -> x.token)")
+        df = of(F.array_distinct(each)).groupBy("token").agg(F.count("*").alias("df"))
+        rows = of(each).select("id", "token", "dl", F.lit(1).cast("long").alias("f"))
+    tf = rows.repartition("id").groupBy("id", "token").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
+    weights = checkpointed(terms.join(df, "token").select("query_id", "wanted", "token", "df"))
+    scored = tf.join(F.broadcast(weights) if weights.count() <= MAX_TERMS else weights, "token").join(F.broadcast(corpus_stats(source, fields)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -9,6 +9,7 @@ from lexmill.jobs import catalog, more  # noqa: F401
 from lexmill.llm import tables
 from lexmill.operators import entities as E
 from lexmill.operators import index as I
+from lexmill.operators import search as S
 from lexmill.operators import symbols as R
 
 
@@ -67,3 +68,13 @@ def test_small_files_are_dealt_out(spark):
     files = spark.createDataFrame([(f"/p{i}.js", f"function f{i}() {{ return 1 }}\n") for i in range(200)], "filename string, content string").coalesce(1)
     out = E.extract(files, "javascript").select("filename", "name", F.spark_partition_id().alias("task")).collect()
     assert len({r.task for r in out}) > 1 and {r.name for r in out if r.name.startswith("f")} == {f"f{i}" for i in range(200)}
+
+
+def test_many_searches_deal_postings_out_once(spark):
+    blank = {f: "" for f in I.FIELDS}
+    texts = ["thin line of ink", "thin thin paper", "of the line", "ink"]
+    entities = spark.createDataFrame([{"id": i} | blank | {"body": t} for i, t in enumerate(texts)], "id long, " + ", ".join(f"{f} string" for f in I.FIELDS))
+    asked = spark.createDataFrame([(1, ["thin", "ink"]), (2, ["line", "of"])], "query_id int, tokens array<string>")
+    found = S.search_many(entities, asked, percent=60)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(1, 0), (2, 0), (2, 2)]
+    assert not re.search(r"hashpartitioning\(query_id#\w+, id#", found._jdf.queryExecution().executedPlan().toString())

@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ class _Plan:
         lists = [F.flatten(F.collect_list(F.when(self.wanted(F.col("token"), k), F.col("positions")))).alias(n) for k, n in self.keys.items()]
         rows = self.token_rows(source, fields).groupBy("id").agg(F.first("dl").alias("dl"), *lists)
         rows = rows.select("id", "dl", *[self.instances(p).alias(f"p{i}") for i, p in enumerate(self.leaves)])
-        return rows.select("*", *[self.full_ends(q, at).alias(f"near{at}") for q, at in self.nears()])
+        return rows.select("*", *[self.held(q, at).alias(f"near{at}") for q, at in self.nears()])
 
     def instances(self, p: Phrase) -> Column:
         """First positions of the phrase's instances under its own filters."""
@@ -153,16 +155,14 @@ class _Plan:
             return [(q, at)]
         return [] if isinstance(q, Phrase) else self.nears(q.left, at) + self.nears(q.right, at + len(_phrases(q.left)))
 
-    def full_ends(self, q: Near, at: int) -> Column:
-        """Ends of instances from which on all phrases of the group occur within `distance` tokens."""
-        found = [(F.col(f"p{at + i}"), len(p.tokens)) for i, p in enumerate(q.phrases)]
-        ends = F.flatten(F.array(*[F.transform(c, _plus(n)) for c, n in found]))
-        return F.filter(ends, lambda e: _all([F.exists(c, _in_reach(n, e, q.distance)) for c, n in found]))
+    def held(self, q: Near, at: int) -> Column:
+        """An array a phrase: its instances that stand in a group."""
+        parts = [F.struct(F.col(f"p{at + i}").alias("starts"), F.lit(len(p.tokens)).alias("size")) for i, p in enumerate(q.phrases)]
+        return near_instances(F.array(*parts), F.lit(q.distance))
 
     def near(self, q: Near, at: int) -> list[Column]:
         """Instances of each phrase that stand in a group."""
-        grouped = lambda n: lambda x: F.exists(f"near{at}", lambda e: _in_reach(n, e, q.distance)(x))
-        return [F.filter(F.col(f"p{at + i}"), grouped(len(p.tokens))) for i, p in enumerate(q.phrases)]
+        return [F.get(f"near{at}", F.lit(i)) for i in range(len(q.phrases))]
 
     def evaluate(self, q: Query | None = None, at: int = 0) -> tuple[Column, dict[int, Column], int]:
         """Whether the entity matches, the instance count of each phrase that scores, and the next leaf's number."""
@@ -193,8 +193,49 @@ def _plus(n: int):
     return lambda x: x + F.lit(n)
 
 
-def _in_reach(size: int, end: Column, distance: int):
-    return lambda x: (x + F.lit(size) >= end) & (x <= end + F.lit(distance))
+#: Room that a row's positions have where the rows of a batch are numbered through.
+_ROOM = 4 * len(FIELDS) * FIELD_STEP
+
+
+def near_instances(parts: Column, distance: Column) -> Column:
+    """Of each part (starts, size) of a NEAR group its starts from or to an end at which all parts occur within `distance` tokens.
+
+    An end holds if each part has a start x with x + size >= end and x <= end + distance: the first start that is not too early
+    tells, so the work grows with the positions and their logarithm, however often a token occurs in one entity.
+    """
+    return F.arrow_udf(lambda p, d: pa.array(_near_instances(p, d), pa.list_(pa.list_(pa.int64()))), "array<array<long>>")(parts, distance)
+
+
+def _near_instances(parts: pa.Array, distance: pa.Array) -> list[list[np.ndarray]]:
+    n, count = len(parts), parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten()
+    starts, size = flat.field("starts"), flat.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, first = np.repeat(np.arange(n), count), np.concatenate([[0], np.cumsum(count)])[:-1]
+    slot = np.arange(len(row)) - first[row]
+    reach = np.minimum(distance.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), len(FIELDS) * FIELD_STEP)
+    part = np.repeat(np.arange(len(row)), lengths)
+    x = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + row[part] * _ROOM
+    order = np.lexsort((x, part))
+    x, part = x[order], part[order]
+    ends = np.sort(x + size[part])
+    of = ends // _ROOM
+    good = distance.is_valid().to_numpy(zero_copy_only=False)[of]
+    for k in range(int(count.max(initial=0))):
+        mine = x[slot[part] == k]  # by row, then by place
+        whose = first[of] + k
+        has = count[of] > k
+        whose = np.where(has, whose, 0)
+        at = np.searchsorted(mine, ends - size[whose])
+        found = np.append(mine, np.iinfo(np.int64).max)[at]
+        good &= ~has | (found <= ends + reach[of])
+    ends = np.append(ends[good], np.iinfo(np.int64).max)
+    owner = row[part]
+    held = ends[np.searchsorted(ends, x - reach[owner])] <= x + size[part]
+    kept = x - owner * _ROOM
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    lists = [kept[a:b][held[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [lists[a : a + c] for a, c in zip(first, count, strict=True)]
 
 
 def _any(parts: list[Column]) -> Column:

@@ -204,18 +204,28 @@ class Index:
             out = out | ((F.col("segment") == segment) & F.col("shard").isin(mine))
         return out
 
-    def of_tokens(self, tokens: DataFrame) -> DataFrame:
-        """Living postings of the tokens of a table (token); only the shards that may hold one of them are read."""
+    def _shards_of(self, tokens: DataFrame, is_prefix: bool = False) -> Column:
+        """The shards that may hold one of the tokens (token), or one that begins so."""
         ranges = [(s, k, low, high) for s, edges in self.bounds.items() for k, (low, high) in enumerate(zip(["", *edges], [*edges, None], strict=True))]
         shards = F.broadcast(self.spark.createDataFrame(ranges, "segment int, shard int, low string, high string"))  # a row a shard
-        hit = tokens.join(shards, (F.col("token") >= F.col("low")) & (F.col("high").isNull() | (F.col("token") <= F.col("high")))).select("segment", "shard").distinct().collect()
+        low = F.col("token") >= F.col("low")
+        low = low | F.col("low").startswith(F.col("token")) if is_prefix else low
+        hit = tokens.join(shards, low & (F.col("high").isNull() | (F.col("token") <= F.col("high")))).select("segment", "shard").distinct().collect()
         mine: dict[int, list[int]] = {}
         for segment, shard in hit:
             mine.setdefault(segment, []).append(shard)
         places = F.lit(False)
         for segment, shard in mine.items():
             places = places | ((F.col("segment") == segment) & F.col("shard").isin(shard))
-        return self.rows(places=places).join(tokens.select("token").distinct(), "token", "left_semi")
+        return places
+
+    def of_tokens(self, tokens: DataFrame) -> DataFrame:
+        """Living postings of the tokens of a table (token); only the shards that may hold one of them are read."""
+        return self.rows(places=self._shards_of(tokens)).join(tokens.select("token").distinct(), "token", "left_semi")
+
+    def of_ranges(self, begun: DataFrame, whole: DataFrame) -> DataFrame:
+        """Living postings of the shards that may hold one of the `whole` tokens (token) or one that begins like one of `begun`."""
+        return self.rows(places=self._shards_of(begun, True) | self._shards_of(whole))
 
     def terms(self, tokens: list[str]) -> DataFrame:
         """token, level, n (entities), most, least (bounds of what an occurrence list adds, for an inverse frequency of 1 and the

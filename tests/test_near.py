@@ -2,7 +2,9 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lexmill.operators import batch as BA
 from lexmill.operators import index as I
 from lexmill.operators import search as S
 
@@ -42,4 +44,21 @@ def test_near_in_a_long_entity_is_not_quadratic(spark):
     S.matches(rows.where("id > 1"), near).collect()
     began = time.perf_counter()
     assert {r["id"] for r in S.matches(rows, near).collect()} == {2}
+    assert {r["id"] for r in BA.matching(rows, BA.query_table(spark, {7: near})).collect()} == {2}
     assert time.perf_counter() - began < 40
+
+
+def test_prefixes_of_a_batch_take_no_row_a_token(spark, tmp_path, monkeypatch):
+    """A prefix that 3,000 tokens have: kept are rows of entities and of the queries, and the levels add no shuffle."""
+    rows = [entity(i, " ".join(f"ab{i}x{k} cd" for k in range(1000)) + (" rare" if i == 1 else "")) for i in range(3)]
+    I.write_index(spark.createDataFrame(rows, SCHEMA), str(tmp_path), shards=4)
+    kept, plain = [], BA.checkpointed
+    monkeypatch.setattr(BA, "checkpointed", lambda df: (out := plain(df), kept.append(out.count()))[0])
+    begun = S.Phrase(("ab",), True)
+    found = BA.matching(I.open_index(spark, str(tmp_path)), BA.query_table(spark, {1: (begun & S.Phrase(("cd",))) - S.Phrase(("rare",)), 2: begun.in_fields("path"), 3: begun}))
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(1, 0), (1, 2), (3, 0), (3, 1), (3, 2)}
+    assert max(kept) < 100
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(query_id") == 1
+    scores = {r["id"]: round(r["score"], 9) for r in found.where(F.col("query_id") == 3).collect()}
+    assert scores == {r["id"]: round(r["score"], 9) for r in S.rank_bm25(I.open_index(spark, str(tmp_path)), begun).collect()}

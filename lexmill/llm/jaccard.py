@@ -26,7 +26,7 @@ Equal sets are found by two hashes from the two halves of the words' hashes; ove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -281,16 +281,17 @@ def grouped(live: DataFrame) -> DataFrame:
     return chosen.join(sizes, "hub").select("key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"))
 
 
-def undecided(shared: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The (signature, key, n_shingles, need0, need1, rank) rows of signatures that several components of `links` share.
-
-    A rank orders components: larger ones are higher.
-    """
+def ranks(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, n_shingles, need0, need1, rank): a rank orders the components of `links`, larger ones are higher."""
     found = components(links)
     rooted = classes.drop("n", "check").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     rooted = checkpointed(rooted.select("key", "n_shingles", "need0", "need1", F.coalesce("root", "doc_id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
-    ranked = join_counted(rooted, sizes, ["root"]).select("key", "n_shingles", "need0", "need1", F.struct("n", "root").alias("rank"))
+    return join_counted(rooted, sizes, ["root"]).select("key", "n_shingles", "need0", "need1", F.struct("n", "root").alias("rank"))
+
+
+def undecided(shared: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The (signature, key, n_shingles, need0, need1, rank) rows of signatures that sets of several ranks share."""
     tagged = shared.join(ranked, "key")
     spread = tagged.groupBy("signature").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("signature")
     return tagged.join(spread, "signature", "left_semi")
@@ -319,20 +320,30 @@ def visits(asking: DataFrame, live: DataFrame) -> DataFrame:
     return members.unionByName(guests)
 
 
-def _token_sets(docs: DataFrame, meets: DataFrame, shingle: int, small: bool) -> DataFrame:
-    """group, member, doc_id, tokens: the sets of `meets` (doc_id, key, check, meets) in each of their groups."""
+def each_set(docs: DataFrame, wanted: DataFrame, shingle: int, small: bool, make: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """What `make` gives for the rows (doc_id, key, check and others) of `wanted` and the sets of their texts; `small`: rows fit a broadcast."""
 
-    def tokens(batch: pa.RecordBatch) -> Iterator[dict]:
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for a, b in w.chunks(batch.column("text")):
             value, offsets, second = shingle_sets(batch.column("text").slice(a, b - a), shingle)
             key, check = set_keys(value, offsets, second)
-            rows = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "meets", "key", "check")}
-            same = pa.array((rows.pop("key").to_numpy() == key.view(np.int64)) & (rows.pop("check").to_numpy() == check.view(np.int64)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
-            yield {c: x.filter(same) for c, x in rows.items()} | {"tokens": lists.filter(same)}
+            rows = batch.slice(a, b - a)
+            # Other texts of one doc_id are not meant.
+            same = pa.array((rows.column("key").to_numpy() == key.view(np.int64)) & (rows.column("check").to_numpy() == check.view(np.int64)))
+            yield {c: x.filter(same) for c, x in make(rows, value, offsets).items()}
+
+    texts = docs.join(wanted.hint("broadcast" if small else "shuffle_hash"), "doc_id").select(*wanted.columns, "text")
+    return per_batch(texts, run, schema)
+
+
+def _token_sets(docs: DataFrame, meets: DataFrame, shingle: int, small: bool) -> DataFrame:
+    """group, member, doc_id, tokens: the sets of `meets` (doc_id, key, check, meets) in each of their groups."""
+
+    def tokens(rows: pa.RecordBatch, value: np.ndarray, offsets: np.ndarray) -> dict:
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
+        return {"doc_id": rows.column("doc_id"), "meets": rows.column("meets"), "tokens": lists}
 
-    texts = docs.join(meets.hint("broadcast" if small else "shuffle_hash"), "doc_id").select("doc_id", "text", "key", "check", "meets")
-    sets = per_batch(texts, tokens, "doc_id long, meets array<struct<group:bigint,member:boolean>>, tokens array<long>")
+    sets = each_set(docs, meets, shingle, small, tokens, "doc_id long, meets array<struct<group:bigint,member:boolean>>, tokens array<long>")
     return sets.select("doc_id", F.explode("meets").alias("meet"), "tokens").select("doc_id", "meet.group", "meet.member", "tokens")
 
 
@@ -364,18 +375,23 @@ def jaccard(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return linked(docs, signed, classes, shared, shingle, percent)
 
 
-def linked(docs: DataFrame, signed: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, signed: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, percent: int, sharper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, from candidates that are all verified on full sets.
 
     signed: doc_id, n_shingles, key, check of each row. classes: key, check, doc_id (the smallest), n (rows), n_shingles, need0, need1
     of each set. shared: signature, key; of two similar sets in one signature's rows neither may be missing, and they share as
-    many signatures as both need (by the lowest bit of the signature).
+    many signatures as both need (by the lowest bit of the signature). sharper: makes other rows that keep this promise for some of the
+    classes, with fewer signatures in common to sets that are not similar; what is undecided after the hubs asks by these.
     """
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = checkpointed(meetings(shared, classes).withColumn("member", F.lit(True)))
     links = checkpointed(_meet(docs, classes, first, shingle, percent))
-    live = checkpointed(undecided(shared, classes, links))
-    live = checkpointed(live.join(grouped(live), "key"))
+    ranked = checkpointed(ranks(classes, links))
+    live = checkpointed(undecided(shared, ranked))
+    homes = checkpointed(grouped(live))
+    if sharper is not None:
+        live = checkpointed(undecided(sharper(classes.join(homes, "key", "left_semi")), ranked))
+    live = checkpointed(live.join(homes, "key"))
     places = checkpointed(visits(checkpointed(opened_groups(live)), live))
     if not places.isEmpty():
         links = links.unionByName(_meet(docs, classes, places, shingle, percent))

@@ -10,6 +10,8 @@ collection, so they miss each other with a chance of about 2 * (1 - s ** ROWS) *
    texts that resemble nothing form no pairs at all. Pairs that only one class has go next.
 3. Classes that share table keys are compared on their full sets by the group stages of jaccard.py: around hubs first, then
    what is still apart, group by group. A group of copies is never expanded into all its pairs.
+4. What is still apart after the hubs is mostly just not similar, and such sets share many tables of few minhashes. These sets alone
+   get plain tables of many minhashes from their texts: they keep similar pairs but for MISSED of them, and share with others hardly any.
 
 Defined cases: without words or with a null text a set is empty and links with nothing; a text of fewer words than a shingle is one
 shingle; a row with a null doc_id has a null component, links nothing and is kept; rows with words and one doc_id are one node;
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import jaccard
 from lexmill.llm import words as w
-from lexmill.llm.tables import checkpointed, per_batch, typed
+from lexmill.llm.tables import checkpointed, n_rows, per_batch, typed
 
 SHINGLE = 5
 PERCENT = 80
@@ -36,6 +38,10 @@ PERCENT = 80
 HALVES = 12
 ROWS = 2
 
+#: Chance that a table of the second kind joins sets of just the wanted similarity (at most), and that all these tables miss them.
+SHARP = 0.1
+MISSED = 1e-7
+
 _U = np.uint64
 
 
@@ -43,24 +49,54 @@ def _seeds(n: int) -> np.ndarray:
     return w.mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def half_keys(value: np.ndarray, offsets: np.ndarray, halves: int = HALVES, rows: int = ROWS) -> np.ndarray:
-    """2 * halves keys of each set (all 0 for an empty one); the lowest bit says of which collection a key is."""
-    out, some = np.zeros((len(offsets) - 1, 2 * halves), _U), np.diff(offsets) > 0
+def band_keys(value: np.ndarray, offsets: np.ndarray, bands: int, rows: int, skip: int = 0) -> np.ndarray:
+    """Keys of `rows` minhashes each of each set, `bands` of them (all 0 for an empty one). The first `skip` minhashes are left out."""
+    out, some = np.zeros((len(offsets) - 1, bands), _U), np.diff(offsets) > 0
     if not some.any():
         return out
-    first, seeds = offsets[:-1][some], _seeds(2 * 2 * halves * rows).reshape(-1, 2)
+    first, seeds = offsets[:-1][some], _seeds(2 * (skip + bands * rows)).reshape(-1, 2)[skip:]
     with np.errstate(over="ignore"):
-        for half in range(2 * halves):
-            key = np.full(int(some.sum()), half, _U)
-            for one, two in seeds[half * rows : (half + 1) * rows]:
+        for band in range(bands):
+            key = np.full(int(some.sum()), band, _U)
+            for one, two in seeds[band * rows : (band + 1) * rows]:
                 x = (value ^ one) * (two | _U(1))
                 x ^= x >> _U(32)
                 x *= one | _U(1)
                 key = w.mix(key + np.minimum.reduceat(x, first))
-            out[some, half] = key & ~_U(1) | _U(half & 1)
+            out[some, band] = key
     return out
 
 
+def half_keys(value: np.ndarray, offsets: np.ndarray, halves: int = HALVES, rows: int = ROWS) -> np.ndarray:
+    """2 * halves keys of each set (all 0 for an empty one); the lowest bit says of which collection a key is."""
+    keys = band_keys(value, offsets, 2 * halves, rows)
+    return np.where(np.diff(offsets)[:, None] > 0, keys & ~_U(1) | np.arange(2 * halves, dtype=_U) & _U(1), _U(0))
+
+
+def sharp_bands(percent: int) -> tuple[int, int]:
+    """How many tables of how many minhashes miss sets of a similarity of percent/100 with a chance of MISSED at most."""
+    if percent >= 100:
+        return 1, 1
+    rows = max(1, int(np.log(SHARP) / np.log(percent / 100)))
+    return int(np.ceil(np.log(MISSED) / np.log1p(-((percent / 100) ** rows)))), rows
+
+
+def sharp_keys(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(signature, key) of the classes (key, check, doc_id) in tables of many minhashes, as far as several of them share a table key."""
+    bands, rows = sharp_bands(percent)
+
+    def make(batch: pa.RecordBatch, value: np.ndarray, offsets: np.ndarray) -> dict:
+        # Not the minhashes of the half keys: by these the sets were chosen.
+        keys = band_keys(value, offsets, bands, rows, skip=1 << 12)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+        return {"key": batch.column("key"), "signatures": lists}
+
+    wanted = checkpointed(classes.select("doc_id", "key", "check"))
+    keyed = jaccard.each_set(docs, wanted, shingle, n_rows(wanted) <= jaccard.MAX_SHARED, make, "key long, signatures array<long>")
+    once = keyed.groupBy("key").agg(F.first("signatures").alias("signatures"))  # of repeated rows
+    return _of_several(checkpointed(once.select(F.explode("signatures").alias("signature"), "key")), "signature")
+
+
 def sketched(docs: DataFrame, shingle: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, key and check (of the set), halves."""
 
@@ -97,5 +133,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     one = F.lit(1).alias
     classes = checkpointed(known.groupBy("key", "check").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")).select("*", one("need0"), one("need1")))
     shared = checkpointed(table_keys(classes))
-    found = jaccard.linked(docs, signed.drop("halves"), classes.drop("halves"), shared, shingle, percent)
+    found = jaccard.linked(docs, signed.drop("halves"), classes.drop("halves"), shared, shingle, percent, lambda some: sharp_keys(docs, some, shingle, percent))
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
